@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hushframe.llm import bpe, quality
+from hushframe.llm import bpe, language, quality
 from hushframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,13 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(documents.where(language.not_held_out()))
+    told = language.predict(documents.select("doc_id", "text"), model)
+    return told.select("doc_id", (~language.not_held_out()).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "policy_version")
@@ -30,6 +38,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_language_id": op3_language_id,
         "op5_quality_rules": op5_quality_rules,
         "op10_bpe": op10_bpe,
     }
