@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import bpe, language, quality
-from hushframe.llm.common import table
+from hushframe.llm import bpe, language, quality, substring
+from hushframe.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "policy_version")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    try:
+        cut = substring.cut(scratch, table(spark, sf_dir, "documents").select("doc_id", "text"))
+        return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")).checkpoint()
+    finally:
+        scratch.drop()
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -40,12 +49,13 @@ def queries() -> dict[str, Query]:
     return {
         "op3_language_id": op3_language_id,
         "op5_quality_rules": op5_quality_rules,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_bpe": op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op9_substring_dedup": OP9_SQL}
 
 
 #: Words, measures and rules again, from plain regular expressions and windows.
@@ -88,3 +98,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 255) = 0 AS kept, fail_bits, 'v1' AS policy_version
 FROM f
 """
+
+#: Every window as a string of 35 words, counted; covered words from the nearest repeated window before.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+wins AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM wins) WHERE n > 1),
+marked AS (
+  SELECT words.doc_id, words.i, word,
+         max(twice.i) OVER (PARTITION BY words.doc_id ORDER BY words.i ROWS UNBOUNDED PRECEDING) AS near
+  FROM words LEFT JOIN twice ON words.doc_id = twice.doc_id AND words.i = twice.i)
+SELECT d.doc_id, len(any_value(w))::BIGINT AS n_words,
+       count(*) FILTER (WHERE marked.i - near <= 34)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY marked.i) FILTER (WHERE near IS NULL OR marked.i - near > 34), '')) AS kept_sha256
+FROM d LEFT JOIN marked ON d.doc_id = marked.doc_id GROUP BY d.doc_id
+"""
