@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import bpe, language, quality, substring
+from hushframe.llm import bpe, language, minhash, quality, substring
 from hushframe.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,15 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    try:
+        found = minhash.groups(scratch, table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=85)
+        return found.withColumn("kept", F.col("doc_id") == F.col("component_id")).checkpoint()
+    finally:
+        scratch.drop()
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(documents.where(language.not_held_out()))
@@ -47,6 +56,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_minhash_dedup": op1_minhash_dedup,
         "op3_language_id": op3_language_id,
         "op5_quality_rules": op5_quality_rules,
         "op9_substring_dedup": op9_substring_dedup,
