@@ -8,11 +8,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; bounds a worker's memory.
@@ -220,3 +220,58 @@ def connected_components(scratch: Scratch, links: DataFrame) -> DataFrame:
             break
     pairs = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return pairs.unionByName(pairs.select(F.col("component").alias("node"), "component").distinct())
+
+
+# --------------------------------------------------------------------------
+# links inside buckets
+
+
+def components_in_buckets(scratch: Scratch, rows: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of all links between nodes that share a bucket.
+
+    ``rows`` has distinct (bucket, node) of type long; ``verify`` takes pairs
+    (u, v) and returns those that are linked.  Nodes without links get no row.
+
+    A bucket proposes pairs with centres, not all its pairs: first one centre per
+    bucket, then, only where the bucket still spans several components, its next
+    1, 2, 4, 8 ... members, each with the members of other components, until each
+    member has been a centre or the bucket is one component.  So every pair of a
+    bucket is in one component or has been compared, while a bucket of near
+    copies costs about one pair for each member.  Centres differ from bucket to
+    bucket: members are ordered by the node with bits flipped by the bucket's hash.
+    """
+    flip = F.xxhash64("bucket")
+    placed = rows.select("bucket", F.col("node").bitwiseXOR(flip).alias("place"))
+    shared = placed.groupBy("bucket").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo <> hi")
+    shared = shared.select("bucket", F.col("lo").bitwiseXOR(flip).alias("centre"))
+    members = scratch.keep(rows.select("bucket", "node").join(shared.hint("shuffle_hash"), "bucket"))
+    links = scratch.keep(verify(members.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()))
+    component = scratch.keep(connected_components(scratch, links))
+
+    def spread(some: DataFrame, tried: int) -> DataFrame:
+        """Members, with their component, of the buckets that span several and have members that were no centre yet."""
+        known = some.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        wide = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
+        return known.join(wide.where(f"lo <> hi and size > {tried}").select("bucket"), "bucket", "left_semi")
+
+    tried = 1
+    order = Window.partitionBy("bucket").orderBy(F.col("node").bitwiseXOR(flip))
+    nth = F.row_number().over(order).alias("nth")
+    open_ = scratch.keep(spread(members.select("bucket", "node"), max(tried, 2)).select("bucket", "node", "component", nth))
+    while not open_.isEmpty():
+        centres = open_.where((F.col("nth") > tried) & (F.col("nth") <= 2 * tried))
+        centres = centres.select("bucket", F.col("node").alias("v"), F.col("nth").alias("nth_v"), F.col("component").alias("component_v"))
+        pairs = open_.join(centres, "bucket").where("component <> component_v and nth > nth_v").select(F.col("node").alias("u"), "v").distinct()
+        new = scratch.keep(verify(pairs))
+        tried *= 2
+        if not new.isEmpty():
+            name = component.select(F.col("node").alias("n"), F.col("component").alias("c"))
+            ends = new
+            for end in ("u", "v"):
+                ends = ends.join(name.withColumnRenamed("n", end), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+            merged = scratch.keep(connected_components(scratch, ends).select(F.col("node").alias("component"), F.col("component").alias("to")))
+            joined = component.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+            fresh = merged.join(component.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("to").alias("component"))
+            component = scratch.keep(joined.unionByName(fresh))
+        open_ = scratch.keep(spread(open_.select("bucket", "node", "nth"), tried).select("bucket", "node", "component", "nth"))
+    return component

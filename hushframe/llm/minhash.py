@@ -7,12 +7,9 @@
 2. A class has a signature of MinHash values, cut into bands.  The number of bands
    follows from the threshold and a miss probability, so that a pair at the
    threshold shares a band but for that probability.
-3. A bucket (equal bands) proposes pairs with centres, not all its pairs: first
-   one centre per bucket, then, only where the bucket still spans several
-   components, its next 2, 4, 8 ... members, each with the members of other
-   components, until each member has been a centre or the bucket is one
-   component.  So every pair of a bucket is linked through its component or has
-   been compared, and a bucket of near copies costs about one pair per member.
+3. A bucket (equal bands) proposes pairs with centres, not all its pairs, until each
+   of its pairs is linked through its component or has been compared
+   (``common.components_in_buckets``).
 4. A pair's signatures are compared in batches.  After each, the posterior of
    its similarity (binomial likelihood, uniform prior) is looked at: the pair
    goes once the probability of reaching the threshold is below the miss
@@ -37,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import Batch, Scratch, connected_components, mix, small_batches, window_hashes
+from hushframe.llm.common import Batch, Scratch, components_in_buckets, mix, small_batches, window_hashes
 
 #: MinHash values of one band.
 ROWS = 5
@@ -181,46 +178,14 @@ def groups(scratch: Scratch, df: DataFrame, text: str = "text", key: str = "doc_
     classes = told.where("digest is not null").groupBy("digest").agg(F.min(key).alias("node"))
     member = scratch.keep(told.where("digest is not null").select(key, "digest").join(classes, "digest").select(key, "node", "digest").distinct())
     signs = scratch.keep(told.join(classes, (F.col(key) == F.col("node")) & (told["digest"] == classes["digest"])).select("node", "signature", "bands").dropDuplicates(["node"]))
-    # buckets of two or more classes, members ordered by a hash that differs from band to band
-    rows = signs.select("node", F.posexplode("bands").alias("band", "bucket")).select("bucket", F.xxhash64("bucket", "node").alias("place"), "node")
-    shared = rows.groupBy("bucket").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.min_by("node", "place").alias("centre")).where("lo <> hi")
-    rows = scratch.keep(rows.join(shared.select("bucket", "centre"), "bucket"))
     texts = signs.select("node").join(df.select(F.col(key).alias("node"), F.col(text).alias("text")), "node")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        kept = _plausible(scratch.keep(pairs), signs, threshold, miss)
-        kept = scratch.keep(kept)
+        kept = scratch.keep(_plausible(pairs, signs, threshold, miss))
         ends = kept.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        return scratch.keep(_verified(kept, texts.join(ends, "node", "left_semi"), size, percent))
-
-    links = linked(rows.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct())
-    component = scratch.keep(connected_components(scratch, links))
-
-    def spread(members: DataFrame, tried: int) -> DataFrame:
-        """Members, with their component, of the buckets that span several and have members that were no centre yet."""
-        known = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        wide = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
-        return known.join(wide.where(f"lo <> hi and size > {tried}").select("bucket"), "bucket", "left_semi")
-
-    tried = 1
-    nth = F.expr("row_number() over (partition by bucket order by place)").alias("nth")
-    open_ = scratch.keep(spread(rows.select("bucket", "node", "place"), tried).select("bucket", "node", "component", nth))
-    while not open_.isEmpty():
-        centres = open_.where((F.col("nth") > tried) & (F.col("nth") <= 2 * tried))
-        centres = centres.select("bucket", F.col("node").alias("v"), F.col("nth").alias("nth_v"), F.col("component").alias("component_v"))
-        pairs = open_.join(centres, "bucket").where("component <> component_v and nth > nth_v").select(F.col("node").alias("u"), "v").distinct()
-        new = linked(pairs)
-        tried *= 2
-        # components meet through the new links
-        name = component.select(F.col("node").alias("n"), F.col("component").alias("c"))
-        ends = new
-        for end in ("u", "v"):
-            ends = ends.join(name.withColumnRenamed("n", end), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
-        merged = connected_components(scratch, ends).select(F.col("node").alias("component"), F.col("component").alias("to"))
-        joined = component.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        fresh = merged.join(component.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("to").alias("component"))
-        component = scratch.keep(joined.unionByName(fresh))
-        open_ = scratch.keep(spread(open_.select("bucket", "node", "nth"), tried).select("bucket", "node", "component", "nth"))
+        return _verified(kept, texts.join(ends, "node", "left_semi"), size, percent)
+
+    component = components_in_buckets(scratch, signs.select(F.explode("bands").alias("bucket"), "node").distinct(), linked)
     named = member.join(component, "node", "left").select(key, F.coalesce("component", "node").alias("component_id"))
     named = named.groupBy(key).agg(F.min("component_id").alias("component_id"))
     out = told.groupBy(key).agg(F.max("n_shingles").alias("n_shingles")).join(named, key, "left")
