@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -182,27 +183,32 @@ def decode(df: DataFrame, path: str, ids: str = "ids", key: str = "doc_id", text
     return df.select(key, ids).mapInArrow(run, f"`{key}` {kind}, `{text}` string")
 
 
-def round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of every row's whole text, encoded and decoded again.
+def round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of every row's whole text, encoded and decoded again; and ids, if asked for.
 
     One pass: the digests are taken where the ids are made, so that neither ids
-    nor texts travel further.
+    nor texts travel further than they must.
     """
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoder(path)
         for batch in batches:
-            count, of_ids, of_text = [], [], []
+            count, of_ids, of_text, lists = [], [], [], []
             for t in batch.column(1):
                 ids = tokenizer.encode(t.as_py() or "")
                 count.append(len(ids))
                 of_ids.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
                 of_text.append(hashlib.sha256(tokenizer.decode(ids).encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(count, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],
-                names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                if with_ids:
+                    lists.append(pa.array(ids, pa.int32()))
+            columns = [batch.column(0), pa.array(count, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+            names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                flat = pa.concat_arrays(lists) if lists else pa.array([], pa.int32())
+                ends = pa.array([0, *itertools.accumulate(count)], pa.int32())
+                columns, names = [*columns, pa.ListArray.from_arrays(ends, flat)], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -46,24 +46,33 @@ def _lines(df: DataFrame, text: str, key: str) -> DataFrame:
     return rows.select("doc", "line_no", "norm", F.xxhash64("norm").alias("node"))
 
 
-def simhashes(rows: DataFrame) -> DataFrame:
-    """(node, fp) of distinct (node, norm)."""
-    spaces = F.length("norm") - F.length(F.translate("norm", " ", ""))
-    words = rows.select("node", F.explode(F.split("norm", " ")).alias("w"), (spaces < PACKED_WORDS).alias("packed"))
-    words = words.select("node", F.xxhash64("w").alias("h"), "packed")
+def simhash(words: DataFrame, *keys: str) -> DataFrame:
+    """(keys, fp) of (keys, h, packed): bit i of fp is set if it is set in more than half of the h of the keys.
+
+    ``packed`` is the same for all rows of a key: true promises PACKED_WORDS rows at most.
+    """
     lane = lambda s: F.shiftrightunsigned("h", s).bitwiseAND(F.lit(_LANES).cast("long"))
-    short = words.where("packed").groupBy("node").agg(F.count("*").alias("n"), *(F.sum(lane(s)).alias(f"c{s}") for s in range(16)))
-    bit = lambda s, k: F.when(F.shiftrightunsigned(f"c{s}", 16 * k).bitwiseAND(F.lit(0xFFFF)) * 2 > F.col("n"), F.lit(1 << (s + 16 * k) if s + 16 * k < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
-    fp = F.lit(0).cast("long")
+    short = words.where("packed").groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(lane(s)).alias(f"c{s}") for s in range(16)))
+    power = lambda i: F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")
+    zero = F.lit(0).cast("long")
+    fp = zero
     for s in range(16):
         for k in range(4):
-            fp = fp.bitwiseOR(bit(s, k))
+            count = F.shiftrightunsigned(f"c{s}", 16 * k).bitwiseAND(F.lit(0xFFFF))
+            fp = fp.bitwiseOR(F.when(count * 2 > F.col("n"), power(s + 16 * k)).otherwise(zero))
     one = lambda i: F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1).cast("long"))
-    long_ = words.where("not packed").groupBy("node").agg(F.count("*").alias("n"), *(F.sum(one(i)).alias(f"b{i}") for i in range(64)))
-    wide = F.lit(0).cast("long")
+    long_ = words.where("not packed").groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(one(i)).alias(f"b{i}") for i in range(64)))
+    wide = zero
     for i in range(64):
-        wide = wide.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return short.select("node", fp.alias("fp")).unionByName(long_.select("node", wide.alias("fp")))
+        wide = wide.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), power(i)).otherwise(zero))
+    return short.select(*keys, fp.alias("fp")).unionByName(long_.select(*keys, wide.alias("fp")))
+
+
+def simhashes(rows: DataFrame) -> DataFrame:
+    """(node, fp) of distinct (node, norm)."""
+    spaces = F.length("norm") - F.length(F.translate("norm", " ", ""))
+    words = rows.select("node", F.explode(F.split("norm", " ")).alias("w"), (spaces < PACKED_WORDS).alias("packed"))
+    return simhash(words.select("node", F.xxhash64("w").alias("h"), "packed"), "node")
 
 
 def blocks(radius: int = RADIUS) -> list[int]:
@@ -108,17 +117,20 @@ def groups(scratch: Scratch, lines: DataFrame, radius: int = RADIUS, percent: in
     return named.join(kept, "component").select("node", F.col("keep.doc").alias("keep_doc"), F.col("keep.line_no").alias("keep_no"), "n", "component")
 
 
-def dedup(scratch: Scratch, df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(all columns of df with repeated lines gone from ``text``, (key, dropped) with the line numbers that went)."""
+def dropped_lines(scratch: Scratch, df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, percent: int = PERCENT) -> DataFrame:
+    """(key, dropped) of the rows that lose lines; dropped has their numbers, from 0."""
     lines = _lines(df, text, key)
     found = groups(scratch, lines, radius, percent)
     gone = lines.select("doc", "line_no", "node").join(found, "node").where("not (doc <=> keep_doc and line_no = keep_no)")
-    gone = scratch.keep(gone.groupBy("doc").agg(F.collect_set("line_no").alias("dropped")))
-    gone = gone.select(F.col("doc").alias(key), "dropped")
-    columns = df.columns
+    return gone.groupBy("doc").agg(F.collect_set("line_no").alias("dropped")).select(F.col("doc").alias(key), "dropped")
+
+
+def without_lines(df: DataFrame, gone: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """All columns and rows of ``df``, the text without the lines of (key, dropped)."""
     # the split stays below the join: inside the lambda it would be taken anew for every line
-    parts = df.withColumn("__lines", F.split(F.col(text), "\n")).join(gone.withColumnsRenamed({key: "__doc", "dropped": "__dropped"}), F.col(key) == F.col("__doc"), "left")
+    parts = df.withColumn("__lines", F.split(F.col(text), "\n"))
+    parts = parts.join(gone.select(F.col(key).alias("__doc"), F.col("dropped").alias("__dropped")), F.col(key) == F.col("__doc"), "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__dropped")
     cut = F.array_join(F.transform(left, lambda i: F.col("__lines")[i]), "\n")
-    out = parts.withColumn(text, F.when(F.col("__dropped").isNull(), F.col(text)).otherwise(cut))
-    return out.select(*columns), gone
+    whole = F.col("__dropped").isNull() | F.col(text).isNull()
+    return parts.withColumn(text, F.when(whole, F.col(text)).otherwise(cut)).select(*df.columns)

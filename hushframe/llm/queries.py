@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import bpe, language, lines, minhash, quality, substring
+from hushframe.llm import bpe, decontaminate, language, lines, minhash, quality, substring
 from hushframe.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,15 +41,24 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "policy_version")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    try:
+        return decontaminate.leaks(scratch, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).checkpoint()
+    finally:
+        scratch.drop()
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     scratch = Scratch(spark)
     try:
-        cut, gone = lines.dedup(scratch, documents)
-        told = cut.join(gone, "doc_id", "left").join(documents.select("doc_id", F.size(F.split("text", "\n")).alias("n_lines")), "doc_id")
-        return told.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"), F.sha2("text", 256).alias("text_sha256")).checkpoint()
+        gone = lines.dropped_lines(scratch, documents).checkpoint()
     finally:
         scratch.drop()
+    counted = documents.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)))
+    told = lines.without_lines(counted, gone).join(gone.select("doc_id", F.size("dropped").alias("n")), "doc_id", "left")
+    return told.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n", F.lit(0)).alias("n_dropped"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +79,7 @@ def queries() -> dict[str, Query]:
         "op1_minhash_dedup": op1_minhash_dedup,
         "op3_language_id": op3_language_id,
         "op5_quality_rules": op5_quality_rules,
+        "op7_decontamination": op7_decontamination,
         "op8_line_dedup": op8_line_dedup,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_bpe": op10_bpe,
