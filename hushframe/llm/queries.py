@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import bpe, decontaminate, language, lines, minhash, quality, substring
+from hushframe.llm import bpe, decontaminate, html_text, language, licenses, lines, minhash, quality, quotes, substring
 from hushframe.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         scratch.drop()
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(documents.where(language.not_held_out()))
@@ -36,11 +40,28 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", (~language.not_held_out()).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    try:
+        return quotes.thread(scratch, table(spark, sf_dir, "conversations")).checkpoint()
+    finally:
+        scratch.drop()
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "policy_version")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files /source/doc_id; one with a licence line last and 60 words at most is a licence file."""
+    documents = table(spark, sf_dir, "documents")
+    short = F.size(F.split(F.coalesce("text", F.lit("")), "[ \\x09-\\x0D]+")) <= 60
+    files = documents.select("doc_id", F.concat(F.lit("/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "text", short.alias("license_file"))
+    told = licenses.scan(files)
+    return told.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "license", "score", "origin", "license_dir")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     try:
@@ -77,8 +98,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
+        "op2_html_text": op2_html_text,
         "op3_language_id": op3_language_id,
+        "op4_chat_quotes": op4_chat_quotes,
         "op5_quality_rules": op5_quality_rules,
+        "op6_license_scan": op6_license_scan,
         "op7_decontamination": op7_decontamination,
         "op8_line_dedup": op8_line_dedup,
         "op9_substring_dedup": op9_substring_dedup,
