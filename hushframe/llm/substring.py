@@ -281,6 +281,7 @@ def cut(scratch: Scratch, df: DataFrame, text: str = "text", key: str = "doc_id"
             texts, spans = Batch(batch.column(1)), batch.column(2)
             for a, b in texts.pieces():
                 data, starts, ends, _, first = texts.words(a, b)
+                bounds = texts.offsets[a : b + 1] - texts.offsets[a]
                 total, gone, kept = [], [], []
                 for i in range(b - a):
                     lo, hi = int(first[i]), int(first[i + 1])
@@ -289,7 +290,8 @@ def cut(scratch: Scratch, df: DataFrame, text: str = "text", key: str = "doc_id"
                         stay[s["a"] : s["b"]] = False
                     total.append(hi - lo)
                     gone.append(int((~stay).sum()))
-                    kept.append(_joined(data, starts[lo:hi][stay], ends[lo:hi][stay]).decode("utf-8"))
+                    at, end = int(bounds[i]), int(bounds[i + 1])
+                    kept.append(_joined(data[at:end], starts[lo:hi][stay] - at, ends[lo:hi][stay] - at).decode("utf-8"))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[key, "n_words", "n_removed", "kept"])
 
     spans = repeated_spans(scratch, df, text, key, window)
