@@ -14,6 +14,11 @@ FACTS = f"array<{FACT}>"
 DOCUMENT_LEVEL = ("MEDICAL_CONTENT", "PARSER_FAILURE", "UNSUPPORTED_FORMAT")
 
 
+def EMPTY_FACTS() -> Column:  # noqa: N802
+    """A typed array without facts."""
+    return F.array().cast(FACTS)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value taken once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -28,7 +33,7 @@ def mark(text: Column, head: str, value: str, tail: str = "", flags: str = "Ud")
 
     Control characters cannot be in an admitted text, so they serve as marks.
     """
-    return F.regexp_replace(text, f"(?{flags})({head})({value})({tail})", "\x01$1\x02$2\x03$3")
+    return F.regexp_replace(text, f"(?{flags})(?<h>{head})(?<v>{value})(?<t>{tail})", "\x01${h}\x02${v}\x03${t}")
 
 
 def read_marks(marked: Column) -> Column:
