@@ -105,3 +105,22 @@ MEDICAL = (
 ID_WEIGHTS = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
 ID_CHECK = "10X98765432"
 NUMERALS = "零一二三四五六七八九"
+
+# Field names of records and the label that each stands for.
+FIELD_LABELS = {
+    "name": "姓名", "patientname": "患者姓名", "patient": "患者", "phone": "电话", "tel": "电话", "telephone": "电话", "mobile": "手机", "phonenumber": "电话", "email": "邮箱",
+    "idcard": "身份证号", "idnumber": "身份证号", "nationalid": "身份证号", "governmentid": "身份证号", "mrn": "病历号", "medicalrecordnumber": "病历号", "recordnumber": "病历号",
+    "address": "住址", "homeaddress": "住址", "postalcode": "邮编", "zipcode": "邮编", "wechat": "微信", "qq": "QQ号", "birthdate": "出生日期", "dateofbirth": "出生日期", "dob": "出生日期",
+    "date": "日期", "age": "年龄", "sex": "性别", "gender": "性别", "department": "科室", "ward": "病区", "bed": "床号", "bednumber": "床号", "institution": "机构", "hospital": "医院",
+    "doctor": "医生", "physician": "医师", "nurse": "护士",
+    "姓名": "姓名", "患者姓名": "患者姓名", "患者": "患者", "电话": "电话", "手机": "手机", "邮箱": "邮箱", "身份证号": "身份证号", "身份证": "身份证号", "病历号": "病历号", "住院号": "住院号",
+    "住址": "住址", "地址": "住址", "邮编": "邮编", "微信": "微信", "出生日期": "出生日期", "年龄": "年龄", "性别": "性别", "科室": "科室", "病区": "病区", "床号": "床号", "医院": "医院",
+    "医生": "医生", "医师": "医师", "护士": "护士",
+    "family": "姓名", "given": "姓名", "surname": "姓名", "prefix": "姓名", "fullname": "姓名", "identifier": "病历号", "telecom": "电话", "deceaseddatetime": "日期", "onsetdatetime": "日期",
+    "effectivedatetime": "日期", "recordeddate": "日期", "authoredon": "日期", "period": "日期", "servicecode": "科室",
+}
+
+# FHIR resources that are read, and the parts of a name in order.
+FHIR_RESOURCES = "Patient Observation DiagnosticReport Condition MedicationRequest Encounter ImagingStudy Bundle".split()
+FHIR_NAME_PARTS = "family given middle prefix suffix".split()
+FHIR_WHOLE_NAMES = "text fullname name".split()
