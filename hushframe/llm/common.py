@@ -244,7 +244,8 @@ def components_in_buckets(scratch: Scratch, rows: DataFrame, verify: Callable[[D
     placed = rows.select("bucket", F.col("node").bitwiseXOR(flip).alias("place"))
     shared = placed.groupBy("bucket").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo <> hi")
     shared = shared.select("bucket", F.col("lo").bitwiseXOR(flip).alias("centre"))
-    members = scratch.keep(rows.select("bucket", "node").join(shared.hint("shuffle_hash"), "bucket"))
+    # written first: a join right on an aggregate cannot split its hot keys
+    members = scratch.keep(rows.select("bucket", "node").join(scratch.keep(shared).hint("shuffle_hash"), "bucket"))
     links = scratch.keep(verify(members.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()))
     component = scratch.keep(connected_components(scratch, links))
 

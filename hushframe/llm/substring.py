@@ -259,8 +259,9 @@ def repeated_spans(scratch: Scratch, df: DataFrame, text: str = "text", key: str
     small_batches(df.sparkSession)
     found = scratch.keep(_runs_of(df, key, text, window))
     anchor = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("n > 1")
-    again = found.join(anchor.select("anchor", (F.col("lo") == F.col("hi")).alias("same")), "anchor")
-    again = scratch.keep(again)
+    # written first: a join right on an aggregate cannot split its hot keys
+    anchor = scratch.keep(anchor.select("anchor", (F.col("lo") == F.col("hi")).alias("same")))
+    again = scratch.keep(found.join(anchor, "anchor"))
     mixed = again.where("not same")
     distinct = mixed.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct(key, "i0", "i1")).alias("at"))
     distinct = scratch.keep(distinct.select("anchor", "seg", "copies", "at.*"))
