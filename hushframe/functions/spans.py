@@ -24,6 +24,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def barrier(value: Column) -> Column:
+    """``value``, as an expression that filters above are not pushed through.
+
+    A filter on what a long chain of expressions yields would otherwise be
+    rewritten in terms of the chain's inputs, which repeats all of it.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def empty(kind: str = FACTS) -> Column:
     return F.array().cast(kind)
 

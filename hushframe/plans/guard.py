@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.functions.spans import EMPTY_FACTS, strip_invisible
+from hushframe.functions.spans import EMPTY_FACTS, barrier, strip_invisible
 from hushframe.operators.detect import facts_of, with_facts
 from hushframe.operators.transform import EVIDENCE, evidence, splice
 from hushframe.operators.verify import verify
@@ -32,7 +32,7 @@ def evaluate(df: DataFrame, text: str = "text", recipient: str | Column = "EXTER
     readable = F.col(text).isNotNull() & ~is_binary(F.col(text))
     clean = df.withColumn("__ok", F.coalesce(readable, F.lit(False))).withColumn(text, F.when(F.col("__ok"), strip_invisible(F.col(text))).otherwise(F.col(text)))
     found = with_facts(clean.withColumn("__text", F.when(F.col("__ok"), F.col(text)).otherwise("")), "__text", "facts", detectors, extra)
-    decided = found.withColumn("decision", F.when(F.col("__ok"), decide(F.col("facts"), trust, why, profile)).otherwise(closed_decision(profile)))
+    decided = found.withColumn("decision", barrier(F.when(F.col("__ok"), decide(F.col("facts"), trust, why, profile)).otherwise(closed_decision(profile))))
     return decided.drop("__ok", "__text")
 
 
@@ -53,7 +53,7 @@ def sanitize(df: DataFrame, text: str = "text", recipient: str | Column = "EXTER
     rows = rows.withColumn("__residual", F.when(work, facts_of("__out", named)).otherwise(EMPTY_FACTS()))
     rows = rows.withColumn("verification", F.when(work, verify(F.col(text), F.col("facts"), F.col("__done"), F.col("__out"), F.col("__residual"), trust, why, profile)))
     passed = F.coalesce(F.col("verification.passed"), F.lit(False))
-    rows = rows.withColumn("released", (F.col("decision.verdict") == "ALLOW") | (work & passed))
+    rows = rows.withColumn("released", barrier((F.col("decision.verdict") == "ALLOW") | (work & passed)))
     rows = rows.withColumn("sanitized", F.when(F.col("decision.verdict") == "ALLOW", F.col(text)).when(work & passed, F.col("__out")))
     rows = rows.withColumn("decision_after", F.when(work & passed, decide(F.col("__residual"), trust, why, profile)))
     return rows.drop("__done", "__out", "__residual")

@@ -51,8 +51,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 _KEY8 = "lpad(cast(c_custkey % 100000000 as string), 8, '0')"
 _NAME = "concat(substr('张李王刘陈', cast(c_custkey % 5 as int) + 1, 1), substr('伟芳娜敏', cast(c_custkey % 4 as int) + 1, 1))"
 _ID17 = "concat('11010519900101', lpad(cast(c_custkey % 1000 as string), 3, '0'))"
-#: The weighted sum of 11010519900101 is 247; the last three digits have the weights 8, 4 and 2.
-_ID_SUM = "(247 + cast(floor(c_custkey % 1000 / 100) as int) * 8 + cast(floor(c_custkey % 100 / 10) as int) * 4 + cast(c_custkey % 10 as int) * 2)"
+#: The weighted sum of 11010519900101 is 120; the last three digits have the weights 8, 4 and 2.
+_ID_SUM = "(120 + cast(floor(c_custkey % 1000 / 100) as int) * 8 + cast(floor(c_custkey % 100 / 10) as int) * 4 + cast(c_custkey % 10 as int) * 2)"
 _ID_LAST = f"substr('10X98765432', cast({_ID_SUM} % 11 as int) + 1, 1)"
 _ID_WRONG = f"substr('10X98765432', cast(({_ID_SUM} + 1) % 11 as int) + 1, 1)"
 
@@ -108,9 +108,9 @@ def detect_cn_id18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("c_custkey", "f.value", "f.confidence")
 
 
-@query("SELECT c_custkey, 'HOSPITAL_NAME' AS type, 4::BIGINT AS start, 'dictionary.institution' AS source FROM customer WHERE c_custkey % 5 <> 3")
+@query("SELECT c_custkey, 'HOSPITAL_NAME' AS type, CASE WHEN c_custkey % 5 = 3 THEN 6 ELSE 4 END::BIGINT AS start, 'dictionary.institution' AS source FROM customer")
 def detect_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dictionary term, but not behind a word of referral."""
+    """The longest term of a dictionary, but not right behind a word of referral: there a shorter one begins later."""
     notes = table(spark, sf_dir, "customer").selectExpr("c_custkey", "concat(CASE WHEN c_custkey % 5 = 3 THEN '建议转往' ELSE '复诊地点' END, '青松康复之家，周一') AS text")
     terms = [("青松康复之家", "institution"), ("康复之家", "institution")]
     found = notes.select("c_custkey", F.explode(detect(F.col("text"), [], [dictionary_facts(F.col("text"), terms)])).alias("f"))
@@ -166,7 +166,7 @@ def detect_url_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_name AS text FROM customer")
 def strip_invisible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = "chr(8203), substr(c_name, 4, 2), chr(8238), chr(65279)"
+    marks = "'\u200b', substr(c_name, 4, 2), '\u202e', '\ufeff'"
     return table(spark, sf_dir, "customer").selectExpr("c_custkey", f"concat(substr(c_name, 1, 3), {marks}, substr(c_name, 6)) AS text").select("c_custkey", strip_invisible(F.col("text")).alias("text"))
 
 
@@ -376,7 +376,7 @@ def dataset_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH f AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'PERSON_NAME' ELSE 'DOCTOR_NAME' END AS type, concat('v', c_nationkey) AS value, c_custkey % 3 AS file_no, 0 AS op_no, c_custkey AS start FROM customer),
     g AS (SELECT type, value, min((file_no, op_no, start)) AS first FROM f GROUP BY ALL)
-    SELECT type, value, n::BIGINT AS number, concat('[', type, '_', lpad(n::VARCHAR, greatest(3, length(n::VARCHAR)), '0'), ']') AS token FROM (SELECT *, row_number() OVER (ORDER BY first, type, value) AS n FROM g)"""
+    SELECT type, value, n::BIGINT AS number, concat('[', type, '_', lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INT, '0'), ']') AS token FROM (SELECT *, row_number() OVER (ORDER BY first, type, value) AS n FROM g)"""
 )
 def batch_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = table(spark, sf_dir, "customer").selectExpr("CASE WHEN c_custkey % 2 = 0 THEN 'PERSON_NAME' ELSE 'DOCTOR_NAME' END AS type", "concat('v', cast(c_nationkey as string)) AS value", "c_custkey % 3 AS file_no", "0 AS op_no", "c_custkey AS start")

@@ -32,7 +32,7 @@ def guard_lines(lines: DataFrame, **how: object) -> DataFrame:
     batch = F.col("line").rlike(r"^\s*\[") & F.contains("line", F.lit('"tools/call"'))
     call = (method == "tools/call") & ~batch
     rows = lines.withColumn("__args", F.when(call, F.get_json_object("line", "$.params.arguments")))
-    told = sanitize(rows.withColumn("__text", F.coalesce("__args", F.lit(""))), "__text", **how)
+    told = sanitize(rows.withColumn("__body", F.coalesce("__args", F.lit(""))), "__body", **how)
     result = outcome(F.col("decision.verdict"), F.col("released"))
     request_id = F.get_json_object("line", "$.id")
     error = F.when(request_id.isNotNull(), F.concat(F.lit('{"jsonrpc":"2.0","id":'), request_id, F.lit(f',"error":{{"code":{REFUSED_CODE},"message":"refused"}}}}')))
