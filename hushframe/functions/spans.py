@@ -30,7 +30,7 @@ def barrier(value: Column) -> Column:
     A filter on what a long chain of expressions yields would otherwise be
     rewritten in terms of the chain's inputs, which repeats all of it.
     """
-    return F.when(F.monotonically_increasing_id() >= 0, value)
+    return F.when(F.rand(0) + 1 > 0, value)
 
 
 def empty(kind: str = FACTS) -> Column:
