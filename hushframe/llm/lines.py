@@ -2,15 +2,16 @@
 
 1. A line is normalised: lower case, runs of anything but letters and digits
    become one space.  Lines with equal normal forms are one class.
-2. A class has a 64-bit SimHash of its words: bit i is set if it is set in more
-   than half of the word hashes.  Words are exploded and four counters of 16 bits
-   share one long sum, so that the whole of it runs in generated code; lines of
-   more than ``PACKED_WORDS`` words are summed bit by bit instead.
-3. Pigeonhole: the fingerprint is cut into RADIUS + 2 blocks; fingerprints within
-   RADIUS bits agree in two blocks at least, so each pair of blocks is a bucket
-   key.  Buckets are linked through centres (``common.components_in_buckets``).
-4. A pair within RADIUS bits is verified: edit distance of the normal forms at
-   most (100 - percent) % of the longer one.
+2. Pairs of which the longer form has at most SHORT characters are found without loss:
+   it is cut into one segment more than the edits that it may have, so one segment
+   stands unchanged in the other form, near its place (``places``).
+3. Longer forms have MinHash values of their character SHINGLE-grams, ROWS to a band.
+   The number of bands follows from the edit threshold: a line whose words are replaced
+   up to it misses all bands with probability MISS.  Edits that are spread over nearly
+   all shingles can be missed; README has the measured recall.  Buckets are linked
+   through centres (``common.components_in_buckets``).
+4. A pair is verified: edit distance of the normal forms at most (100 - percent) % of
+   the longer one.
 5. Of each connected group of classes one occurrence stays: the first by key,
    then by line number.  Texts are rebuilt without the others.
 
@@ -21,16 +22,24 @@ Extra columns pass through, whatever their names.
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import Scratch, components_in_buckets
+from hushframe.llm.common import Scratch, components_in_buckets, connected_components
 
-RADIUS = 3
-PACKED_WORDS = 65_535
 PERCENT = 80
+#: Characters of the longer normal form up to which pairs are found without loss.
+SHORT = 32
+SHINGLE = 5
+ROWS = 3
+#: Bands of one aggregation.
+CHUNK = 7
+#: Probability that a line with words of WORD letters replaced up to the threshold shares no band.
+MISS = 0.005
+WORD = 5
+PACKED_WORDS = 65_535
 
 _LANES = 0x0001000100010001
 
@@ -68,59 +77,86 @@ def simhash(words: DataFrame, *keys: str) -> DataFrame:
     return short.select(*keys, fp.alias("fp")).unionByName(long_.select(*keys, wide.alias("fp")))
 
 
-def simhashes(rows: DataFrame) -> DataFrame:
-    """(node, fp) of distinct (node, norm)."""
-    spaces = F.length("norm") - F.length(F.translate("norm", " ", ""))
-    words = rows.select("node", F.explode(F.split("norm", " ")).alias("w"), (spaces < PACKED_WORDS).alias("packed"))
-    return simhash(words.select("node", F.xxhash64("w").alias("h"), "packed"), "node")
-
-
-def blocks(radius: int = RADIUS) -> list[int]:
-    """The masks of every pair of the radius + 2 blocks that 64 bits are cut into."""
-    n = radius + 2
-    edge = [64 * i // n for i in range(n + 1)]
-    part = [((1 << edge[i + 1]) - (1 << edge[i])) for i in range(n)]
-    return [a | b for a, b in combinations(part, 2)]
+def bands_for(percent: int) -> int:
+    """Bands for lines whose replaced words make (100 - percent) % of them; each word takes the shingles that reach into it."""
+    lost = min(max((100 - percent) / 100 * (WORD + SHINGLE - 1) / WORD, 0.03), 0.9)
+    return math.ceil(math.log(MISS) / math.log1p(-(((1 - lost) / (1 + lost)) ** ROWS)))
 
 
-def _long(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+def places(percent: int, longest: int = SHORT) -> list[tuple[int, int, int, int, int, bool]]:
+    """(length of a line, length of the longer of the pair, segment, start, size, whether the line is the longer).
 
-
-def buckets(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(bucket, node): one row for each pair of blocks; the number of the pair is part of the key."""
-    keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_long(m)).cast("long"))) for i, m in enumerate(blocks(radius))))
-    return prints.select("node", F.explode(keys).alias("bucket")).select("bucket", "node")
-
-
-def groups(scratch: Scratch, lines: DataFrame, radius: int = RADIUS, percent: int = PERCENT) -> DataFrame:
+    The longer line has edits + 1 segments.  The shorter one holds an unchanged
+    one at a start that leaves room for the edits before and after it.
+    """
+    out = []
+    for n in range(1, longest + 1):
+        edits = (100 - percent) * n // 100
+        size, more = divmod(n, edits + 1)
+        start = 0
+        for i in range(edits + 1 if edits and size else 0):
+            own = size + (i > edits - more)
+            out.append((n, n, i, start, own, True))
+            for short in range(n - edits, n + 1):
+                low = max(start - i, start + short - n - (edits - i), 0)
+                high = min(start + i, start + short - n + (edits - i), short - own)
+                out += [(short, n, i, at, own, False) for at in range(low, high + 1)]
+            start += own
+    return out
+
+
+def short_pairs(scratch: Scratch, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Distinct (u, v) of (node, norm) that may be linked, of all pairs of at most SHORT characters."""
+    plan = scratch.spark.createDataFrame(places(percent), "len int, longer int, segment int, start int, size int, whole boolean")
+    cut = texts.withColumn("len", F.length("norm")).where(f"len <= {SHORT}").join(F.broadcast(plan), "len")
+    cut = scratch.keep(cut.select("node", "whole", F.xxhash64("longer", "segment", F.expr("substring(norm, start + 1, size)")).alias("h")).distinct())
+    left = cut.where("whole").select(F.col("node").alias("u"), "h")
+    pairs = left.join(cut.where("not whole").select(F.col("node").alias("v"), "h"), "h").where("u <> v")
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def buckets(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(bucket, node), a row for each band, of the (node, norm) that can be of a pair beyond SHORT characters."""
+    chunks = -(-bands_for(percent) // CHUNK)
+    # dealt out by node first, so that the minima need no shuffle of their own
+    chars = texts.where(f"100 * length(norm) >= {SHORT * percent}").repartition("node").select("node", F.split("norm", "").alias("c"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("c") - SHINGLE, F.lit(0)))
+    grams = chars.select("node", F.explode(F.transform(starts, lambda i: F.xxhash64(*(F.get("c", i + k) for k in range(SHINGLE))))).alias("g"))
+    grams = grams.select("node", "g", F.explode(F.array(*(F.lit(i) for i in range(chunks)))).alias("chunk"))
+    low = grams.groupBy("node", "chunk").agg(*(F.min(F.xxhash64("g", "chunk", F.lit(i))).alias(f"m{i}") for i in range(CHUNK * ROWS)))
+    keys = F.array(*(F.xxhash64("chunk", F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(CHUNK)))
+    return low.select("node", F.explode(keys).alias("bucket")).select("bucket", "node")
+
+
+def groups(scratch: Scratch, lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, keep_doc, keep_no, n, component) of the classes of (doc, line_no, norm, node) that are repeated or linked."""
     first = lines.groupBy("node").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("n"))
     first = scratch.keep(first.select("node", F.col("first.doc").alias("doc"), F.col("first.line_no").alias("line_no"), "n"))
     own = lines.join(first.select("node", "doc", "line_no"), ["node", "doc", "line_no"], "left_semi").select("node", "norm")
-    prints = scratch.keep(simhashes(own))
+    texts = scratch.keep(own.dropDuplicates(["node"]))
+    sizes = scratch.keep(texts.select("node", F.length("norm").alias("len")))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(prints.select(F.col("node").alias("u"), F.col("fp").alias("fu")), "u").join(prints.select(F.col("node").alias("v"), F.col("fp").alias("fv")), "v")
-        near = scratch.keep(both.where(F.bit_count(F.col("fu").bitwiseXOR(F.col("fv"))) <= radius).select("u", "v"))
-        ends = near.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        texts = scratch.keep(lines.join(first.select("node", "doc", "line_no").join(ends, "node", "left_semi"), ["node", "doc", "line_no"], "left_semi").select("node", "norm").dropDuplicates(["node"]))
+        both = pairs.join(sizes.select(F.col("node").alias("u"), F.col("len").alias("lu")), "u").join(sizes.select(F.col("node").alias("v"), F.col("len").alias("lv")), "v")
+        near = both.where(f"100 * abs(lu - lv) <= {100 - percent} * greatest(lu, lv)").select("u", "v")
         both = near.join(texts.select(F.col("node").alias("u"), F.col("norm").alias("tu")), "u").join(texts.select(F.col("node").alias("v"), F.col("norm").alias("tv")), "v")
-        most = "greatest(length(tu), length(tv))"
-        both = both.where(f"100 * abs(length(tu) - length(tv)) <= {100 - percent} * {most}")
-        return both.where(f"100 * levenshtein(tu, tv) <= {100 - percent} * {most}").select("u", "v")
+        # the distance within a limit, -1 beyond it
+        most = f"cast(floor({100 - percent} * greatest(length(tu), length(tv)) / 100) as int)"
+        return both.where(f"levenshtein(tu, tv, {most}) >= 0").select("u", "v")
 
-    component = components_in_buckets(scratch, buckets(prints, radius), verify)
+    short = scratch.keep(verify(short_pairs(scratch, texts, percent)))
+    linked = components_in_buckets(scratch, scratch.keep(buckets(texts, percent)), verify)
+    component = connected_components(scratch, short.unionByName(linked.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     named = first.join(component, "node", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
     named = scratch.keep(named)
     kept = named.groupBy("component").agg(F.min(F.struct("doc", "line_no")).alias("keep"))
     return named.join(kept, "component").select("node", F.col("keep.doc").alias("keep_doc"), F.col("keep.line_no").alias("keep_no"), "n", "component")
 
 
-def dropped_lines(scratch: Scratch, df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, percent: int = PERCENT) -> DataFrame:
+def dropped_lines(scratch: Scratch, df: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """(key, dropped) of the rows that lose lines; dropped has their numbers, from 0."""
     lines = _lines(df, text, key)
-    found = groups(scratch, lines, radius, percent)
+    found = groups(scratch, lines, percent)
     gone = lines.select("doc", "line_no", "node").join(found, "node").where("not (doc <=> keep_doc and line_no = keep_no)")
     return gone.groupBy("doc").agg(F.collect_set("line_no").alias("dropped")).select(F.col("doc").alias(key), "dropped")
 

@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small tables with nulls, ties, repeats and odd columns."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 from itertools import combinations
@@ -142,6 +143,41 @@ def test_lines(spark, scratch):
     assert lines.without_lines(docs, gone).columns == docs.columns
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j - 1] + (x != y), last[j] + 1, row[j - 1] + 1))
+    return row[-1]
+
+
+def test_lines_recall_against_brute_force(spark, scratch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
+    rows = []
+    for n in [2, 3, 4, 5] * 20 + [8, 12, 20, 30] * 15:
+        words = [word() for _ in range(n)]
+        rows.append(" ".join(words))
+        if n <= 5:  # letters changed, put in and taken out, up to a fifth and beyond
+            letters = list(rows[-1])
+            for _ in range(rng.randint(1, len(letters) // 5 + 1)):
+                at = rng.randrange(1, len(letters) - 1)
+                letters[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "y"])
+            rows.append("".join(letters))
+        else:  # one word, or a seventh of the words replaced
+            for at in rng.sample(range(n), rng.choice([1, max(n // 7, 1)])):
+                words[at] = word()
+            rows.append(" ".join(words))
+    rows = list(dict.fromkeys(rows))
+    links = {(a, b) for a, b in combinations(range(len(rows)), 2) if 5 * abs(len(rows[a]) - len(rows[b])) <= max(len(rows[a]), len(rows[b])) and (b == a + 1 or len(rows[b]) < 33) and 5 * _edits(rows[a], rows[b]) <= max(len(rows[a]), len(rows[b]))}
+    found = {r["doc"]: r["component"] for r in lines.groups(scratch, lines._lines(texts(spark, rows), "text", "doc_id")).select("component", F.col("node")).join(lines._lines(texts(spark, rows), "text", "doc_id"), "node").collect()}
+    hit = {(a, b) for a, b in links if a in found and found[a] == found.get(b)}
+    assert len(links) > 60 and not {x for x in links - hit if max(len(rows[x[0]]), len(rows[x[1]])) <= lines.SHORT}
+    assert len(hit) >= 0.99 * len(links)
+    assert set(found) <= {x for pair in links for x in pair}
+
+
 def test_simhash_paths_agree(spark):
     words = spark.createDataFrame([(1, i * 7919 * 104729 + 13) for i in range(99)], "node long, h long")
     packed = lines.simhash(words.withColumn("packed", F.lit(True)), "node").first()["fp"]
