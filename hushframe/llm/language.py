@@ -12,9 +12,10 @@ exactly one 64-bit key (characters beyond U+FFFF share keys).
 
 A text's language has the lowest cross-entropy per character.  ``score`` is the
 posterior of that language under equal priors, with the difference in nats
-divided by a temperature fitted on a calibration sample.  ``rejected`` is true
-if the text has no letter, or if its cross-entropy is above the limit of its
-length class that calibration found, by a margin that errs towards keeping.
+divided by a temperature fitted on all learned texts.  ``rejected`` is true if
+the text has no letter, or if its cross-entropy is above the limit of its
+language and length class that calibration found, by a margin that errs towards
+keeping.  Where calibration saw too little there is no limit (``limits_of``).
 
 The size bound of the broadcast model: at most ``MAX_LANGUAGES`` columns and
 ``MAX_GRAMS`` 4-grams of each language, the most frequent ones by a threshold on
@@ -42,8 +43,11 @@ UNKNOWN = "und"
 ORDER = 4
 MAX_LANGUAGES = 256
 MAX_GRAMS = 100_000
-#: Labelled rows of the calibration sample at most; counts are never sampled.
-CALIBRATION_ROWS = 4_000
+#: Length classes, and the temperatures that calibration tries.
+CLASSES = 9
+TEMPERATURES = np.geomspace(0.05, 5, 25)
+#: A model of fewer learned texts knows them by heart: their entropies say nothing about others.
+LEAST_TEXTS = 100
 
 _B = 16  # bits of a character in a key
 
@@ -164,7 +168,7 @@ class Model:
     back: list[np.ndarray]
     floor: float
     temperature: float = 1.0
-    limits: tuple[float, ...] = ()
+    limits: np.ndarray | None = None
 
     def per_key(self, key: np.ndarray) -> np.ndarray:
         """Log probability of each key's last character given the three before, a column per language."""
@@ -208,14 +212,14 @@ class Model:
         low = entropy[np.arange(len(best)), best]
         gap = (entropy - low[:, None]) * np.sqrt(np.maximum(letters, 1))[:, None] / self.temperature
         score = 1.0 / np.exp(-gap).sum(axis=1)
-        limit = np.asarray(self.limits or (np.inf,))[np.minimum(length_class(letters), max(len(self.limits) - 1, 0))]
+        limit = np.inf if self.limits is None else self.limits[best, length_class(letters)]
         none = letters == 0
         return np.where(none, -1, best), np.where(none, 0.0, score), none | (low > limit)
 
 
 def length_class(letters: np.ndarray) -> np.ndarray:
     """0 for up to 15 letters, then one class for every doubling, up to 8."""
-    return np.clip(np.log2(np.maximum(letters, 1)).astype(np.int64) - 3, 0, 8)
+    return np.clip(np.log2(np.maximum(letters, 1)).astype(np.int64) - 3, 0, CLASSES - 1)
 
 
 def build(counted: DataFrame, max_grams: int = MAX_GRAMS) -> Model:
@@ -300,56 +304,74 @@ def _kneser_ney(keys: np.ndarray, counts: np.ndarray, floor: float) -> dict[int,
     return out
 
 
-def calibrate(model: Model, entropy: np.ndarray, letters: np.ndarray, truth: np.ndarray) -> Model:
-    """Set the temperature and the rejection limits from labelled texts.
+def limits_of(highest: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Rejection limits of (language, length class) from the highest cross-entropies found and the number of texts.
 
-    The temperature is the one of a fixed grid with the least log loss.  The
-    limit of a length class is the highest cross-entropy of a text's own
-    language found there plus half a nat, and never below that of a longer class.
+    A limit is the highest value of the class plus half a nat, and never below
+    that of a longer class or of all languages together.  A class without a text
+    takes the limit of the next shorter one that has some; there is no limit
+    below the shortest of those, nor for languages of fewer than LEAST_TEXTS texts.
     """
-    use = (letters > 0) & (truth >= 0)
-    entropy, letters, truth = entropy[use], letters[use], truth[use]
-    if not len(truth):
-        return model
-    gap = (entropy - entropy.min(axis=1, keepdims=True)) * np.sqrt(letters)[:, None]
-    best = (np.inf, 1.0)
-    for t in np.geomspace(0.05, 5, 25):
-        z = -gap / t
-        loss = float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(truth)), truth]).mean())
-        best = min(best, (loss, float(t)))
-    low, which = entropy[np.arange(len(truth)), truth], length_class(letters)
-    limits, above = [], 0.0
-    for c in range(8, -1, -1):
-        above = max([above, *low[which == c]])
-        limits.append(above + 0.5)
-    model.temperature, model.limits = best[1], tuple(reversed(limits))
-    return model
+    def rows(high: np.ndarray, n: np.ndarray) -> np.ndarray:
+        out = np.maximum.accumulate(np.where(n > 0, high, -np.inf)[:, ::-1], axis=1)[:, ::-1]
+        last = np.maximum.accumulate(np.where(n > 0, np.arange(CLASSES), -1), axis=1)
+        return np.where(last < 0, np.inf, np.take_along_axis(out, np.maximum(last, 0), axis=1)) + 0.5
 
+    shared = rows(np.where(texts > 0, highest, -np.inf).max(axis=0, keepdims=True), texts.sum(axis=0, keepdims=True))
+    few = texts.sum(axis=1, keepdims=True) < LEAST_TEXTS
+    return np.where(few, np.inf, np.maximum(rows(highest, texts), shared))
 
-def fit(learn: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_grams: int = MAX_GRAMS) -> Model:
-    """Count all rows of ``learn``; calibrate on whole texts of at most CALIBRATION_ROWS rows, the first by a hash of the key."""
-    spark = learn.sparkSession
-    scratch = Scratch(spark)
-    try:
-        model = build(scratch.keep(count_grams(learn, text, lang)), max_grams)
-    finally:
-        scratch.drop()
-    if not model.languages:
-        return model
-    rows = learn.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    last = rows.select("h").orderBy("h").limit(CALIBRATION_ROWS).agg(F.max("h")).first()[0]
-    shared = spark.sparkContext.broadcast(model)
+
+def calibrate(model: Model, learn: DataFrame, text: str = "text", lang: str = "lang") -> Model:
+    """Set the temperature, the one of TEMPERATURES with the least log loss, and the rejection limits from all rows of ``learn``.
+
+    Each task sends one row for each language and length class that it has seen.
+    """
+    shared = learn.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {name: i for i, name in enumerate(shared.value.languages)}
+        cells = len(number) * CLASSES
+        high, n, loss = np.full(cells, -np.inf), np.zeros(cells, np.int64), np.zeros((cells, len(TEMPERATURES)))
         for batch in batches:
             texts = batch.column(0).to_pylist()
+            truths = np.array([number.get(x, -1) for x in batch.column(1).to_pylist()], dtype=np.int64)
             for a, b in _pieces(texts):
                 entropy, letters = shared.value.entropies(texts[a:b])
-                yield pa.RecordBatch.from_arrays([pa.array(entropy.tolist(), pa.list_(pa.float64())), pa.array(letters, pa.int64()), batch.column(1).slice(a, b - a)], names=["e", "n", "l"])
+                use = (letters > 0) & (truths[a:b] >= 0)
+                entropy, letters, truth = entropy[use], letters[use], truths[a:b][use]
+                cell, own = truth * CLASSES + length_class(letters), np.arange(len(truth))
+                np.maximum.at(high, cell, entropy[own, truth])
+                np.add.at(n, cell, 1)
+                gap = (entropy - entropy.min(axis=1, keepdims=True)) * np.sqrt(letters)[:, None]
+                for i, t in enumerate(TEMPERATURES):
+                    np.add.at(loss[:, i], cell, np.log(np.exp(-gap / t).sum(axis=1)) + gap[own, truth] / t)
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(high[seen]), pa.array(n[seen]), *(pa.array(loss[seen, i]) for i in range(len(TEMPERATURES)))], names=["cell", "high", "n", *(f"t{i}" for i in range(len(TEMPERATURES)))])
+
+    small_batches(learn.sparkSession)
+    rows = learn.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(text, lang)
+    names = [f"t{i}" for i in range(len(TEMPERATURES))]
+    told = rows.mapInArrow(run, "cell long, high double, n long, " + ", ".join(f"{x} double" for x in names))
+    found = told.groupBy("cell").agg(F.max("high").alias("high"), F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in names)).collect()
+    shape = (len(model.languages), CLASSES)
+    highest, texts = np.full(shape, -np.inf), np.zeros(shape, np.int64)
+    for r in found:
+        highest.flat[r["cell"]], texts.flat[r["cell"]] = r["high"], r["n"]
+    if found:
+        model.temperature = float(TEMPERATURES[np.argmin([sum(r[x] for r in found) for x in names])])
+        model.limits = limits_of(highest, texts)
+    return model
 
-    found = rows.where(F.col("h") <= last).select("t", "l").mapInArrow(run, "e array<double>, n long, l string").limit(CALIBRATION_ROWS).collect()
-    number = {name: i for i, name in enumerate(model.languages)}
-    return calibrate(model, np.array([r["e"] for r in found]), np.array([r["n"] for r in found]), np.array([number.get(r["l"], -1) for r in found]))
+
+def fit(learn: DataFrame, text: str = "text", lang: str = "lang", max_grams: int = MAX_GRAMS) -> Model:
+    """Count all rows of ``learn``, then calibrate on all of them."""
+    scratch = Scratch(learn.sparkSession)
+    try:
+        model = build(scratch.keep(count_grams(learn, text, lang)), max_grams)
+    finally:
+        scratch.drop()
+    return calibrate(model, learn, text, lang) if model.languages else model
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,24 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_language_limits_without_evidence(spark):
+    en = "the house and the garden were quiet in the evening "
+    docs = spark.createDataFrame([*((i, en + f"and number {i}", "en") for i in range(150)), (900, "猫は庭で静かに眠っていた", "ja")], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    asked = spark.createDataFrame([(1, en * 100), (2, "犬は川の近くで眠らない"), (3, en)], "doc_id long, text string")
+    found = {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in language.predict(asked, model).collect()}
+    # no learned text is as long as the first, and one knows the second language by heart
+    assert found[1] == ("en", False) == found[3] and found[2] == ("ja", False)
+
+
+def test_language_limits_from_neighbours():
+    texts = np.zeros((2, language.CLASSES), np.int64)
+    texts[0, [2, 5]], texts[1, 2] = 200, 3
+    high = np.full(texts.shape, -np.inf)
+    high[0, 2], high[0, 5], high[1, 2] = 2.0, 1.5, 4.0
+    assert language.limits_of(high, texts).tolist() == [[np.inf] * 2 + [4.5] * 3 + [2.0] * 4, [np.inf] * language.CLASSES]
+
+
 def test_quotes(spark, scratch):
     rows = [(1, 0, "u", "Hello there\nHow are you?"), (1, 1, "a", "> hello there\n> how are you?\nFine"), (1, 2, "u", ">> Hello there\n> Fine\ngood"), (1, 3, "u", "Else"), (1, 4, "a", "> How are\n> you?\nanswer"), (2, 0, "u", None), (None, 1, "u", "x")]
     found = quotes.thread(scratch, spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"))
