@@ -1,58 +1,236 @@
-"""Fuzzy removal of repeated lines with DataFrame functions only.
+"""Fuzzy removal of repeated lines.
 
 1. A line is normalised: lower case, runs of anything but letters and digits
    become one space.  Lines with equal normal forms are one class.
 2. Pairs of which the longer form has at most SHORT characters are found without loss:
    it is cut into one segment more than the edits that it may have, so one segment
    stands unchanged in the other form, near its place (``places``).
-3. Longer forms have MinHash values of their character SHINGLE-grams, ROWS to a band.
-   The number of bands follows from the edit threshold: a line whose words are replaced
-   up to it misses all bands with probability MISS.  Edits that are spread over nearly
-   all shingles can be missed; README has the measured recall.  Buckets are linked
-   through centres (``common.components_in_buckets``).
-4. A pair is verified: edit distance of the normal forms at most (100 - percent) % of
-   the longer one.
-5. Of each connected group of classes one occurrence stays: the first by key,
+3. Longer forms get a 64-bit SimHash of their words and are cut into blocks at anchors:
+   words whose hash is the least among their neighbours.  An anchor and the words after
+   it, LEAST letters at the least, are one block.  Edits leave most blocks as they were
+   (by pigeonhole one at least, unless there are as many edits as blocks), so lines that
+   share a block at about the same place, with SimHashes within RADIUS bits, are candidates.
+   A radius alone cannot find them: README has its figures and those of the recall.
+4. One line of each block is compared with all its others; where the block's lines are
+   still of several components, CENTRES of them; where they still are, all with each
+   other, in parts of PART lines.
+5. A pair is verified: edit distance of the normal forms at most (100 - percent) % of
+   the longer one, in characters, or in words if it has more than LONG characters.
+6. Of each connected group of classes one occurrence stays: the first by key,
    then by line number.  Texts are rebuilt without the others.
 
-Lines without a letter or digit always stay.  Null texts stay null.  Rows that
-share a key count as one document: a line number dropped from one goes from all.
+Lines are described and pairs verified in Arrow batches; all that shuffles is DataFrame work.
+
+Lines without a letter or digit always stay.  Null texts stay null.  A row is known by
+its key and its text: rows that share a key and differ in text are documents of their
+own, equal rows are one.  Null keys are a key like others.  Two normal forms of equal
+64-bit hashes are told apart by a second one; the later form is then left alone.
 Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
+import unicodedata
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import Scratch, components_in_buckets, connected_components
+from hushframe.llm.common import CHUNK_BYTES, Scratch, _powers, connected_components, mix, small_batches
 
 PERCENT = 80
 #: Characters of the longer normal form up to which pairs are found without loss.
 SHORT = 32
-SHINGLE = 5
-ROWS = 3
-#: Bands of one aggregation.
-CHUNK = 7
-#: Probability that a line with words of WORD letters replaced up to the threshold shares no band.
-MISS = 0.005
-WORD = 5
+#: Characters beyond which edits are counted in words.
+LONG = 2_000
+#: Letters of a block at the least.
+LEAST = 12
+#: Words from which an anchor has to be the least among 1, 2 and 3 neighbours on either side.
+SPARSE = (16, 64, 200)
+#: Bits in which the SimHashes of candidates may differ, if both lines have FEW words or more.
+RADIUS = 22
+FEW = 8
+#: Lines of a block that all its others are compared with before all are compared with all.
+CENTRES = 8
+#: Lines of a block that are compared with each other in one bucket.
+PART = 512
 PACKED_WORDS = 65_535
 
 _LANES = 0x0001000100010001
+#: Scripts without spaces between words, each character counts as a word: fixed values of their Unicode blocks.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
 
 def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def _lines(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(doc, line_no, norm, node) of all lines with a letter or digit."""
-    rows = df.select(F.col(key).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    rows = rows.select("doc", "line_no", normal(F.col("line")).alias("norm")).where("norm <> ''")
-    return rows.select("doc", "line_no", "norm", F.xxhash64("norm").alias("node"))
+def _identity(df: DataFrame, text: str, key: str) -> Column:
+    return F.struct(df[key].alias("key"), F.xxhash64(df[text]).alias("text"))
+
+
+# -- lines of a batch -----------------------------------------------------------
+
+_OTHER, _LETTER, _SINGLE = 0, 1, 2
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """(class, random odd value) of each code point."""
+    if not _TABLES:
+        kind = np.array([unicodedata.category(chr(c))[0] in "LN" for c in range(0x110000)], dtype=np.uint8)
+        for lo, hi in _UNSPACED:
+            kind[lo : hi + 1] *= _SINGLE
+        _TABLES["kind"] = kind
+        _TABLES["value"] = np.random.default_rng(77003).integers(0, 1 << 63, 0x110000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return _TABLES["kind"], _TABLES["value"]
+
+
+class Lines:
+    """The lines with a letter or digit of some texts: their normal forms and, as flat arrays, their words."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        kind, _ = _tables()
+        parts = [f"{t or ''}\n".lower().encode("utf-32-le", "replace") for t in texts]
+        self.points = np.frombuffer(b"".join(parts), dtype=np.uint32)
+        self.kind = kind[self.points]
+        letter = self.kind > 0
+        before = np.concatenate(([False], letter[:-1]))
+        ends = self.points == 10
+        kept = letter | ends | (before & ~letter)
+        flat = np.where(letter, self.points, np.where(ends, np.uint32(10), np.uint32(32)))[kept]
+        all_lines = [x.rstrip(" ") for x in flat.astype("<u4").tobytes().decode("utf-32-le").split("\n")[:-1]]
+        bounds = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)))
+        self.ends = np.flatnonzero(ends)
+        first = np.searchsorted(self.ends, bounds[:-1])  # the first line of each text
+        held = np.flatnonzero([bool(x) for x in all_lines])
+        self.norms = [all_lines[i] for i in held]
+        self.text = np.searchsorted(first, held, side="right") - 1
+        self.line_no = (held - first[self.text]).astype(np.int32)
+        self.held = held
+        digests = [xxhash.xxh3_128_intdigest(x.encode()) for x in self.norms]
+        mask = (1 << 64) - 1
+        self.node = np.array([d & mask for d in digests], dtype=np.uint64).view(np.int64)
+        self.other = np.array([d >> 64 for d in digests], dtype=np.uint64).view(np.int64)
+        self.chars = np.array([len(x) for x in self.norms], dtype=np.int32)
+
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash and length of each word, first word of each held line and the total)."""
+        _, value = _tables()
+        letter = self.kind > 0
+        before = np.concatenate(([False], letter[:-1]))
+        single = self.kind == _SINGLE
+        starts = np.flatnonzero(letter & (~before | single | np.concatenate(([False], single[:-1]))))
+        after = np.concatenate((letter[1:], [False]))
+        stops = np.flatnonzero(letter & (~after | single | np.concatenate((single[1:], [False])))) + 1
+        line = np.searchsorted(self.held, np.searchsorted(self.ends, starts))
+        # words of more than 24 letters on average are read in pieces of eight
+        count = np.bincount(line, minlength=len(self.held))
+        odd = np.flatnonzero((count * 24 < self.chars)[line] & (stops - starts > 8)) if len(line) else np.zeros(0, np.int64)
+        if len(odd):
+            more = -(-(stops[odd] - starts[odd]) // 8)
+            times = np.ones(len(starts), np.int64)
+            times[odd] = more
+            which = np.repeat(np.arange(len(starts)), times)
+            step = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+            cut = times[which] > 1
+            starts, stops, line = np.where(cut, starts[which] + 8 * step, starts[which]), np.where(cut, np.minimum(starts[which] + 8 * step + 8, stops[which]), stops[which]), line[which]
+        power, inverse = _powers(len(self.points) + 1)
+        sums = np.zeros(len(self.points) + 1, dtype=np.uint64)
+        np.cumsum(value[self.points] * power[: len(self.points)], out=sums[1:])
+        size = stops - starts
+        hashes = mix((sums[stops] - sums[starts]) * inverse[starts] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return hashes, size, np.searchsorted(line, np.arange(len(self.held) + 1))
+
+
+def fingerprints(hashes: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The SimHash of each line: bit i is set if the words that have it in their hashes outweigh the others.
+
+    Words of up to three letters weigh 1, others 4: the former are in most lines
+    and would make any two alike.
+    """
+    weight = np.where(size > 3, 4, 1).astype(np.uint8)
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1) * weight[:, None]
+    counts = np.add.reduceat(bits, first[:-1], axis=0, dtype=np.int32)
+    total = np.add.reduceat(weight, first[:-1], dtype=np.int32)
+    return np.packbits(counts * 2 > total[:, None], axis=1).view(np.int64).ravel()
+
+
+def cut_blocks(hashes: np.ndarray, size: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block hashes, their first word in the line, first block of each line and the total); a line has one at least."""
+    count = np.diff(first)
+    line = np.repeat(np.arange(len(count)), count)
+    n, at = count[line], np.arange(len(hashes)) - first[line]
+    least = np.ones(len(hashes), bool)
+    for r, words in enumerate(SPARSE, 1):
+        bound = n >= words
+        back, ahead = np.flatnonzero(bound & (at >= r)), np.flatnonzero(bound & (at < n - r))
+        least[back] &= hashes[back] < hashes[back - r]
+        least[ahead] &= hashes[ahead] <= hashes[ahead + r]
+    anchor = np.flatnonzero(least)
+    letters = np.concatenate(([0], np.cumsum(size)))
+    low, high = first[line[anchor]], first[line[anchor] + 1]
+    stop = np.minimum(np.maximum(np.searchsorted(letters, letters[anchor] + LEAST), anchor + 2), high)
+    start = np.searchsorted(letters, letters[stop] - LEAST, side="right") - 1
+    start = np.maximum(np.minimum(np.minimum(start, anchor), stop - 2), low)
+    power, inverse = _powers(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
+    block = mix((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64))
+    return block.view(np.int64), (start - low).astype(np.int32), np.searchsorted(line[anchor], np.arange(len(count) + 1)).astype(np.int32)
+
+
+def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    a = 0
+    while a < len(texts):
+        b, size = a + 1, len(texts[a] or "")
+        while b < len(texts) and size + len(texts[b] or "") < CHUNK_BYTES // 2:
+            size += len(texts[b] or "")
+            b += 1
+        yield a, b
+        a = b
+
+
+_LINE = "line_no int, node long, other long"
+
+
+def describe(df: DataFrame, text: str, key: str, norms: bool = False) -> DataFrame:
+    """(doc, line_no, node, other) of all lines with a letter or digit; with ``norms`` also norm, else chars, n, fp, blocks and ats.
+
+    node and other are the halves of a 128-bit hash of the normal form; blocks are
+    those of the lines that can be of a pair beyond SHORT characters.
+    """
+    small_batches(df.sparkSession)
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for a, b in _pieces(texts):
+                told = Lines(texts[a:b])
+                own = [batch.column(c).take(pa.array(told.text + a)) for c in (0, 1)]
+                base = [*own, pa.array(told.line_no), pa.array(told.node), pa.array(told.other)]
+                if norms:
+                    new = [pa.array(told.norms, pa.string())]
+                    names = ["norm"]
+                else:
+                    hashes, size, first = told.words()
+                    if len(hashes):
+                        block, at, offset = cut_blocks(hashes, size, first)
+                        fp = fingerprints(hashes, size, first)
+                    else:
+                        block, at, offset, fp = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(len(told.norms) + 1, np.int32), np.zeros(0, np.int64)
+                    lists = [pa.ListArray.from_arrays(pa.array(offset, pa.int32()), pa.array(x)) for x in (block, at)]
+                    new = [pa.array(told.chars), pa.array(np.diff(first).astype(np.int32)), pa.array(fp), *lists]
+                    names = ["chars", "n", "fp", "blocks", "ats"]
+                yield pa.RecordBatch.from_arrays([*base, *new], names=["k", "h", "line_no", "node", "other", *names])
+
+    more = "norm string" if norms else "chars int, n int, fp long, blocks array<long>, ats array<int>"
+    rows = df.select(df[key].alias("k"), F.xxhash64(df[text]).alias("h"), df[text].alias("t")).where("t is not null").mapInArrow(run, f"k {kind}, h long, {_LINE}, {more}")
+    return rows.select(F.struct(F.col("k").alias("key"), F.col("h").alias("text")).alias("doc"), *rows.columns[2:])
 
 
 def simhash(words: DataFrame, *keys: str) -> DataFrame:
@@ -77,10 +255,7 @@ def simhash(words: DataFrame, *keys: str) -> DataFrame:
     return short.select(*keys, fp.alias("fp")).unionByName(long_.select(*keys, wide.alias("fp")))
 
 
-def bands_for(percent: int) -> int:
-    """Bands for lines whose replaced words make (100 - percent) % of them; each word takes the shingles that reach into it."""
-    lost = min(max((100 - percent) / 100 * (WORD + SHINGLE - 1) / WORD, 0.03), 0.9)
-    return math.ceil(math.log(MISS) / math.log1p(-(((1 - lost) / (1 + lost)) ** ROWS)))
+# -- candidates ---------------------------------------------------------------
 
 
 def places(percent: int, longest: int = SHORT) -> list[tuple[int, int, int, int, int, bool]]:
@@ -105,68 +280,294 @@ def places(percent: int, longest: int = SHORT) -> list[tuple[int, int, int, int,
     return out
 
 
-def short_pairs(scratch: Scratch, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Distinct (u, v) of (node, norm) that may be linked, of all pairs of at most SHORT characters."""
+def short_links(scratch: Scratch, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Distinct links (u, v) between (node, norm) of at most SHORT characters; a pair is verified where it meets."""
     plan = scratch.spark.createDataFrame(places(percent), "len int, longer int, segment int, start int, size int, whole boolean")
     cut = texts.withColumn("len", F.length("norm")).where(f"len <= {SHORT}").join(F.broadcast(plan), "len")
-    cut = scratch.keep(cut.select("node", "whole", F.xxhash64("longer", "segment", F.expr("substring(norm, start + 1, size)")).alias("h")).distinct())
-    left = cut.where("whole").select(F.col("node").alias("u"), "h")
-    pairs = left.join(cut.where("not whole").select(F.col("node").alias("v"), "h"), "h").where("u <> v")
+    cut = scratch.keep(cut.select("node", "norm", "whole", F.xxhash64("longer", "segment", F.expr("substring(norm, start + 1, size)")).alias("h")).distinct())
+    left = cut.where("whole").select(F.col("node").alias("u"), F.col("norm").alias("tu"), "h")
+    right = cut.where("not whole").select(F.col("node").alias("v"), F.col("norm").alias("tv"), F.col("h").alias("g"))
+    most = F.floor(F.greatest(F.length("tu"), F.length("tv")) * (100 - percent) / 100).cast("int")
+    pairs = left.join(right, (F.col("h") == F.col("g")) & (F.col("u") != F.col("v")) & (F.levenshtein("tu", "tv") <= most))
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def buckets(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(bucket, node), a row for each band, of the (node, norm) that can be of a pair beyond SHORT characters."""
-    chunks = -(-bands_for(percent) // CHUNK)
-    # dealt out by node first, so that the minima need no shuffle of their own
-    chars = texts.where(f"100 * length(norm) >= {SHORT * percent}").repartition("node").select("node", F.split("norm", "").alias("c"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("c") - SHINGLE, F.lit(0)))
-    grams = chars.select("node", F.explode(F.transform(starts, lambda i: F.xxhash64(*(F.get("c", i + k) for k in range(SHINGLE))))).alias("g"))
-    grams = grams.select("node", "g", F.explode(F.array(*(F.lit(i) for i in range(chunks)))).alias("chunk"))
-    low = grams.groupBy("node", "chunk").agg(*(F.min(F.xxhash64("g", "chunk", F.lit(i))).alias(f"m{i}") for i in range(CHUNK * ROWS)))
-    keys = F.array(*(F.xxhash64("chunk", F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(CHUNK)))
-    return low.select("node", F.explode(keys).alias("bucket")).select("bucket", "node")
-
-
-def groups(scratch: Scratch, lines: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, keep_doc, keep_no, n, component) of the classes of (doc, line_no, norm, node) that are repeated or linked."""
-    first = lines.groupBy("node").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("n"))
-    first = scratch.keep(first.select("node", F.col("first.doc").alias("doc"), F.col("first.line_no").alias("line_no"), "n"))
-    own = lines.join(first.select("node", "doc", "line_no"), ["node", "doc", "line_no"], "left_semi").select("node", "norm")
-    texts = scratch.keep(own.dropDuplicates(["node"]))
-    sizes = scratch.keep(texts.select("node", F.length("norm").alias("len")))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sizes.select(F.col("node").alias("u"), F.col("len").alias("lu")), "u").join(sizes.select(F.col("node").alias("v"), F.col("len").alias("lv")), "v")
-        near = both.where(f"100 * abs(lu - lv) <= {100 - percent} * greatest(lu, lv)").select("u", "v")
-        both = near.join(texts.select(F.col("node").alias("u"), F.col("norm").alias("tu")), "u").join(texts.select(F.col("node").alias("v"), F.col("norm").alias("tv")), "v")
-        # the distance within a limit, -1 beyond it
-        most = f"cast(floor({100 - percent} * greatest(length(tu), length(tv)) / 100) as int)"
-        return both.where(f"levenshtein(tu, tv, {most}) >= 0").select("u", "v")
-
-    short = scratch.keep(verify(short_pairs(scratch, texts, percent)))
-    linked = components_in_buckets(scratch, scratch.keep(buckets(texts, percent)), verify)
-    component = connected_components(scratch, short.unionByName(linked.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+def _near(percent: int) -> Column:
+    """Whether rows (at, n, chars, fp) and (b, m, chars_v, fp_v) of one block can be alike.
+
+    As many words before and after the block, but for the edits; lengths within the
+    edits; SimHashes within RADIUS bits unless a line has few words.
+    """
+    room = F.greatest("n", "m") * (100 - percent) * 1.25 / 100 + 1
+    beside = (F.abs(F.col("at") - F.col("b")) <= room) & (F.abs(F.col("n") - F.col("at") - F.col("m") + F.col("b")) <= room)
+    size = F.abs(F.col("chars") - F.col("chars_v")) * 100 <= F.greatest("chars", "chars_v") * (100 - percent)
+    return beside & size & ((F.least("n", "m") < FEW) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_v"))) <= RADIUS))
+
+
+# -- verification -------------------------------------------------------------
+
+
+def distance(a, b) -> int:  # noqa: ANN001
+    """Edit distance of two sequences, all of a column at once as the bits of integers."""
+    if not len(a) or not len(b):
+        return max(len(a), len(b))
+    places_of: dict = {}
+    for i, x in enumerate(a):
+        places_of[x] = places_of.get(x, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, out = full, 0, len(a)
+    for x in b:
+        same = places_of.get(x, 0)
+        level = (((same & up) + up) ^ up) | same | down
+        more, less = down | (full & ~(level | up)), up & level
+        out += bool(more & top) - bool(less & top)
+        more = (more << 1 | 1) & full
+        less = less << 1 & full
+        up, down = less | (full & ~((same | down) | more)), more & (same | down)
+    return out
+
+
+def distances(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Edit distances of many pairs of texts side by side, 64 places of a column to a word of bits."""
+    out = np.zeros(len(pairs), np.int64)
+    order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
+    lo = 0
+    while lo < len(order):
+        # about as many words of bits in each step, whatever the lengths
+        hi = lo + 1
+        while hi < len(order) and (hi + 1 - lo) * (len(pairs[order[hi]][0]) // 64 + 1) <= 8192:
+            hi += 1
+        part = order[lo:hi]
+        out[part] = _columns([pairs[i][0] for i in part], [pairs[i][1] for i in part])
+        lo = hi
+    return out
+
+
+def _columns(left: list[str], right: list[str]) -> np.ndarray:
+    g = len(left)
+    m, n = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    if not m.all():  # nothing but insertions
+        out = n.copy()
+        some = np.flatnonzero(m)
+        if len(some):
+            out[some] = _columns([left[i] for i in some], [right[i] for i in some])
+        return out
+    points = np.frombuffer("".join([*left, *right]).encode("utf-32-le", "replace"), dtype=np.uint32)
+    letters, ids = np.unique(points, return_inverse=True)
+    own, words = np.repeat(np.arange(g), m), int(m.max() + 63) // 64
+    at = np.arange(len(own)) - np.repeat(np.cumsum(m) - m, m)
+    places_of = np.zeros(((len(letters) + 1) * g, words), np.uint64)
+    np.bitwise_or.at(places_of, (ids[: len(own)] * g + own, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+    text = np.full((int(n.max()), g), len(letters))
+    other = np.repeat(np.arange(g), n)
+    text[np.arange(len(other)) - np.repeat(np.cumsum(n) - n, n), other] = ids[len(own) :]
+    one, top = np.uint64(1), np.uint64(63)
+    up, down, out = np.full((words, g), ~np.uint64(0)), np.zeros((words, g), np.uint64), m.copy()
+    last, bit = (m - 1) // 64, ((m - 1) % 64).astype(np.uint64)
+    ends = [np.flatnonzero(last == w) for w in range(words)]
+    for j in range(len(text)):
+        same_all = places_of[text[j] * g + np.arange(g)]
+        more_in, less_in = np.ones(g, np.uint64), np.zeros(g, np.uint64)
+        for w in range(words):
+            same, u, d = same_all[:, w], up[w], down[w]
+            cross = same | d
+            same = same | less_in
+            level = (((same & u) + u) ^ u) | same
+            more, less = d | ~(level | u), u & level
+            k = ends[w]
+            if len(k):
+                k = k[j < n[k]]
+                out[k] += ((more[k] >> bit[k]) & one).astype(np.int64) - ((less[k] >> bit[k]) & one).astype(np.int64)
+            carry = more >> top, less >> top
+            more, less = (more << one) | more_in, (less << one) | less_in
+            up[w], down[w] = less | ~(cross | more), more & cross
+            more_in, less_in = carry
+    return out
+
+
+def _settled(a: str, b: str, percent: int) -> bool | tuple[str, str, int]:
+    """Whether two normal forms are alike, or the texts whose distance decides it, and its limit.
+
+    Only what is between their common first and last words is compared.  What few
+    edited words can cost at most may settle it before letters are looked at.
+    """
+    longest = max(len(a), len(b))
+    most = longest * (100 - percent) // 100
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = a.split(" "), b.split(" ")
+    words = max(len(x), len(y))
+    p = 0
+    while p < min(len(x), len(y)) and x[p] == y[p]:
+        p += 1
+    q = 0
+    while q < min(len(x), len(y)) - p and x[-1 - q] == y[-1 - q]:
+        q += 1
+    x, y = x[p : len(x) - q], y[p : len(y) - q]
+    if longest > LONG:
+        return distance(x, y) <= words * (100 - percent) // 100
+    if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y, strict=True) if v != w) <= most:
+        return True
+    return "".join(w + " " for w in x), "".join(w + " " for w in y), most
+
+
+def alike(pairs: Iterable[tuple[str, str]], percent: int = PERCENT) -> np.ndarray:
+    """Whether the edit distance of each two normal forms is at most (100 - percent) % of the longer, in words if it has more than LONG characters."""
+    told = [_settled(a, b, percent) for a, b in pairs]
+    out = np.array([x is True for x in told], dtype=bool)
+    left = [i for i, x in enumerate(told) if isinstance(x, tuple)]
+    out[left] = distances([told[i][:2] for i in left]) <= np.array([told[i][2] for i in left], dtype=np.int64)
+    return out
+
+
+# -- groups -------------------------------------------------------------------
+
+
+def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (u, v) whose norms are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = alike(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True), percent)
+            at = pa.array(np.flatnonzero(good))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["u", "v"])
+
+    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("norm").alias("tu")), "u").join(texts.select(F.col("node").alias("v"), F.col("norm").alias("tv")), "v")
+    return both.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
+
+
+_OF_V = {"at": "b", "n": "m", "chars": "chars_v", "fp": "fp_v"}
+
+
+def _known(members: DataFrame, component: DataFrame | None) -> DataFrame:
+    if component is None:
+        return members.withColumn("component", F.col("node"))
+    return members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _open(rows: DataFrame, *more: Column) -> DataFrame:
+    """(block, more) of the blocks whose lines are of several components."""
+    wide = rows.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *more)
+    return wide.where("lo <> hi").drop("lo", "hi")
+
+
+def star_pairs(rows: DataFrame, centres: int, percent: int = PERCENT) -> DataFrame:
+    """Candidates (u, v) of (block, node, component, at, n, chars, fp): v is one of the centres of a block of two components.
+
+    The first of so many orders of the nodes are the centres, each order by the nodes with other bits flipped.
+    """
+    flips = [F.lit(int(x)) for x in mix(np.arange(centres, dtype=np.uint64)).view(np.int64)]
+    chosen = F.array_distinct(F.array(*(F.min(F.col("node").bitwiseXOR(x)).bitwiseXOR(x) for x in flips))).alias("centres")
+    left = rows.join(_open(rows, chosen), "block")
+    right = left.where(F.array_contains("centres", F.col("node"))).select(F.col("block").alias("block_v"), F.col("node").alias("v"), F.col("component").alias("cv"), *(F.col(a).alias(b) for a, b in _OF_V.items()))
+    met = (F.col("block") == F.col("block_v")) & (F.col("component") != F.col("cv")) & _near(percent)
+    return left.join(right, met).select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
+
+
+def _rest(members: DataFrame, component: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of the open blocks of up to CENTRES ** 2 lines, rows of the larger ones with the number of their parts)."""
+    known = _known(members, component)
+    parts = _open(known, F.count("*").alias("size"))
+    few = F.col("size") <= CENTRES**2
+    large = parts.where(~few).select("block", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+    return known.join(parts.where(few).select("block"), "block"), known.join(large, "block")
+
+
+def small_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """All candidates (u, v) of blocks with few lines."""
+    left = rows.select("block", F.col("node").alias("u"), F.col("component").alias("cu"), *_OF_V)
+    right = rows.select(F.col("block").alias("block_v"), F.col("node").alias("v"), F.col("component").alias("cv"), *(F.col(a).alias(b) for a, b in _OF_V.items()))
+    met = (F.col("block") == F.col("block_v")) & (F.col("cu") != F.col("cv")) & (F.col("u") < F.col("v")) & _near(percent)
+    return left.join(right, met).select("u", "v").distinct()
+
+
+def large_links(rows: DataFrame, lines: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (u, v) inside large blocks: (block, node, component, at, n, chars, fp, parts).
+
+    A bucket is two of a block's parts, so a task holds 2 * PART lines at about the
+    same time, and only links leave it.  Of the blocks that two lines share, the
+    least one compares them.
+    """
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.join(texts, "node").join(lines.select("node", "blocks").dropDuplicates(["node"]), "node")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    rows = rows.select("block", "part", other, "node", "component", *_OF_V, "norm", "blocks")
+    rows = rows.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("second"), "node", "component", *_OF_V, "norm", "blocks")
+
+    def run(bucket: pa.Table) -> pa.Table:
+        block, twice = bucket.column("block")[0].as_py(), bucket.column("i")[0].as_py() != bucket.column("j")[0].as_py()
+        col = {c: bucket.column(c).to_numpy() for c in ("node", "component", "second", *_OF_V)}
+        norms, held = bucket.column("norm").to_pylist(), [set(x) for x in bucket.column("blocks").to_pylist()]
+        label = col["component"].copy()
+        links: list[tuple[int, int]] = []
+        waiting: list[tuple[int, int]] = []
+
+        def settle() -> None:
+            open_ = [(a, k) for a, k in waiting if label[a] != label[k] and min(held[a] & held[k]) == block]
+            waiting.clear()
+            for (a, k), good in zip(open_, alike([(norms[a], norms[k]) for a, k in open_], percent), strict=True):
+                if good and label[k] != label[a]:
+                    links.append((int(col["node"][a]), int(col["node"][k])))
+                    label[label == label[k]] = label[a]
+
+        for a in np.flatnonzero(~col["second"]):
+            b = np.flatnonzero(col["second"]) if twice else np.arange(a + 1, len(label))
+            room = np.maximum(col["n"][a], col["n"][b]) * (100 - percent) * 1.25 / 100 + 1
+            fits = (label[b] != label[a]) & (np.abs(col["at"][a] - col["at"][b]) <= room) & (np.abs(col["n"][a] - col["at"][a] - col["n"][b] + col["at"][b]) <= room)
+            fits &= np.abs(col["chars"][a] - col["chars"][b]) * 100 <= np.maximum(col["chars"][a], col["chars"][b]) * (100 - percent)
+            fits &= (np.minimum(col["n"][a], col["n"][b]) < FEW) | (np.bitwise_count((col["fp"][a] ^ col["fp"][b]).view(np.uint64)) <= RADIUS)
+            waiting += [(int(a), int(k)) for k in b[fits]]
+            if len(waiting) > 4096:
+                settle()
+        settle()
+        return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([x for _, x in links], pa.int64())})
+
+    return rows.groupBy("block", "i", "j").applyInArrow(run, "u long, v long")
+
+
+def groups(scratch: Scratch, df: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(lines, classes): all lines (doc, line_no, node, other), and (node, other, keep_doc, keep_no, n, component) of the classes that are repeated or linked."""
+    lines = scratch.keep(describe(df, text, key))
+    first = lines.groupBy("node").agg(F.min(F.struct("other", "doc", "line_no")).alias("first"), F.count("*").alias("n"))
+    first = scratch.keep(first.select("node", "first.*", "n"))
+    # a line that can be of a pair beyond SHORT characters
+    rows = lines.where(f"100 * chars >= {SHORT * percent}").select("node", "n", "chars", "fp", F.explode(F.arrays_zip("blocks", "ats")).alias("b"))
+    rows = rows.select(F.col("b.blocks").alias("block"), "node", F.col("b.ats").alias("at"), "n", "chars", "fp")
+    shared = rows.groupBy("block").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("block")
+    members = scratch.keep(rows.join(scratch.keep(shared), "block").distinct())
+    short = lines.where(f"chars <= {SHORT}").select("node")
+    wanted = first.join(members.select("node").unionByName(short).distinct(), "node", "left_semi").select("node", "other", "doc", "line_no")
+    texts = describe(df, text, key, norms=True).join(wanted, ["node", "other", "doc", "line_no"], "left_semi")
+    texts = scratch.keep(texts.select("node", "norm").dropDuplicates(["node"]))
+    component, links = None, short_links(scratch, texts, percent)
+    for centres in (1, CENTRES):  # some lines of each block against all its others, then what is left
+        known = _known(members, component)
+        links = links.unionByName(scratch.keep(verified(scratch.keep(star_pairs(known, centres, percent)), texts, percent)))
+        component = scratch.keep(connected_components(scratch, links))
+    small, large = _rest(members, component)
+    links = links.unionByName(scratch.keep(verified(scratch.keep(small_pairs(small, percent)), texts, percent)))
+    links = links.unionByName(scratch.keep(large_links(scratch.keep(large), lines, texts, percent)))
+    component = connected_components(scratch, links)
     named = first.join(component, "node", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
     named = scratch.keep(named)
     kept = named.groupBy("component").agg(F.min(F.struct("doc", "line_no")).alias("keep"))
-    return named.join(kept, "component").select("node", F.col("keep.doc").alias("keep_doc"), F.col("keep.line_no").alias("keep_no"), "n", "component")
+    return lines.select("doc", "line_no", "node", "other"), named.join(kept, "component").select("node", "other", F.col("keep.doc").alias("keep_doc"), F.col("keep.line_no").alias("keep_no"), "n", "component")
 
 
 def dropped_lines(scratch: Scratch, df: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """(key, dropped) of the rows that lose lines; dropped has their numbers, from 0."""
-    lines = _lines(df, text, key)
-    found = groups(scratch, lines, percent)
-    gone = lines.select("doc", "line_no", "node").join(found, "node").where("not (doc <=> keep_doc and line_no = keep_no)")
-    return gone.groupBy("doc").agg(F.collect_set("line_no").alias("dropped")).select(F.col("doc").alias(key), "dropped")
+    """(doc, dropped) of the rows that lose lines; doc is the row's key and hash, dropped has the lines' numbers, from 0."""
+    lines, found = groups(scratch, df, text, key, percent)
+    gone = lines.join(found, ["node", "other"]).where("not (doc = keep_doc and line_no = keep_no)")
+    return gone.groupBy("doc").agg(F.collect_set("line_no").alias("dropped"))
 
 
-def without_lines(df: DataFrame, gone: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """All columns and rows of ``df``, the text without the lines of (key, dropped)."""
+def without_lines(df: DataFrame, gone: DataFrame, text: str = "text", key: str = "doc_id", count: str | None = None) -> DataFrame:
+    """All columns and rows of ``df``, the text without the lines of (doc, dropped); ``count`` names a column for their number."""
     # the split stays below the join: inside the lambda it would be taken anew for every line
-    parts = df.withColumn("__lines", F.split(F.col(text), "\n"))
-    parts = parts.join(gone.select(F.col(key).alias("__doc"), F.col("dropped").alias("__dropped")), F.col(key) == F.col("__doc"), "left")
+    parts = df.withColumn("__doc", _identity(df, text, key)).withColumn("__lines", F.split(F.col(text), "\n"))
+    parts = parts.join(gone.select(F.col("doc").alias("__gone"), F.col("dropped").alias("__dropped")), F.col("__doc") == F.col("__gone"), "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__dropped")
     cut = F.array_join(F.transform(left, lambda i: F.col("__lines")[i]), "\n")
     whole = F.col("__dropped").isNull() | F.col(text).isNull()
-    return parts.withColumn(text, F.when(whole, F.col(text)).otherwise(cut)).select(*df.columns)
+    told = [F.coalesce(F.size("__dropped"), F.lit(0)).alias(count)] if count else []
+    return parts.withColumn(text, F.when(whole, F.col(text)).otherwise(cut)).select(*df.columns, *told)

@@ -78,8 +78,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     finally:
         scratch.drop()
     counted = documents.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)))
-    told = lines.without_lines(counted, gone).join(gone.select("doc_id", F.size("dropped").alias("n")), "doc_id", "left")
-    return told.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n", F.lit(0)).alias("n_dropped"), F.sha2("text", 256).alias("text_sha256"))
+    told = lines.without_lines(counted, gone, count="n_dropped")
+    return told.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,7 +158,7 @@ def test_lines(spark, scratch):
     cut = {r["doc_id"]: r["text"] for r in lines.without_lines(docs, gone).collect()}
     assert cut[0] == rows[0] and cut[3] is None and cut[4] == "" and cut[5] == ""
     assert cut[1].split("\n")[0] == f"{long_} end" and len(cut[1].split("\n")) == 1
-    assert cut[2] in ("---", rows[2])  # a link needs a near fingerprint
+    assert cut[2] == "---"
     assert lines.without_lines(docs, gone).columns == docs.columns
 
 
@@ -190,13 +190,54 @@ def test_lines_recall_against_brute_force(spark, scratch):
             rows.append(" ".join(words))
     rows = list(dict.fromkeys(rows))
     links = {(a, b) for a, b in combinations(range(len(rows)), 2) if 5 * abs(len(rows[a]) - len(rows[b])) <= max(len(rows[a]), len(rows[b])) and (b == a + 1 or len(rows[b]) < 33) and 5 * _edits(rows[a], rows[b]) <= max(len(rows[a]), len(rows[b]))}
-    found = {r["doc"]: r["component"] for r in lines.groups(scratch, lines._lines(texts(spark, rows), "text", "doc_id")).select("component", F.col("node")).join(lines._lines(texts(spark, rows), "text", "doc_id"), "node").collect()}
+    told, classes = lines.groups(scratch, texts(spark, rows))
+    found = {r["key"]: r["component"] for r in told.join(classes, ["node", "other"]).select("doc.key", "component").collect()}
     hit = {(a, b) for a, b in links if a in found and found[a] == found.get(b)}
     assert len(links) > 60 and not {x for x in links - hit if max(len(rows[x[0]]), len(rows[x[1]])) <= lines.SHORT}
     assert len(hit) >= 0.99 * len(links)
     assert set(found) <= {x for pair in links for x in pair}
 
 
+def test_edit_distances_side_by_side():
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("ab é") for _ in range(n))
+    pairs = [(some(n), some(max(n + rng.randint(-3, 3), 0))) for n in (0, 1, 2, 5, 63, 64, 65, 130) for _ in range(6)]
+    assert lines.distances(pairs).tolist() == [_edits(a, b) for a, b in pairs] == [lines.distance(a, b) for a, b in pairs]
+
+
+def test_lines_of_odd_rows(spark, scratch):
+    long_ = " ".join(f"word{i * 7919 % 1000}" for i in range(20_000))
+    rows = [(None, FOX, 1), (1, FOX, 2), (1, FOX, 3), (1, f"other text\n{FOX}", 4), (2, long_, 5), (3, long_.replace("word5 ", "x "), 6), (4, "", 7), (5, None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node int")
+    out = {r["node"]: r["text"] for r in lines.without_lines(docs, lines.dropped_lines(scratch, docs)).collect()}
+    # the null key comes first; rows of one key keep their own lines; a near copy of a very long line goes
+    assert out == {1: FOX, 2: "", 3: "", 4: "other text", 5: long_, 6: "", 7: "", 8: None}
+    nothing = docs.where("false")
+    assert lines.without_lines(nothing, lines.dropped_lines(scratch, nothing)).count() == 0
+
+
+def test_large_blocks_lose_no_link(spark, scratch, monkeypatch):
+    monkeypatch.setattr(lines, "CENTRES", 2)
+    monkeypatch.setattr(lines, "PART", 5)
+    rng = random.Random(3)
+    base = [f"w{i}{'abcdefgh'[i % 8] * 3}" for i in range(30)]
+    rows = []
+    for _ in range(25):  # each a sixth off the base, so that many pairs are just beyond the threshold
+        own = list(base)
+        for at in rng.sample(range(5, 30), 5):
+            own[at] = f"z{rng.randint(100, 999)}yy"
+        rows.append(" ".join(own))
+    told, classes = lines.groups(scratch, texts(spark, rows))
+    found = {r["key"]: r["component"] for r in told.join(classes, ["node", "other"]).select("doc.key", "component").collect()}
+    group = list(range(len(rows)))
+    for _ in rows:
+        for a, b in combinations(range(len(rows)), 2):
+            if 5 * _edits(rows[a], rows[b]) <= max(len(rows[a]), len(rows[b])):
+                group[a] = group[b] = min(group[a], group[b])
+    for a, b in combinations(range(len(rows)), 2):
+        assert (group[a] == group[b]) == (a in found and found[a] == found.get(b))
+
+
 def test_simhash_paths_agree(spark):
     words = spark.createDataFrame([(1, i * 7919 * 104729 + 13) for i in range(99)], "node long, h long")
     packed = lines.simhash(words.withColumn("packed", F.lit(True)), "node").first()["fp"]
