@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FACT = "struct<type:string,start:int,end:int,confidence:double,source:string,value:string,read_only:boolean,ord:int>"
@@ -14,6 +14,10 @@ FACTS = f"array<{FACT}>"
 DOCUMENT_LEVEL = ("MEDICAL_CONTENT", "PARSER_FAILURE", "UNSUPPORTED_FORMAT")
 
 
+#: Control characters that stand before, inside and behind a match.
+MARKS = "\x01\x02\x03"
+
+
 def EMPTY_FACTS() -> Column:  # noqa: N802
     """A typed array without facts."""
     return F.array().cast(FACTS)
@@ -24,13 +28,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def barrier(value: Column) -> Column:
-    """``value``, as an expression that filters above are not pushed through.
+def with_fenced(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with the columns, worked out once for each row, as the output of a generator.
 
-    A filter on what a long chain of expressions yields would otherwise be
-    rewritten in terms of the chain's inputs, which repeats all of it.
+    Filters on these columns stay above it, where they would otherwise be rewritten
+    in terms of the inputs and repeat the whole chain of expressions; filters on
+    columns of ``df`` go below it, down to the scan.
     """
-    return F.when(F.rand(0) + 1 > 0, value)
+    rows = df.select("*", F.explode_outer(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))).alias("__fenced"))
+    return rows.select(*(c for c in df.columns if c not in columns), *(F.col("__fenced")[k].alias(k) for k in columns))
 
 
 def empty(kind: str = FACTS) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.plans.guard import sanitize
+from hushframe.plans.records import sanitize_records
+from hushframe.sources.structured import kind_of_text
 
 #: Verdict and release -> what a sender is told; fixed values of the exit and HTTP codes.
 EXIT_CODES = {"ALLOW": 0, "SANITIZE": 2, "ASK": 3, "BLOCK": 4}
@@ -24,41 +28,102 @@ def exit_code(verdict: Column) -> Column:
 
 
 def status_code(result: Column) -> Column:
-    """HTTP status of an outcome: 200, or 403 where nothing may pass."""
-    return F.when(result == "release", 200).otherwise(403)
+    """HTTP status of an outcome: 200, 400 for no known shape, 422 for a failed verification, or 403 where nothing may pass."""
+    return F.when(result == "release", 200).when(result == "invalid", 400).when(result == "verification_failed", 422).otherwise(403)
+
+
+#: Parts that no text can be read from; a request with one is refused.
+UNREADABLE = ("image", "image_url", "input_image", "document", "input_audio", "file")
+_FIELD = "array<struct<path:string,mode:string,kind:string,content:string>>"
+
+
+class Unknown(ValueError):
+    """A body of no known shape."""
+
+
+def _field(path: str, mode: str, value: object) -> dict[str, str]:
+    """A text, or a container in a text or as such, as JSON; a text that is broken JSON is refused."""
+    if not isinstance(value, str):
+        return {"path": path, "mode": mode, "kind": "json", "content": json.dumps(value if isinstance(value, (dict, list)) else [value])}
+    kind = kind_of_text(value)
+    if kind == "unsupported":
+        return {"path": path, "mode": "refused", "kind": None, "content": None}
+    return {"path": path, "mode": mode, "kind": "json" if kind == "text" else kind, "content": json.dumps([value]) if kind == "text" else value}
+
+
+def _parts(path: str, content: object) -> list[dict[str, str]]:
+    if content is None:
+        return []
+    if isinstance(content, str):
+        return [_field(path, "rewrite", content)]
+    if not isinstance(content, list):
+        raise Unknown(path)
+    out = []
+    for i, part in enumerate(content):
+        at = f"{path}/{i}"
+        if not isinstance(part, dict):
+            raise Unknown(at)
+        if part.get("type") in UNREADABLE:
+            out.append({"path": at, "mode": "refused", "kind": None, "content": None})
+        else:  # whatever a part carries is looked at: text, results of tools, inputs
+            out += [_field(f"{at}/{k}", "rewrite", v) for k, v in part.items() if k != "type" and v is not None]
+    return out
 
 
-_MESSAGES = "struct<user:string,system:string,messages:array<struct<role:string,content:string>>,tools:array<struct<type:string,function:struct<name:string,description:string>>>>"
+def read_fields(body: str | None) -> list[dict[str, str]]:
+    """The texts of a chat request in either provider's shape.
 
+    Message contents, system texts, arguments of tool calls and metadata are
+    rewritten; user names and descriptions of tools are only judged.  A body that
+    does not parse or has no messages gives one field of the mode ``invalid``.
+    """
+    try:
+        doc = json.loads(body or "")
+        if not isinstance(doc, dict) or not isinstance(doc.get("messages"), list):
+            raise Unknown("messages")
+        out = _parts("/system", doc.get("system"))
+        for i, m in enumerate(doc["messages"]):
+            if not isinstance(m, dict):
+                raise Unknown(f"/messages/{i}")
+            out += _parts(f"/messages/{i}/content", m.get("content"))
+            for k, call in enumerate(m.get("tool_calls") or ()):
+                given = call["function"].get("arguments")
+                out += [] if given is None else [_field(f"/messages/{i}/tool_calls/{k}", "rewrite", given)]
+        if doc.get("metadata") is not None:
+            out.append(_field("/metadata", "rewrite", doc["metadata"]))
+        if doc.get("user") is not None:
+            out.append(_field("/user", "judge", doc["user"]))
+        for k, tool in enumerate(doc.get("tools") or ()):
+            said = tool.get("description") or (tool.get("function") or {}).get("description")
+            out += [_field(f"/tools/{k}/description", "judge", said)] if said else []
+        return out
+    except (ValueError, RecursionError, TypeError, AttributeError, KeyError):
+        return [{"path": "", "mode": "invalid", "kind": None, "content": None}]
 
-def fields(df: DataFrame, key: str = "request_id", body: str = "body") -> DataFrame:
-    """(key, path, mode, text) of a chat request's texts: message texts and parts are rewritten, user and tool descriptions only judged.
 
-    Contents may be texts or arrays of parts; image and document parts are refused.
-    """
-    tree = df.select(key, F.from_json(body, _MESSAGES).alias("r"))
-    row = lambda path, mode, text: F.struct(path.cast("string").alias("path"), F.lit(mode).alias("mode"), text.alias("text"))
-    parts = "array<struct<type:string,text:string,content:string>>"
+def fields(df: DataFrame, key: str = "request_id", body: str = "body") -> DataFrame:
+    """(key, path, mode, kind, content) of each request's texts; a request without any has one row of the mode ``none``."""
 
-    def message(m: Column, i: Column) -> Column:
-        at = F.concat(F.lit("/messages/"), i.cast("string"), F.lit("/content"))
-        parsed = F.from_json(F.when(m["content"].rlike(r"^\s*\["), m["content"]), parts)
-        refused = lambda p: p["type"].isin("image", "image_url", "document", "input_audio", "file")
-        split = F.transform(parsed, lambda p, k: F.when(refused(p), row(F.concat(at, F.lit("/"), k.cast("string")), "refused", p["type"])).otherwise(row(F.concat(at, F.lit("/"), k.cast("string")), "rewrite", F.coalesce(p["text"], p["content"]))))
-        return F.when(parsed.isNotNull(), split).otherwise(F.array(row(at, "rewrite", m["content"])))
+    @F.pandas_udf(_FIELD)
+    def read(column: pd.Series) -> pd.Series:
+        return pd.Series([read_fields(x) or [{"path": "", "mode": "none", "kind": None, "content": None}] for x in column], dtype=object)
 
-    texts = F.coalesce(F.flatten(F.transform("r.messages", message)), F.array().cast("array<struct<path:string,mode:string,text:string>>"))
-    tools = F.coalesce(F.transform("r.tools", lambda t, i: row(F.concat(F.lit("/tools/"), i.cast("string"), F.lit("/function/description")), "judge", t["function"]["description"])), F.array().cast("array<struct<path:string,mode:string,text:string>>"))
-    single = F.array(row(F.lit("/system"), "rewrite", F.col("r.system")), row(F.lit("/user"), "judge", F.col("r.user")))
-    return tree.select(key, F.explode(F.concat(single, texts, tools)).alias("f")).select(key, "f.*").where("text is not null")
+    return df.select(key, F.explode(read(body)).alias("f")).select(key, "f.*")
 
 
 def guard_requests(df: DataFrame, key: str = "request_id", body: str = "body", **how: object) -> DataFrame:
-    """(key, n_fields, n_rewritten, outcome, status): a request passes if each field does, and the worst field decides."""
-    told = sanitize(fields(df, key, body), "text", **how)
-    judged = F.when(F.col("mode") == "judge", F.when(F.col("decision.verdict") == "BLOCK", "blocked").otherwise("release")).when(F.col("mode") == "refused", "blocked").otherwise(outcome(F.col("decision.verdict"), F.col("released")))
-    worst = F.expr("array('release', 'approval_required', 'verification_failed', 'blocked')")
+    """(key, n_fields, n_rewritten, outcome, status): a request passes if each field does, and the worst field decides.
+
+    Every request has a row: one of no known shape is invalid.
+    """
+    told = sanitize_records(fields(df, key, body), **how)
+    judged = (
+        F.when(F.col("mode") == "invalid", "invalid").when(F.col("mode") == "none", "release").when(F.col("mode") == "refused", "blocked")
+        .when(F.col("mode") == "judge", F.when(F.col("decision.verdict") == "BLOCK", "blocked").otherwise("release")).otherwise(outcome(F.col("decision.verdict"), F.col("released")))
+    )
+    worst = F.expr("array('release', 'approval_required', 'verification_failed', 'blocked', 'invalid')")
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
     rows = told.withColumn("rank", F.array_position(worst, judged))
-    out = rows.groupBy(key).agg(F.count("*").alias("n_fields"), F.sum(F.when((F.col("mode") == "rewrite") & F.col("released") & (F.col("decision.verdict") == "SANITIZE"), 1).otherwise(0)).alias("n_rewritten"), F.max("rank").alias("rank"))
+    out = rows.groupBy(key).agg(one(~F.col("mode").isin("none", "invalid")).alias("n_fields"), one((F.col("mode") == "rewrite") & F.col("released") & (F.col("decision.verdict") == "SANITIZE")).alias("n_rewritten"), F.max("rank").alias("rank"))
     named = F.element_at(worst, F.col("rank").cast("int"))
     return out.select(key, "n_fields", "n_rewritten", named.alias("outcome"), status_code(named).alias("status"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe import lexicon as L
-from hushframe.functions.spans import FACTS, empty, is_placeholder, let, mark, merge, read_marks
+from hushframe.functions.spans import FACTS, MARKS, empty, is_placeholder, let, mark, merge, read_marks, with_fenced
 
 _SEP = r"[ \t\x{3000}]*[:：=]?[ \t\x{3000}]*"
 _SEP_NEEDED = r"(?:[ \t\x{3000}]*[:：=][ \t\x{3000}]*|[ \t\x{3000}]+)"
@@ -239,6 +239,7 @@ def detect(text: Column, detectors: Iterable[str] | None = None, extra: Iterable
     """Merged facts of a text; ``extra`` are further arrays of facts (custom detectors, dictionary)."""
     wanted = set(DETECTORS if detectors is None else detectors)
     rules = tuple(r for r in RULES if r.detector in wanted)
+    text = F.translate(text, MARKS, "   ")  # no text can hold the marks by which matches are told
     parts = ([raw_facts(text, rules)] if rules else []) + [e.cast(FACTS) for e in extra]
     return merge(F.concat(*parts)) if parts else empty()
 
@@ -247,18 +248,19 @@ def with_facts(df: DataFrame, text: str = "text", name: str = "facts", detectors
     """``df`` with an array of facts; texts without any anchor character skip all rules but the cheap tests."""
     more = tuple(extra)
     if more:
-        return df.withColumn(name, detect(F.col(text), detectors, more))
-    return df.withColumn(name, facts_of(text, None if detectors is None else tuple(detectors)))
+        return with_fenced(df, **{name: detect(F.col(text), detectors, more)})
+    return with_fenced(df, **{name: facts_of(text, None if detectors is None else tuple(detectors))})
 
 
-_BUILT: dict[tuple[int, str, tuple[str, ...] | None], Column] = {}
+_BUILT: dict[tuple[str, str, tuple[str, ...] | None], Column] = {}
 
 
 def facts_of(text: str, detectors: tuple[str, ...] | None = None) -> Column:
     """``detect`` of a column name, built once for each session: the whole table of rules is a large expression."""
     from pyspark import SparkContext
 
-    at = (id(SparkContext._jvm), text, detectors)
+    running = SparkContext._active_spark_context
+    at = (running.applicationId if running else "", text, detectors)
     if at not in _BUILT:
         _BUILT[at] = detect(F.col(text), detectors)
     return _BUILT[at]

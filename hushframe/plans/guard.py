@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.functions.spans import EMPTY_FACTS, barrier, strip_invisible
-from hushframe.operators.detect import facts_of, with_facts
+from hushframe.functions.spans import EMPTY_FACTS, strip_invisible, with_fenced
+from hushframe.operators.detect import detect, facts_of, with_facts
 from hushframe.operators.transform import EVIDENCE, evidence, splice
 from hushframe.operators.verify import verify
 from hushframe.plans.policy import PROFILES, Profile, closed_decision, coerce_purpose, coerce_trust, decide
@@ -22,21 +22,24 @@ def _column(x: str | Column) -> Column:
     return F.lit(x) if isinstance(x, str) else x
 
 
-def evaluate(df: DataFrame, text: str = "text", recipient: str | Column = "EXTERNAL_APPROVED", purpose: str | Column = "EXTERNAL_AI_ASSISTANCE", profile: Profile | str = "external-ai-strict", detectors: Iterable[str] | None = None, extra: Iterable[Column] = ()) -> DataFrame:
+def evaluate(df: DataFrame, text: str = "text", recipient: str | Column = "EXTERNAL_APPROVED", purpose: str | Column = "EXTERNAL_AI_ASSISTANCE", profile: Profile | str = "external-ai-strict", detectors: Iterable[str] | None = None, extra: Iterable[Column | Callable[[Column], Column]] = ()) -> DataFrame:
     """``df`` with the text stripped of invisible characters, its ``facts`` and the ``decision``.
 
-    Null texts and binary ones are closed: BLOCK, CRITICAL, 100.
+    Null texts and binary ones are closed: BLOCK, CRITICAL, 100.  ``extra`` are custom
+    detectors and dictionaries: functions from a text column to facts, which also look
+    at the rewritten text in sanitize(), or facts of the text that are there already.
     """
     profile = PROFILES[profile] if isinstance(profile, str) else profile
     trust, why = coerce_trust(_column(recipient)), coerce_purpose(_column(purpose))
     readable = F.col(text).isNotNull() & ~is_binary(F.col(text))
     clean = df.withColumn("__ok", F.coalesce(readable, F.lit(False))).withColumn(text, F.when(F.col("__ok"), strip_invisible(F.col(text))).otherwise(F.col(text)))
-    found = with_facts(clean.withColumn("__text", F.when(F.col("__ok"), F.col(text)).otherwise("")), "__text", "facts", detectors, extra)
-    decided = found.withColumn("decision", barrier(F.when(F.col("__ok"), decide(F.col("facts"), trust, why, profile)).otherwise(closed_decision(profile))))
+    more = [e if isinstance(e, Column) else e(F.col("__text")) for e in extra]
+    found = with_facts(clean.withColumn("__text", F.when(F.col("__ok"), F.col(text)).otherwise("")), "__text", "facts", detectors, more)
+    decided = with_fenced(found, decision=F.when(F.col("__ok"), decide(F.col("facts"), trust, why, profile)).otherwise(closed_decision(profile)))
     return decided.drop("__ok", "__text")
 
 
-def sanitize(df: DataFrame, text: str = "text", recipient: str | Column = "EXTERNAL_APPROVED", purpose: str | Column = "EXTERNAL_AI_ASSISTANCE", profile: Profile | str = "external-ai-strict", detectors: Iterable[str] | None = None, extra: Iterable[Column] = ()) -> DataFrame:
+def sanitize(df: DataFrame, text: str = "text", recipient: str | Column = "EXTERNAL_APPROVED", purpose: str | Column = "EXTERNAL_AI_ASSISTANCE", profile: Profile | str = "external-ai-strict", detectors: Iterable[str] | None = None, extra: Iterable[Column | Callable[[Column], Column]] = ()) -> DataFrame:
     """evaluate(), then the plan applied and verified.
 
     ``sanitized`` is the released text and null where nothing is released: ALLOW
@@ -49,11 +52,15 @@ def sanitize(df: DataFrame, text: str = "text", recipient: str | Column = "EXTER
     work = F.col("decision.verdict") == "SANITIZE"
     rows = evaluate(df, text, recipient, purpose, profile, detectors, extra)
     rows = rows.withColumn("__done", F.when(work, evidence(F.col(text), F.col("facts"), F.col("decision.plan"))).otherwise(F.array().cast(EVIDENCE)))
-    rows = rows.withColumn("__out", F.when(work, splice(F.col(text), F.col("__done"))))
-    rows = rows.withColumn("__residual", F.when(work, facts_of("__out", named)).otherwise(EMPTY_FACTS()))
-    rows = rows.withColumn("verification", F.when(work, verify(F.col(text), F.col("facts"), F.col("__done"), F.col("__out"), F.col("__residual"), trust, why, profile)))
+    rows = with_fenced(rows, __out=F.when(work, splice(F.col(text), F.col("__done"))))
+    again = [e(F.col("__out")) for e in extra if not isinstance(e, Column)]
+    residual = detect(F.col("__out"), named, again) if again else facts_of("__out", named)
+    rows = with_fenced(rows, __residual=F.when(work, residual).otherwise(EMPTY_FACTS()))
+    listed = F.filter("__residual", lambda f: F.startswith(f["source"], F.lit("dictionary.")) & (f["source"] != "dictionary.department"))
+    checked = verify(F.col(text), F.col("facts"), F.col("__done"), F.col("__out"), F.col("__residual"), trust, why, profile, dictionary_hits=listed)
+    rows = with_fenced(rows, verification=F.when(work, checked))
     passed = F.coalesce(F.col("verification.passed"), F.lit(False))
-    rows = rows.withColumn("released", barrier((F.col("decision.verdict") == "ALLOW") | (work & passed)))
-    rows = rows.withColumn("sanitized", F.when(F.col("decision.verdict") == "ALLOW", F.col(text)).when(work & passed, F.col("__out")))
-    rows = rows.withColumn("decision_after", F.when(work & passed, decide(F.col("__residual"), trust, why, profile)))
+    after = F.when(work & passed, decide(F.col("__residual"), trust, why, profile))
+    out = F.when(F.col("decision.verdict") == "ALLOW", F.col(text)).when(work & passed, F.col("__out"))
+    rows = with_fenced(rows, released=(F.col("decision.verdict") == "ALLOW") | (work & passed), sanitized=out, decision_after=after)
     return rows.drop("__done", "__out", "__residual")

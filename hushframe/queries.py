@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hushframe.functions.spans import merge, strip_invisible
 from hushframe.operators import audit, chat, dataset, dicom, grants, scoring
-from hushframe.operators.detect import detect
+from hushframe.operators.detect import detect, with_facts
 from hushframe.operators.dictionary import dictionary_facts
 from hushframe.operators.transform import age_band, month_of_date, shift_days, shifted_date
 from hushframe.operators.verify import names_end_well
@@ -89,7 +89,7 @@ NOTES: dict[str, tuple[str, str, str, str, str]] = {
 def _detector_query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     _, before, value, behind, miss = NOTES[name]
     notes = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"CASE WHEN c_custkey % 5 = 3 THEN {miss} ELSE concat({before}, {value}, {behind}) END AS text")
-    found = notes.select("c_custkey", F.explode(detect(F.col("text"), [name])).alias("f"))
+    found = with_facts(notes, "text", "facts", [name]).select("c_custkey", F.explode("facts").alias("f"))
     return found.select("c_custkey", "f.type", F.col("f.start").cast("long").alias("start"), F.col("f.end").cast("long").alias("end"), "f.value")
 
 
@@ -104,7 +104,7 @@ for _name, (_type, _before, _value, _behind, _miss) in NOTES.items():
 def detect_cn_id18(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resident numbers with right and wrong check digits."""
     notes = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"concat('身份证 ', {_ID17}, CASE WHEN c_custkey % 5 = 3 THEN {_ID_WRONG} ELSE {_ID_LAST} END, '。') AS text")
-    found = notes.select("c_custkey", F.explode(detect(F.col("text"), ["cn_id18"])).alias("f"))
+    found = with_facts(notes, "text", "facts", ["cn_id18"]).select("c_custkey", F.explode("facts").alias("f"))
     return found.select("c_custkey", "f.value", "f.confidence")
 
 
@@ -113,7 +113,7 @@ def detect_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest term of a dictionary, but not right behind a word of referral: there a shorter one begins later."""
     notes = table(spark, sf_dir, "customer").selectExpr("c_custkey", "concat(CASE WHEN c_custkey % 5 = 3 THEN '建议转往' ELSE '复诊地点' END, '青松康复之家，周一') AS text")
     terms = [("青松康复之家", "institution"), ("康复之家", "institution")]
-    found = notes.select("c_custkey", F.explode(detect(F.col("text"), [], [dictionary_facts(F.col("text"), terms)])).alias("f"))
+    found = with_facts(notes, "text", "facts", [], [dictionary_facts(F.col("text"), terms)]).select("c_custkey", F.explode("facts").alias("f"))
     return found.select("c_custkey", "f.type", F.col("f.start").cast("long").alias("start"), "f.source")
 
 
@@ -157,7 +157,7 @@ def sanitize_documents_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, url AS value, 0::BIGINT AS start FROM pages")
 def detect_url_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "pages").select("page_id", F.explode(detect(F.col("url"), ["url"])).alias("f"))
+    found = with_facts(table(spark, sf_dir, "pages"), "url", "facts", ["url"]).select("page_id", F.explode("facts").alias("f"))
     return found.select("page_id", "f.value", F.col("f.start").cast("long").alias("start"))
 
 
@@ -170,10 +170,11 @@ def strip_invisible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").selectExpr("c_custkey", f"concat(substr(c_name, 1, 3), {marks}, substr(c_name, 6)) AS text").select("c_custkey", strip_invisible(F.col("text")).alias("text"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'json' WHEN 1 THEN 'fhir' WHEN 2 THEN 'text' ELSE 'unsupported' END AS kind FROM events")
+@query("SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'json' WHEN 1 THEN 'fhir' WHEN 2 THEN 'text' WHEN 3 THEN 'unsupported' WHEN 4 THEN 'unsupported' WHEN 5 THEN 'unsupported' ELSE 'json' END AS kind FROM events")
 def admission_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON, FHIR, text and refused control characters told apart."""
-    text = "CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '{\"resourceType\": \"Patient\"}' WHEN 2 THEN concat('{', event_type) ELSE concat(event_type, chr(7)) END"
+    """JSON (repeated keys and NaN too), FHIR, text, refused control characters and containers with more behind them told apart."""
+    text = """CASE event_id % 8 WHEN 0 THEN props WHEN 1 THEN '{"resourceType": "Patient"}' WHEN 2 THEN concat('{', event_type) WHEN 3 THEN concat(event_type, chr(7))
+      WHEN 4 THEN '{"a":1}{"b":2}' WHEN 5 THEN concat('{"a":1} ', event_type) WHEN 6 THEN '{"a":1,"a":2}' ELSE '{"a":NaN}' END"""
     return table(spark, sf_dir, "events").selectExpr("event_id", f"{text} AS text").select("event_id", kind_of(F.col("text")).alias("kind"))
 
 
@@ -537,21 +538,32 @@ def audit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat bodies with an address to rewrite, and images that are refused."""
-    second = "CASE WHEN turn % 3 = 0 THEN '\"[{\\\\\"type\\\\\": \\\\\"image\\\\\"}]\"' ELSE '\"ok\"' END"
+    second = "CASE WHEN turn % 3 = 0 THEN '[{\"type\": \"image\"}]' ELSE '\"ok\"' END"
     body = f"concat('{{\"messages\": [{{\"role\": \"user\", \"content\": \"', CASE WHEN turn % 2 = 0 THEN 'mail a@b.example.com' ELSE 'hello' END, '\"}}, {{\"role\": \"user\", \"content\": ', {second}, '}}]}}') AS body"
     return chat.guard_requests(table(spark, sf_dir, "conversations").selectExpr("conv_id * 100 + turn AS request_id", body))
 
 
 @query(
-    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'rewrite' WHEN 2 THEN 'forward' ELSE 'refuse' END AS action FROM events"""
+    """SELECT event_id, CASE event_id % 10 WHEN 0 THEN 'pass' WHEN 1 THEN 'rewrite' WHEN 2 THEN 'forward' WHEN 3 THEN 'refuse' WHEN 4 THEN 'rewrite' WHEN 5 THEN 'rewrite' WHEN 6 THEN 'refuse'
+      WHEN 7 THEN 'pass' WHEN 8 THEN 'rewrite' ELSE 'refuse' END AS action, false AS leaked FROM events"""
 )
 def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON-RPC lines: only calls are looked at, arrays with a call are refused whole."""
-    line = """CASE event_id % 4 WHEN 0 THEN concat('{"jsonrpc":"2.0","id":', event_id, ',"method":"tools/list"}') WHEN 1 THEN '{"jsonrpc":"2.0","id":1,"method":"tools/call","params":{"arguments":{"q":"a@b.example.com"}}}'
-      WHEN 2 THEN '{"jsonrpc":"2.0","id":1,"method":"tools/call","params":{"arguments":{"q":"x"}}}' ELSE '[{"method":"tools/call"}]' END AS line"""
+    """JSON-RPC lines, spaced and escaped in many ways: only calls are looked at, arrays with a call are refused whole, no address leaves a call."""
+    line = """CASE event_id % 10
+      WHEN 0 THEN concat('{"jsonrpc":"2.0","id":', event_id, ',"method":"tools/list"}')
+      WHEN 1 THEN concat('{"jsonrpc":"2.0","id":', event_id, ',"method":"tools/call","params":{"arguments":{"q":"a@b.example.com"}}}')
+      WHEN 2 THEN concat('{"jsonrpc":"2.0","id":', event_id, ',"method":"tools/call","params":{"arguments":{"q":"x"}}}')
+      WHEN 3 THEN '[{"method":"tools/call"}]'
+      WHEN 4 THEN concat('{"method": "tools/call", "id": ', event_id, ', "params": {"arguments": {"q": "mail a@b.example.com"}}}')
+      WHEN 5 THEN concat('{"id":', event_id, ',"method":"tools/call","params":{"arguments":{"q":"x"},"inputResponses":{"r":"a@b.example.com"}}}')
+      WHEN 6 THEN concat('[{"id":', event_id, ',"method" : "tools', chr(92), '/call", "params":{"arguments":{"q":"a@b.example.com"}}}]')
+      WHEN 7 THEN concat('no message ', event_id)
+      WHEN 8 THEN concat('{"id":', event_id, ',"method":"tools/call","params":{"arguments":"mail a', chr(92), 'u0040b.example.com"}}')
+      ELSE concat('{"id":', event_id, ',"method":"tools/call","params":{"arguments":"{}{}"}}') END AS line"""
+    told = guard_lines(table(spark, sf_dir, "events").selectExpr(line))
     rows = table(spark, sf_dir, "events").selectExpr("event_id", line)
-    told = guard_lines(rows.select("line").distinct()).select("line", "action")
-    return rows.join(told, "line").select("event_id", "action")
+    seen = told.withColumn("leaked", F.coalesce(F.contains("out", F.lit("b.example.com")), F.lit(False))).groupBy("line").agg(F.first("action").alias("action"), F.max("leaked").alias("leaked"))
+    return rows.join(seen, "line").select("event_id", "action", "leaked")
 
 
 _TAGS = "CASE l_linenumber % 5 WHEN 0 THEN '00100010' WHEN 1 THEN '00080080' WHEN 2 THEN '0020000D' WHEN 3 THEN '00080020' ELSE '00280010' END"

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushframe.sources.structured import kind_of_text
+
 # File name suffixes that are never read as text.
 REFUSED_SUFFIXES = "jsonl ndjson tsv xls xlsx xlsm ods pdf doc docx odt rtf xml hl7 dcm dicom bin zip gz png jpg jpeg gif tif tiff wav mp3 mp4".split()
 # How documents begin that are no clinical prose.
@@ -29,17 +32,16 @@ def refused_name(path: Column) -> Column:
 def kind_of(text: Column) -> Column:
     """json, fhir, text or unsupported.
 
-    A text that begins with a brace or bracket is JSON if all of it parses, FHIR
-    if every top object says its resourceType, and plain text otherwise.
+    A text that begins with a brace or bracket is parsed in an Arrow kernel: SQL
+    parsers refuse repeated keys and read past what follows a document.
     """
+
+    @F.pandas_udf("string")
+    def container(texts: pd.Series) -> pd.Series:
+        return texts.map(kind_of_text, na_action="ignore")
+
     head = F.regexp_replace(text, r"(?U)^\s+", "")
-    parsed = F.try_parse_json(text)
-    single = F.get_json_object(text, "$.resourceType").isNotNull()
-    array = F.from_json(F.when(F.startswith(head, F.lit("[")), text), "array<map<string,string>>")
-    many = (F.size(array) > 0) & F.forall(array, lambda m: F.map_contains_key(m, F.lit("resourceType")))
-    container = head.rlike(r"^[\{\[]") & parsed.isNotNull()
-    fhir = F.when(F.startswith(head, F.lit("{")), single).otherwise(F.coalesce(many, F.lit(False)))
-    return F.when(text.isNull() | is_binary(text), "unsupported").when(container & fhir, "fhir").when(container, "json").otherwise("text")
+    return F.when(text.isNull() | is_binary(text), "unsupported").when(head.rlike(r"^[\{\[]"), container(text)).otherwise("text")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:

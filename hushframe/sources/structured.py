@@ -45,7 +45,7 @@ def probes_of(key: str) -> list[str]:
 
 def _clean(text: str) -> str:
     text = _INVISIBLE.sub("", text)
-    if _CONTROL.search(text):
+    if _CONTROL.search(text) or not text.isascii() and any("\ud800" <= c <= "\udfff" for c in text):
         raise Refused("UNSUPPORTED_FORMAT")
     return text
 
@@ -68,6 +68,8 @@ def json_leaves(doc: object, completed: dict[str, str] | None = None) -> list[di
             out.append({"path": path, "text": _clean(node), "probes": probes, "completed": (completed or {}).get(path), "read_only": False})
         elif node is not None and not isinstance(node, bool):
             out.append({"path": path, "text": str(node), "probes": probes, "completed": None, "read_only": True})
+    for leaf in out:
+        leaf["path"].encode()  # a key that no text can hold closes the payload
     return out
 
 
@@ -133,6 +135,30 @@ def _json(text: str) -> object:
     return doc
 
 
+def declares_fhir(doc: object) -> bool:
+    """Whether an object, or each object of an array, names its resource type."""
+    named = lambda x: isinstance(x, dict) and isinstance(x.get("resourceType"), str) and x["resourceType"] != ""
+    return named(doc) or isinstance(doc, list) and bool(doc) and all(map(named, doc))
+
+
+def kind_of_text(text: str) -> str:
+    """json, fhir, text or unsupported, by what a text that begins as a container parses to.
+
+    A whole container is JSON or FHIR, whatever keys it repeats; one with more
+    behind it is a broken payload and closed; anything else is prose.
+    """
+    body = text.lstrip()
+    if not body.startswith(("{", "[")):
+        return "text"
+    try:
+        doc, end = json.JSONDecoder().raw_decode(body)
+    except (ValueError, RecursionError):
+        return "text"
+    if body[end:].strip():
+        return "unsupported"
+    return "fhir" if declares_fhir(doc) else "json"
+
+
 def leaves_of(kind: str, text: str) -> list[dict]:
     if kind == "csv":
         header, rows = csv_table(text)
@@ -196,6 +222,8 @@ def with_leaves(df: DataFrame, kind: str = "kind", content: str = "content") ->
             return leaves_of(row[kind], row[content] or ""), None
         except Refused as e:
             return None, str(e)
+        except (ValueError, RecursionError):
+            return None, "PARSER_FAILURE"
 
     return _kernel(df, [("leaves", LEAVES, _LEAF), ("refusal", "string", pa.string())], work, kind, content)
 
@@ -206,7 +234,11 @@ def with_rebuilt(df: DataFrame, texts: str, kind: str = "kind", content: str = "
     def work(row: dict) -> tuple:
         if row[texts] is None:
             return None, None
-        out = rebuilt(row[kind], row[content], row[texts])
-        return out, leaves_of("json" if row[kind] == "fhir" else row[kind], out)
+        try:
+            out = rebuilt(row[kind], row[content], row[texts])
+            out.encode()
+            return out, leaves_of("json" if row[kind] == "fhir" else row[kind], out)
+        except (ValueError, RecursionError):  # Refused is a ValueError: what cannot be read again is not released
+            return None, None
 
     return _kernel(df, [("rebuilt", "string", pa.string()), ("rebuilt_leaves", LEAVES, _LEAF)], work, kind, content, texts)

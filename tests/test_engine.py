@@ -110,3 +110,73 @@ def test_stream_of_requests(spark, tmp_path):
     run.awaitTermination()
     told = {r["line"]: (r["action"], r["out"]) for r in spark.table("guarded").collect()}
     assert told[lines[0]] == ("rewrite", lines[0].replace("a@b.example.com", "[REDACTED]")) and told[lines[1]] == ("pass", lines[1]) and told[lines[2]][0] == "refuse"
+
+
+def test_no_planted_value_leaves_a_call(spark):
+    from hushframe.streaming.requests import guard_lines
+
+    mail = "a@b.example.com"
+    lines = [
+        '{"method": "tools/call", "id": 1, "params": {"arguments": {"q": "mail ' + mail + '"}}}',
+        '{"method":"tools/call","id":1,"params":{"arguments":{"q":"caf\\u00e9 ' + mail + '"}}}',
+        '{"method":"tools/call","id":1,"params":{"arguments":{"q":"x"},"inputResponses":["' + mail + '"]}}',
+        '[{"method" : "tools\\/call", "params":{"arguments":"' + mail + '"}}]',
+        '{"method":"tools/call","id":"s","params":{"arguments":"{\\"q\\": \\"' + mail + '\\"}"}}',
+        '{"method":"tools/call","params":{"arguments":"{} {' + mail + '}"}}',
+        '{"method":"tools/call","id":2,"params":{"arguments":{"q":"\\ud800 ' + mail + '"}}}',
+        "not a message", "", '{"method":"tools/call","id":3}',
+    ]
+    told = {r["line"]: (r["action"], r["out"]) for r in guard_lines(spark.createDataFrame([(x,) for x in lines], "line string")).collect()}
+    assert [told[x][0] for x in lines] == ["rewrite", "rewrite", "rewrite", "refuse", "rewrite", "refuse", "refuse", "pass", "pass", "pass"]
+    assert all(mail not in (told[x][1] or "") for x in lines[:7])
+    assert json.loads(told[lines[0]][1])["params"]["arguments"]["q"].startswith("mail [") and told[lines[5]][1] is None
+
+
+def test_every_request_has_a_row(spark):
+    from hushframe.operators.chat import guard_requests
+
+    mail = "a@b.example.com"
+    bodies = [
+        "not json", '{"model": "m"}', '{"messages": [7]}', None, '{"messages": []}', '{"messages": [{"content": "hello"}]}',
+        '{"messages": [{"content": "x"}], "metadata": {"who": "' + mail + '"}}',
+        '{"messages": [{"content": null, "tool_calls": [{"function": {"arguments": "{\\"to\\": \\"' + mail + '\\"}"}}]}]}',
+        '{"messages": [{"content": [{"type": "tool_result", "content": [{"type": "text", "text": "' + mail + '"}]}]}], "system": [{"type": "text", "text": "be brief"}]}',
+        '{"messages": [{"content": [{"type": "image_url"}]}]}',
+    ]
+    out = {r["request_id"]: r for r in guard_requests(spark.createDataFrame(list(enumerate(bodies)), "request_id int, body string")).collect()}
+    assert [out[i]["status"] for i in range(len(bodies))] == [400, 400, 400, 400, 200, 200, 200, 200, 200, 403]
+    assert [out[i]["n_rewritten"] for i in (5, 6, 7, 8)] == [0, 1, 1, 1]
+
+
+def test_one_bad_payload_closes_itself(spark):
+    from hushframe.plans.records import sanitize_records
+
+    rows = [("json", '{"a":"\\ud800"}'), ("json", '{"\\ud800":"x"}'), ("json", "[" * 5000), ("json", '{"a":"x"}'), (None, "x"), ("csv", None)]
+    told = [(r["decision"]["verdict"], r["released"]) for r in sanitize_records(spark.createDataFrame(rows, "kind string, content string")).collect()]
+    assert told == [("BLOCK", False)] * 3 + [("ALLOW", True)] + [("BLOCK", False)] * 2
+
+
+def test_detection_is_planned_once_and_filters_reach_the_scan(spark, tmp_path):
+    from hushframe.operators.detect import with_facts
+
+    spark.createDataFrame([(1, "a@b.example.com", "x")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    once = plan(with_facts(rows)).count("regexp_replace")
+    assert plan(with_facts(rows).select("doc_id", F.explode("facts").alias("f")).where("f.type = 'EMAIL'")).count("regexp_replace") == once
+    filtered = plan(sanitize(rows).where("doc_id = 5 and lang = 'x' and released"))
+    assert "EqualTo(doc_id,5)" in filtered and "EqualTo(lang,x)" in filtered
+    assert filtered.count("regexp_replace") <= plan(sanitize(rows)).count("regexp_replace") + 4
+
+
+def test_custom_detectors_look_again(spark):
+    from hushframe.operators.dictionary import dictionary_facts
+
+    terms = [("Northfield", "institution")]
+    rows = spark.createDataFrame([(1, "seen at Northfield today")], "id int, text string")
+    out = sanitize(rows, extra=[lambda text: dictionary_facts(text, terms)]).first()
+    assert out["released"] and "Northfield" not in out["sanitized"]
+
+
+def test_marks_in_a_text_do_no_harm(spark):
+    assert found(spark, "x\x01\x02\x03 a@b.example.com", "email") == [("EMAIL", 5, 20, "a@b.example.com")]
