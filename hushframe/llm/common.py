@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -54,6 +55,11 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let go of the shuffle files of frames that nothing refers to any more; Spark removes them once both sides have collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)

@@ -9,7 +9,7 @@
    words whose hash is the least among their neighbours.  An anchor and the words after
    it, LEAST letters at the least, are one block.  Edits leave most blocks as they were
    (by pigeonhole one at least, unless there are as many edits as blocks), so lines that
-   share a block at about the same place, with SimHashes within RADIUS bits, are candidates.
+   share a block, with SimHashes within RADIUS bits, are candidates.
    A radius alone cannot find them: README has its figures and those of the recall.
 4. One line of each block is compared with all its others; where the block's lines are
    still of several components, CENTRES of them; where they still are, all with each
@@ -159,8 +159,8 @@ def fingerprints(hashes: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.
     return np.packbits(counts * 2 > total[:, None], axis=1).view(np.int64).ravel()
 
 
-def cut_blocks(hashes: np.ndarray, size: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(block hashes, their first word in the line, first block of each line and the total); a line has one at least."""
+def cut_blocks(hashes: np.ndarray, size: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(block hashes, first block of each line and the total); a line has one at least."""
     count = np.diff(first)
     line = np.repeat(np.arange(len(count)), count)
     n, at = count[line], np.arange(len(hashes)) - first[line]
@@ -180,7 +180,7 @@ def cut_blocks(hashes: np.ndarray, size: np.ndarray, first: np.ndarray) -> tuple
     sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
     np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
     block = mix((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64))
-    return block.view(np.int64), (start - low).astype(np.int32), np.searchsorted(line[anchor], np.arange(len(count) + 1)).astype(np.int32)
+    return block.view(np.int64), np.searchsorted(line[anchor], np.arange(len(count) + 1)).astype(np.int32)
 
 
 def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -198,7 +198,7 @@ _LINE = "line_no int, node long, other long"
 
 
 def describe(df: DataFrame, text: str, key: str, norms: bool = False) -> DataFrame:
-    """(doc, line_no, node, other) of all lines with a letter or digit; with ``norms`` also norm, else chars, n, fp, blocks and ats.
+    """(doc, line_no, node, other) of all lines with a letter or digit; with ``norms`` also norm, else chars, n, fp and blocks.
 
     node and other are the halves of a 128-bit hash of the normal form; blocks are
     those of the lines that can be of a pair beyond SHORT characters.
@@ -219,16 +219,15 @@ def describe(df: DataFrame, text: str, key: str, norms: bool = False) -> DataFra
                 else:
                     hashes, size, first = told.words()
                     if len(hashes):
-                        block, at, offset = cut_blocks(hashes, size, first)
+                        block, offset = cut_blocks(hashes, size, first)
                         fp = fingerprints(hashes, size, first)
                     else:
-                        block, at, offset, fp = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(len(told.norms) + 1, np.int32), np.zeros(0, np.int64)
-                    lists = [pa.ListArray.from_arrays(pa.array(offset, pa.int32()), pa.array(x)) for x in (block, at)]
-                    new = [pa.array(told.chars), pa.array(np.diff(first).astype(np.int32)), pa.array(fp), *lists]
-                    names = ["chars", "n", "fp", "blocks", "ats"]
+                        block, offset, fp = np.zeros(0, np.int64), np.zeros(len(told.norms) + 1, np.int32), np.zeros(0, np.int64)
+                    new = [pa.array(told.chars), pa.array(np.diff(first).astype(np.int32)), pa.array(fp), pa.ListArray.from_arrays(pa.array(offset, pa.int32()), pa.array(block))]
+                    names = ["chars", "n", "fp", "blocks"]
                 yield pa.RecordBatch.from_arrays([*base, *new], names=["k", "h", "line_no", "node", "other", *names])
 
-    more = "norm string" if norms else "chars int, n int, fp long, blocks array<long>, ats array<int>"
+    more = "norm string" if norms else "chars int, n int, fp long, blocks array<long>"
     rows = df.select(df[key].alias("k"), F.xxhash64(df[text]).alias("h"), df[text].alias("t")).where("t is not null").mapInArrow(run, f"k {kind}, h long, {_LINE}, {more}")
     return rows.select(F.struct(F.col("k").alias("key"), F.col("h").alias("text")).alias("doc"), *rows.columns[2:])
 
@@ -293,15 +292,9 @@ def short_links(scratch: Scratch, texts: DataFrame, percent: int = PERCENT) -> D
 
 
 def _near(percent: int) -> Column:
-    """Whether rows (at, n, chars, fp) and (b, m, chars_v, fp_v) of one block can be alike.
-
-    As many words before and after the block, but for the edits; lengths within the
-    edits; SimHashes within RADIUS bits unless a line has few words.
-    """
-    room = F.greatest("n", "m") * (100 - percent) * 1.25 / 100 + 1
-    beside = (F.abs(F.col("at") - F.col("b")) <= room) & (F.abs(F.col("n") - F.col("at") - F.col("m") + F.col("b")) <= room)
+    """Whether rows (n, chars, fp) and (m, chars_v, fp_v) of one block can be alike: lengths within the edits, SimHashes within RADIUS bits unless a line has few words."""
     size = F.abs(F.col("chars") - F.col("chars_v")) * 100 <= F.greatest("chars", "chars_v") * (100 - percent)
-    return beside & size & ((F.least("n", "m") < FEW) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_v"))) <= RADIUS))
+    return size & ((F.least("n", "m") < FEW) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_v"))) <= RADIUS))
 
 
 # -- verification -------------------------------------------------------------
@@ -436,7 +429,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
     return both.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
 
 
-_OF_V = {"at": "b", "n": "m", "chars": "chars_v", "fp": "fp_v"}
+_OF_V = {"n": "m", "chars": "chars_v", "fp": "fp_v"}
 
 
 def _known(members: DataFrame, component: DataFrame | None) -> DataFrame:
@@ -452,7 +445,7 @@ def _open(rows: DataFrame, *more: Column) -> DataFrame:
 
 
 def star_pairs(rows: DataFrame, centres: int, percent: int = PERCENT) -> DataFrame:
-    """Candidates (u, v) of (block, node, component, at, n, chars, fp): v is one of the centres of a block of two components.
+    """Candidates (u, v) of (block, node, component, n, chars, fp): v is one of the centres of a block of two components.
 
     The first of so many orders of the nodes are the centres, each order by the nodes with other bits flipped.
     """
@@ -465,10 +458,10 @@ def star_pairs(rows: DataFrame, centres: int, percent: int = PERCENT) -> DataFra
 
 
 def _rest(members: DataFrame, component: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of the open blocks of up to CENTRES ** 2 lines, rows of the larger ones with the number of their parts)."""
+    """(rows of the open blocks of up to PART / 2 lines, rows of the larger ones with the number of their parts)."""
     known = _known(members, component)
     parts = _open(known, F.count("*").alias("size"))
-    few = F.col("size") <= CENTRES**2
+    few = F.col("size") <= PART // 2
     large = parts.where(~few).select("block", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
     return known.join(parts.where(few).select("block"), "block"), known.join(large, "block")
 
@@ -482,7 +475,7 @@ def small_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def large_links(rows: DataFrame, lines: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (u, v) inside large blocks: (block, node, component, at, n, chars, fp, parts).
+    """Links (u, v) inside large blocks: (block, node, component, n, chars, fp, parts).
 
     A bucket is two of a block's parts, so a task holds 2 * PART lines at about the
     same time, and only links leave it.  Of the blocks that two lines share, the
@@ -512,8 +505,7 @@ def large_links(rows: DataFrame, lines: DataFrame, texts: DataFrame, percent: in
 
         for a in np.flatnonzero(~col["second"]):
             b = np.flatnonzero(col["second"]) if twice else np.arange(a + 1, len(label))
-            room = np.maximum(col["n"][a], col["n"][b]) * (100 - percent) * 1.25 / 100 + 1
-            fits = (label[b] != label[a]) & (np.abs(col["at"][a] - col["at"][b]) <= room) & (np.abs(col["n"][a] - col["at"][a] - col["n"][b] + col["at"][b]) <= room)
+            fits = label[b] != label[a]
             fits &= np.abs(col["chars"][a] - col["chars"][b]) * 100 <= np.maximum(col["chars"][a], col["chars"][b]) * (100 - percent)
             fits &= (np.minimum(col["n"][a], col["n"][b]) < FEW) | (np.bitwise_count((col["fp"][a] ^ col["fp"][b]).view(np.uint64)) <= RADIUS)
             waiting += [(int(a), int(k)) for k in b[fits]]
@@ -530,15 +522,19 @@ def groups(scratch: Scratch, df: DataFrame, text: str = "text", key: str = "doc_
     lines = scratch.keep(describe(df, text, key))
     first = lines.groupBy("node").agg(F.min(F.struct("other", "doc", "line_no")).alias("first"), F.count("*").alias("n"))
     first = scratch.keep(first.select("node", "first.*", "n"))
-    # a line that can be of a pair beyond SHORT characters
-    rows = lines.where(f"100 * chars >= {SHORT * percent}").select("node", "n", "chars", "fp", F.explode(F.arrays_zip("blocks", "ats")).alias("b"))
-    rows = rows.select(F.col("b.blocks").alias("block"), "node", F.col("b.ats").alias("at"), "n", "chars", "fp")
+    # lines that can be of a pair beyond SHORT characters
+    rows = lines.where(f"100 * chars >= {SHORT * percent}").select("node", F.explode("blocks").alias("block"))
     shared = rows.groupBy("block").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("block")
-    members = scratch.keep(rows.join(scratch.keep(shared), "block").distinct())
+    shared = scratch.keep(shared)
+    scratch.release()
+    met = scratch.keep(rows.join(shared, "block").distinct())
+    scratch.release()
+    members = scratch.keep(met.join(lines.select("node", *_OF_V).dropDuplicates(["node"]), "node"))
     short = lines.where(f"chars <= {SHORT}").select("node")
     wanted = first.join(members.select("node").unionByName(short).distinct(), "node", "left_semi").select("node", "other", "doc", "line_no")
     texts = describe(df, text, key, norms=True).join(wanted, ["node", "other", "doc", "line_no"], "left_semi")
     texts = scratch.keep(texts.select("node", "norm").dropDuplicates(["node"]))
+    scratch.release()
     component, links = None, short_links(scratch, texts, percent)
     for centres in (1, CENTRES):  # some lines of each block against all its others, then what is left
         known = _known(members, component)
