@@ -2,14 +2,15 @@
 
 1. Every text becomes its set of distinct word shingles (64-bit hashes); a text
    of fewer words than a shingle is one shingle.  Rows with equal sets are one
-   class, found by a 128-bit digest of the sorted set; only one row of each class
-   goes on, so copies never meet as pairs.
+   class, found and named by a 128-bit digest of the sorted set; only one row of
+   each class goes on, so copies never meet as pairs.
 2. A class has a signature of MinHash values, cut into bands.  The number of bands
    follows from the threshold and a miss probability, so that a pair at the
    threshold shares a band but for that probability.
-3. A bucket (equal bands) proposes pairs with centres, not all its pairs, until each
-   of its pairs is linked through its component or has been compared
-   (``common.components_in_buckets``).
+3. In a bucket (equal bands) one class is compared with all others; where the bucket's
+   classes are still of several components, CENTRES of them; where they still are,
+   each with each.  Large buckets do the latter in parts inside tasks, from which
+   only links come out, so that no group of near copies becomes a square of rows.
 4. A pair's signatures are compared in batches.  After each, the posterior of
    its similarity (binomial likelihood, uniform prior) is looked at: the pair
    goes once the probability of reaching the threshold is below the miss
@@ -20,7 +21,8 @@
 
 Null texts, empty texts and texts without words have an empty set: they link
 with nothing, not even each other.  Rows that share a key and differ in text
-count as different texts of one node.  Ties go to the smallest key.
+are different texts: each links by itself, and the key takes the least of their
+components.  A null key counts after all others.  Ties go to the smallest key.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import Batch, Scratch, components_in_buckets, mix, small_batches, window_hashes
+from hushframe.llm.common import Batch, Scratch, connected_components, mix, small_batches, window_hashes
 
 #: MinHash values of one band.
 ROWS = 5
@@ -42,6 +44,12 @@ ROWS = 5
 MISS = 1e-8
 #: MinHash values compared before the posterior is looked at again.
 BATCH = 32
+#: Classes of a bucket that all its others are compared with before all are compared with all.
+CENTRES = 8
+#: Classes of a bucket up to which its pairs are rows; larger buckets are compared in parts inside tasks.
+SMALL = 32
+#: Classes and shingles of one part.
+PART, PART_SHINGLES = 512, 500_000
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -126,32 +134,39 @@ def describe(df: DataFrame, text: str, key: str, size: int, bands: int, rows: in
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, digest binary, signature binary, bands array<long>")
 
 
+def _alive(left: np.ndarray, right: np.ndarray, threshold: float, miss: float) -> np.ndarray:
+    """Which rows of signatures stay plausible through all batches of values."""
+    alive, matches = np.arange(len(right)), np.zeros(len(right), np.int64)
+    for lo in range(0, right.shape[1], BATCH):
+        hi = min(lo + BATCH, right.shape[1])
+        one = left[lo:hi] if left.ndim == 1 else left[alive, lo:hi]
+        matches[alive] += (one == right[alive, lo:hi]).sum(axis=1)
+        alive = alive[matches[alive] >= least_matches(threshold, hi, miss)]
+    return alive
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), -1)
+
+
 def _plausible(pairs: DataFrame, signs: DataFrame, threshold: float, miss: float) -> DataFrame:
     """The pairs (u, v) whose posterior stays above the miss probability through all batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(n, -1) for c in (2, 3))
-            alive, matches = np.arange(n), np.zeros(n, np.int64)
-            for lo in range(0, left.shape[1], BATCH):
-                hi = min(lo + BATCH, left.shape[1])
-                matches[alive] += (left[alive, lo:hi] == right[alive, lo:hi]).sum(axis=1)
-                alive = alive[matches[alive] >= least_matches(threshold, hi, miss)]
-            at = pa.array(alive)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["u", "v"])
+            if batch.num_rows:
+                at = pa.array(_alive(_matrix(batch.column(2)), _matrix(batch.column(3)), threshold, miss))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["u", "v"])
 
     both = pairs.join(signs.select(F.col("node").alias("u"), F.col("signature").alias("su")), "u").join(signs.select(F.col("node").alias("v"), F.col("signature").alias("sv")), "v")
-    return both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "su", "sv").mapInArrow(run, "u binary, v binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (u, v) with 100 * |intersection| >= percent * |union| of their full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        held: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
             left, right = Batch(batch.column(2)), Batch(batch.column(3))
             v = batch.column(1).to_pylist()
@@ -166,27 +181,115 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["u", "v"])
 
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
-    return both.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "tu", "tv").mapInArrow(run, "u binary, v binary")
+
+
+def _known(members: DataFrame, component: DataFrame | None) -> DataFrame:
+    if component is None:
+        return members.withColumn("component", F.col("node"))
+    return members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _open(rows: DataFrame, *more: Column) -> DataFrame:
+    """(bucket, more) of the buckets whose classes are of several components."""
+    wide = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *more)
+    return wide.where("lo <> hi").drop("lo", "hi")
+
+
+def _star_pairs(scratch: Scratch, rows: DataFrame, centres: int) -> DataFrame:
+    """(u, v) of (bucket, node, component): v is one of the centres of a bucket of two components, the first of so many orders by hash."""
+    first = F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(k))) if k else F.min("node") for k in range(centres))))
+    # written first: a join right on an aggregate cannot split its hot keys
+    chosen = scratch.keep(_open(rows, first.alias("centres")).select("bucket", F.explode("centres").alias("v")))
+    named = scratch.keep(chosen.join(rows.select("bucket", F.col("node").alias("v"), F.col("component").alias("cv")), ["bucket", "v"]))
+    return rows.join(named, "bucket").where("component <> cv").select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
+
+
+def _large_links(rows: DataFrame, signs: DataFrame, texts: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
+    """Links (u, v) inside the large buckets of (bucket, node, component, parts).
+
+    A group of rows is two of a bucket's parts, so that a task holds twice a part
+    at a time.  Of the buckets that two classes share, the first compares them.
+    """
+    threshold = percent / 100
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.join(signs.select("node", "signature", "bands"), "node").join(texts, "node")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    rows = rows.select("bucket", "part", other, "node", "component", "signature", "bands", "text")
+    rows = rows.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("second"), "node", "component", "signature", "bands", "text")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        bucket, twice = group.column("bucket")[0].as_py(), group.column("i")[0].as_py() != group.column("j")[0].as_py()
+        node, second = group.column("node").to_pylist(), group.column("second").to_numpy()
+        _, label = np.unique(np.array([x.hex() for x in group.column("component").to_pylist()]), return_inverse=True)
+        sign = _matrix(group.column("signature"))
+        bands = np.array(group.column("bands").to_pylist(), dtype=np.int64)
+        text = Batch(group.column("text"))
+        sets = [shingles(text.words(k, k + 1, lower=True)[3], size) for k in range(len(node))]
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        n = np.array([len(x) for x in sets])
+        start = np.concatenate(([0], np.cumsum(n)))
+        mark = np.zeros(int(flat.max()) + 1, dtype=np.int32)
+        links: list[tuple[bytes, bytes]] = []
+        for a in np.flatnonzero(~second):
+            b = np.flatnonzero(second) if twice else np.arange(a + 1, len(node))
+            b = b[(label[b] != label[a]) & (100 * np.minimum(n[b], n[a]) >= percent * np.maximum(n[b], n[a]))]
+            same = bands[b] == bands[a]
+            b = b[bands[a][same.argmax(axis=1)] == bucket] if len(b) else b
+            b = b[_alive(sign[a], sign[b], threshold, miss)] if len(b) else b
+            if not len(b):
+                continue
+            mark[flat[start[a] : start[a + 1]]] = 1
+            both = np.array([mark[flat[start[k] : start[k + 1]]].sum() for k in b])
+            mark[flat[start[a] : start[a + 1]]] = 0
+            for k in b[100 * both >= percent * (n[a] + n[b] - both)]:
+                if label[k] != label[a]:
+                    links.append((node[a], node[k]))
+                    label[label == label[k]] = label[a]
+        return pa.table({"u": pa.array([x for x, _ in links], pa.binary()), "v": pa.array([x for _, x in links], pa.binary())})
+
+    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "u binary, v binary")
 
 
 def groups(scratch: Scratch, df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
-    """(key, n_shingles, component_id) of every row; linked rows have 100 * |intersection| >= percent * |union|."""
+    """(key, n_shingles, component_id) of every key; linked texts have 100 * |intersection| >= percent * |union|."""
     threshold = percent / 100
-    bands = bands_for(threshold, miss=miss)
-    told = scratch.keep(describe(df, text, key, size, bands))
-    # a class: equal sets; its node is the smallest key
-    classes = told.where("digest is not null").groupBy("digest").agg(F.min(key).alias("node"))
-    member = scratch.keep(told.where("digest is not null").select(key, "digest").join(classes, "digest").select(key, "node", "digest").distinct())
-    signs = scratch.keep(told.join(classes, (F.col(key) == F.col("node")) & (told["digest"] == classes["digest"])).select("node", "signature", "bands").dropDuplicates(["node"]))
-    texts = signs.select("node").join(df.select(F.col(key).alias("node"), F.col(text).alias("text")), "node")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        kept = scratch.keep(_plausible(pairs, signs, threshold, miss))
-        ends = kept.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        return _verified(kept, texts.join(ends, "node", "left_semi"), size, percent)
-
-    component = components_in_buckets(scratch, signs.select(F.explode("bands").alias("bucket"), "node").distinct(), linked)
-    named = member.join(component, "node", "left").select(key, F.coalesce("component", "node").alias("component_id"))
-    named = named.groupBy(key).agg(F.min("component_id").alias("component_id"))
-    out = told.groupBy(key).agg(F.max("n_shingles").alias("n_shingles")).join(named, key, "left")
-    return out.select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
+    base = df.select(F.struct(df[key].alias("key"), F.xxhash64(df[text]).alias("h")).alias("id"), df[text].alias("text"))
+    told = scratch.keep(describe(base, "text", "id", size, bands_for(threshold, miss=miss)))
+    # a class: equal sets; one of its rows speaks for it
+    classes = scratch.keep(told.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id")))
+    signs = scratch.keep(told.join(classes, ["digest", "id"]).select(F.col("digest").alias("node"), "n_shingles", "signature", F.array_distinct("bands").alias("bands")).dropDuplicates(["node"]))
+    rows = signs.select("node", F.explode("bands").alias("bucket"))
+    shared = scratch.keep(rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket"))
+    members = scratch.keep(rows.join(shared, "bucket"))
+    scratch.release()
+    asked = classes.join(members.select(F.col("node").alias("digest")).distinct(), "digest", "left_semi")
+    texts = scratch.keep(base.join(asked, "id").select(F.col("digest").alias("node"), "text").dropDuplicates(["node"]))
+    scratch.release()
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        out = scratch.keep(_verified(scratch.keep(_plausible(pairs, signs, threshold, miss)), texts, size, percent))
+        scratch.release()
+        return out
+
+    component, links = None, None
+    for centres in (1, CENTRES):
+        found = verify(_star_pairs(scratch, _known(members, component), centres))
+        links = found if links is None else links.unionByName(found)
+        component = scratch.keep(connected_components(scratch, links))
+    known = scratch.keep(_known(members, component))
+    left = scratch.keep(_open(known.join(signs.select("node", "n_shingles"), "node"), F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")))
+    small = known.join(left.where(F.col("n") <= SMALL).select("bucket"), "bucket")
+    second = small.select("bucket", F.col("node").alias("v"), F.col("component").alias("cv"))
+    links = links.unionByName(verify(small.join(second, "bucket").where("component <> cv and node < v").select(F.col("node").alias("u"), "v").distinct()))
+    parts = F.ceil(F.greatest(F.col("n") / PART, F.col("shingles") / PART_SHINGLES)).cast("int")
+    large = known.join(left.where(F.col("n") > SMALL).select("bucket", parts.alias("parts")), "bucket")
+    links = links.unionByName(scratch.keep(_large_links(large, signs, texts, size, percent, miss)))
+    component = scratch.keep(connected_components(scratch, links))
+
+    placed = told.select("id.key", "n_shingles", F.col("digest").alias("node")).join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = scratch.keep(placed)
+    low = scratch.keep(placed.where("component is not null").groupBy("component").agg(F.min("key").alias("low")))
+    out = placed.join(low, "component", "left").groupBy("key").agg(F.max("n_shingles").alias("n_shingles"), F.min(F.coalesce("low", "key")).alias("component_id"))
+    return out.select(F.col("key").alias(key), "n_shingles", "component_id")

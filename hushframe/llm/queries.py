@@ -24,7 +24,7 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     try:
         found = minhash.groups(scratch, table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=85)
-        return found.withColumn("kept", F.col("doc_id") == F.col("component_id")).checkpoint()
+        return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).checkpoint()
     finally:
         scratch.drop()
 

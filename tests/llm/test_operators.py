@@ -274,3 +274,31 @@ def test_bpe(spark):
         assert found[i]["decoded_sha256"] == hashlib.sha256(reference.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     encoded = bpe.encode(texts(spark, rows), path)
     assert {r["doc_id"]: r["text"] for r in bpe.decode(encoded, path).collect()} == {i: t or "" for i, t in enumerate(rows)}
+
+
+def test_minhash_of_repeated_and_null_keys(spark, scratch):
+    v, w = FOX, " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([(1, w, 0), (1, v, 0), (2, v + " z", 0), (3, w + " z", 0), (None, w, 0), (None, None, 0), (9, "", 0)], "doc_id long, text string, node int")
+    found = {r["doc_id"]: r["component_id"] for r in minhash.groups(scratch, rows, size=3, percent=85).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, None: 1, 9: 9}
+
+
+def test_minhash_large_buckets_lose_no_link(spark, scratch, monkeypatch):
+    for name, n in (("CENTRES", 2), ("SMALL", 3), ("PART", 5)):
+        monkeypatch.setattr(minhash, name, n)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for _ in range(30):
+        own = list(base)
+        for at in rng.sample(range(100), 2):
+            own[at] = f"z{rng.randint(0, 9)}"
+        rows.append(" ".join(own))
+    sets = [frozenset(zip(w, w[1:], w[2:])) for w in map(str.split, rows)]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for a, b in combinations(range(len(rows)), 2):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                group[a] = group[b] = min(group[a], group[b])
+    found = {r["doc_id"]: r["component_id"] for r in minhash.groups(scratch, texts(spark, rows), size=3, percent=85).collect()}
+    assert found == dict(enumerate(group))
