@@ -8,7 +8,7 @@ one binary search serves all languages.
 
 Texts are lower-cased; letters and marks stay, any run of other characters
 becomes one boundary.  Of each character 16 bits are kept, so that a 4-gram is
-exactly one 64-bit key (characters beyond U+FFFF share keys).
+exactly one 64-bit key (letters beyond U+FFFF share keys).
 
 A text's language has the lowest cross-entropy per character.  ``score`` is the
 posterior of that language under equal priors, with the difference in nats
@@ -46,30 +46,34 @@ MAX_GRAMS = 100_000
 #: Length classes, and the temperatures that calibration tries.
 CLASSES = 9
 TEMPERATURES = np.geomspace(0.05, 5, 25)
+#: Standard deviations above the mean entropy beyond which a learned text is itself an outlier.
+FAR = 6
 #: A model of fewer learned texts knows them by heart: their entropies say nothing about others.
 LEAST_TEXTS = 100
 
 _B = 16  # bits of a character in a key
 
 
-def _classes() -> np.ndarray:
-    """Of each 16-bit character: itself in lower case if a letter or mark, else 0."""
-    out = np.zeros(1 << 16, dtype=np.uint16)
-    for c in range(1 << 16):
-        ch = chr(c)
-        if unicodedata.category(ch)[0] in "LM":
-            low = ch.lower()
-            out[c] = ord(low) if len(low) == 1 and ord(low) < 1 << 16 else c
-    return out
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point: 16 bits of itself in lower case if a letter or mark, else 0; and whether it is a letter."""
+    kept, letter = np.zeros(0x110000, dtype=np.uint16), np.zeros(0x110000, dtype=bool)
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))[0]
+        if kind in "LM":
+            low = chr(c).lower()
+            own = ord(low) if len(low) == 1 else c
+            kept[c] = own if own < 1 << 16 else own & 0xFFFF | 1
+            letter[c] = kind == "L"
+    return kept, letter
 
 
-_CLASS: np.ndarray | None = None
+_CLASS: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def keys_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(4-gram key of every character, first key of each text and the total, letters of each text).
+    """(4-gram key of every letter or mark, first key of each text and the total, letters of each text).
 
-    A text without a letter has no keys.  The three characters before a text's
+    Letters are the characters of the category L of all planes.  The three characters before a text's
     first are boundaries, and each run of letters ends with one boundary.
     """
     global _CLASS
@@ -78,15 +82,13 @@ def keys_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts = [t.encode("utf-32-le", "replace") for t in texts]
     points = np.frombuffer(b"".join(x for p in parts for x in (p, b"\0\0\0\0")), dtype=np.uint32)
     bounds = np.concatenate(([0], np.cumsum([len(p) // 4 + 1 for p in parts], dtype=np.int64)))
-    chars = _CLASS[points & np.uint32(0xFFFF)]
-    if (high := points > 0xFFFF).any():
-        chars = np.where(high, (points & np.uint32(0xFFFF)).astype(np.uint16) | np.uint16(1), chars)
+    chars = _CLASS[0][points]
     letters = chars > 0
     keep = letters.copy()
     keep[1:] |= letters[:-1]  # a text ends with its separator, which is no letter
     kept = np.concatenate(([0], np.cumsum(keep)))
     first = kept[bounds]
-    total = np.concatenate(([0], np.cumsum(letters)))
+    total = np.concatenate(([0], np.cumsum(_CLASS[1][points])))
     n_letters = total[bounds[1:]] - total[bounds[:-1]]
     packed = chars[keep].astype(np.uint64)
     n = len(packed)
@@ -305,7 +307,7 @@ def _kneser_ney(keys: np.ndarray, counts: np.ndarray, floor: float) -> dict[int,
 
 
 def limits_of(highest: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """Rejection limits of (language, length class) from the highest cross-entropies found and the number of texts.
+    """Rejection limits of (language, length class) from the highest ordinary cross-entropies found and the number of texts.
 
     A limit is the highest value of the class plus half a nat, and never below
     that of a longer class or of all languages together.  A class without a text
@@ -333,6 +335,7 @@ def calibrate(model: Model, learn: DataFrame, text: str = "text", lang: str = "l
         number = {name: i for i, name in enumerate(shared.value.languages)}
         cells = len(number) * CLASSES
         high, n, loss = np.full(cells, -np.inf), np.zeros(cells, np.int64), np.zeros((cells, len(TEMPERATURES)))
+        s1, s2 = np.zeros(cells), np.zeros(cells)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             truths = np.array([number.get(x, -1) for x in batch.column(1).to_pylist()], dtype=np.int64)
@@ -343,21 +346,26 @@ def calibrate(model: Model, learn: DataFrame, text: str = "text", lang: str = "l
                 cell, own = truth * CLASSES + length_class(letters), np.arange(len(truth))
                 np.maximum.at(high, cell, entropy[own, truth])
                 np.add.at(n, cell, 1)
+                np.add.at(s1, cell, entropy[own, truth])
+                np.add.at(s2, cell, entropy[own, truth] ** 2)
                 gap = (entropy - entropy.min(axis=1, keepdims=True)) * np.sqrt(letters)[:, None]
                 for i, t in enumerate(TEMPERATURES):
                     np.add.at(loss[:, i], cell, np.log(np.exp(-gap / t).sum(axis=1)) + gap[own, truth] / t)
         seen = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(high[seen]), pa.array(n[seen]), *(pa.array(loss[seen, i]) for i in range(len(TEMPERATURES)))], names=["cell", "high", "n", *(f"t{i}" for i in range(len(TEMPERATURES)))])
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(high[seen]), pa.array(n[seen]), pa.array(s1[seen]), pa.array(s2[seen]), *(pa.array(loss[seen, i]) for i in range(len(TEMPERATURES)))], names=["cell", "high", "n", "s1", "s2", *(f"t{i}" for i in range(len(TEMPERATURES)))])
 
     small_batches(learn.sparkSession)
     rows = learn.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(text, lang)
     names = [f"t{i}" for i in range(len(TEMPERATURES))]
-    told = rows.mapInArrow(run, "cell long, high double, n long, " + ", ".join(f"{x} double" for x in names))
-    found = told.groupBy("cell").agg(F.max("high").alias("high"), F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in names)).collect()
+    told = rows.mapInArrow(run, "cell long, high double, n long, s1 double, s2 double, " + ", ".join(f"{x} double" for x in names))
+    found = told.groupBy("cell").agg(F.max("high").alias("high"), F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), *(F.sum(x).alias(x) for x in names)).collect()
     shape = (len(model.languages), CLASSES)
     highest, texts = np.full(shape, -np.inf), np.zeros(shape, np.int64)
     for r in found:
-        highest.flat[r["cell"]], texts.flat[r["cell"]] = r["high"], r["n"]
+        mean = r["s1"] / r["n"]
+        spread = max(r["s2"] / r["n"] - mean**2, 0.0) ** 0.5
+        # one text of another language or of noise must not lift the limit for all
+        highest.flat[r["cell"]], texts.flat[r["cell"]] = min(r["high"], mean + FAR * spread), r["n"]
     if found:
         model.temperature = float(TEMPERATURES[np.argmin([sum(r[x] for r in found) for x in names])])
         model.limits = limits_of(highest, texts)

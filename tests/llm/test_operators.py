@@ -302,3 +302,16 @@ def test_minhash_large_buckets_lose_no_link(spark, scratch, monkeypatch):
                 group[a] = group[b] = min(group[a], group[b])
     found = {r["doc_id"]: r["component_id"] for r in minhash.groups(scratch, texts(spark, rows), size=3, percent=85).collect()}
     assert found == dict(enumerate(group))
+
+
+def test_letters_of_all_planes():
+    texts_ = ["\U0001f600\U0001f600", "́", "12 \U0001f600 34", "\U00010400", "猫", "é", ""]
+    assert language.keys_of(texts_)[2].tolist() == [0, 0, 0, 1, 1, 1, 0]
+
+
+def test_a_language_that_was_not_learned_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null")
+    model = language.fit(docs.where("lang <> 'es'"))
+    told = language.predict(docs, model).where("length(text) > 200")
+    share = {r["lang"]: r["share"] for r in told.groupBy("lang").agg(F.avg(F.col("rejected").cast("int")).alias("share")).collect()}
+    assert share["es"] > 0.5 and max(v for k, v in share.items() if k != "es") < 0.01
