@@ -84,15 +84,21 @@ DEPARTMENTS = (
 DEPARTMENT_LABELS = "科室|部门|病区|病房"
 DEPARTMENT_MOVES = "转入|转至|转往|收入|收治|入住|收住"
 DEPARTMENT_NEXT = "门诊|病房|病区|住院|转入|转出|转至|转往"
-HOSPITAL_ENDS = "附属医院 医疗中心 医学中心 卫生院 医科大学 医学院 医院".split()
-HOSPITAL_VERBS = "建议转诊至 建议转诊 建议转往 建议转入 建议转 就诊于 转诊至 转诊到 转往 转入 转出 送往 送至 前往 赴 就诊 转诊 于 至 在 到 转 送".split()
+HOSPITAL_ENDS = (
+    "附属医院", "医疗中心", "医学中心", "卫生院", "医科大学", "医学院", "医院",
+)
+HOSPITAL_VERBS = (
+    "建议转诊至", "建议转诊", "建议转往", "建议转入", "建议转", "就诊于", "转诊至", "转诊到", "转往", "转入", "转出", "送往", "送至", "前往", "赴", "就诊", "转诊", "于", "至", "在", "到", "转", "送",
+)
 HOSPITAL_GENERIC = (
     "三级甲等 三级乙等 三甲 三乙 二甲 二乙 三级 二级 一级 甲等 乙等 "
     "上级 下级 当地 本地 外地 外院 该院 本院 我院 贵院 综合 专科 社区 基层 定点 公立 "
     "民营 中心 有关 相关 各级 各类 其他 同一"
 ).split()
 HOSPITAL_CUT = "为是在的于到至往转送等其并就而则"
-WARD_GENERIC = "各科 全科 所有 部分 其他 上述 同一 本 该 各 全 此 每".split()
+WARD_GENERIC = (
+    "各科", "全科", "所有", "部分", "其他", "上述", "同一", "本", "该", "各", "全", "此", "每",
+)
 REFERRAL = "建议|转诊至|转至|转往|请|至|到"
 
 # Medical words; GB 11643 weights and check characters.
@@ -121,6 +127,12 @@ FIELD_LABELS = {
 }
 
 # FHIR resources that are read, and the parts of a name in order.
-FHIR_RESOURCES = "Patient Observation DiagnosticReport Condition MedicationRequest Encounter ImagingStudy Bundle".split()
-FHIR_NAME_PARTS = "family given middle prefix suffix".split()
-FHIR_WHOLE_NAMES = "text fullname name".split()
+FHIR_RESOURCES = (
+    "Patient", "Observation", "DiagnosticReport", "Condition", "MedicationRequest", "Encounter", "ImagingStudy", "Bundle",
+)
+FHIR_NAME_PARTS = (
+    "family", "given", "middle", "prefix", "suffix",
+)
+FHIR_WHOLE_NAMES = (
+    "text", "fullname", "name",
+)
