@@ -59,16 +59,26 @@ def event_hash(key: bytes | None = None) -> Column:
     return hmac_sha256(text, key) if key else F.sha2(text, 256)
 
 
+def in_ranges(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with __range, the number of its range of the numeric column ``order``; as many ranges of about one size as shuffle partitions."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(df.approxQuantile(order, [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
+    return df.withColumn("__range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col(order) > c)) if cuts else F.lit(0))
+
+
 def verify_chain(log: DataFrame, seq: str = "seq", key: bytes | None = None) -> DataFrame:
     """(seq, problem) of records whose hash or link is wrong; problem is null for sound ones.
 
     Records without a hash are outside the chain.  A link is the hash of the last
-    record before that has one.  The order of one log is a single sequence, so the
-    link comes from one sorted pass; the hashes are taken in parallel.
+    record before that has one: within a range of seq from one sorted pass, across
+    ranges from a table with one row for each, so no task sees the whole log.
     """
     chained = log.where("event_hash is not null and event_hash <> ''").withColumn("__own", event_hash(key))
-    before = F.lag("event_hash", 1, "").over(Window.orderBy(seq))
-    slim = chained.select(seq, "prev_hash", "event_hash", "__own").withColumn("__before", before)
+    slim = in_ranges(chained.select(seq, "prev_hash", "event_hash", "__own"), seq)
+    slim = slim.withColumn("__before", F.lag("event_hash").over(Window.partitionBy("__range").orderBy(seq)))
+    ends = slim.groupBy("__range").agg(F.max_by("event_hash", seq).alias("__last"))
+    carried = ends.select("__range", F.lag("__last", 1, "").over(Window.orderBy("__range")).alias("__carried"))
+    slim = slim.join(F.broadcast(carried), "__range").withColumn("__before", F.coalesce("__before", "__carried"))
     problem = F.when(F.col("__own") != F.col("event_hash"), "hash").when(F.coalesce("prev_hash", F.lit("")) != F.col("__before"), "link")
     return slim.select(seq, problem.alias("problem"))
 

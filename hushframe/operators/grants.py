@@ -24,6 +24,37 @@ def fingerprint(key: bytes, content_hash: Column, payload_kind: Column, trust: C
     return hmac_sha256(F.concat(F.lit("{"), F.array_join(F.array(*body), ", "), F.lit("}")), key)
 
 
+#: Fields of a grant that its signature covers.
+SIGNED = "grant_id string, request_fingerprint string, issuer string, issued_at string, expires_at string, uses_allowed int, accepted_types array<string>"
+
+
+def _signed_text() -> Column:
+    """The signed fields as JSON with sorted keys and no spaces."""
+    texts = ("expires_at", "grant_id", "issued_at", "issuer", "request_fingerprint")
+    value = {n: _json_text(F.col(n)) for n in texts} | {"uses_allowed": F.col("uses_allowed").cast("string"), "accepted_types": F.concat(F.lit("["), F.array_join(F.transform("accepted_types", _json_text), ","), F.lit("]"))}
+    return F.concat(F.lit("{"), F.array_join(F.array(*(F.concat(F.lit(f'"{n}":'), value[n]) for n in sorted(value))), ","), F.lit("}"))
+
+
+def issue(requests: DataFrame, key: bytes, issuer: str, now: Column, ttl_seconds: int, uses_allowed: int = 1) -> DataFrame:
+    """Signed grants for (fingerprint, accepted_types): each for one fingerprint, from now for a bounded time and number of uses."""
+    if not 0 < ttl_seconds <= 365 * 86_400 or uses_allowed < 1 or not issuer:
+        raise ValueError("a grant needs an issuer, a bounded time to live and a use at least")
+    iso = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    ends = now + F.make_dt_interval(secs=F.lit(ttl_seconds))
+    rows = requests.select(
+        hmac_sha256(F.concat_ws("|", "fingerprint", iso(now), F.lit(issuer)), key).alias("grant_id"), F.col("fingerprint").alias("request_fingerprint"), F.lit(issuer).alias("issuer"),
+        iso(now).alias("issued_at"), iso(ends).alias("expires_at"), F.lit(uses_allowed).alias("uses_allowed"), F.array_sort("accepted_types").alias("accepted_types"),
+    )
+    return rows.withColumn("signature", hmac_sha256(_signed_text(), key))
+
+
+def with_validity(grants: DataFrame, key: bytes) -> DataFrame:
+    """``grants`` with ``signature_valid`` and their times as timestamps; a changed field or another key makes it false."""
+    told = grants.withColumn("signature_valid", F.coalesce(hmac_sha256(_signed_text(), key) == F.col("signature"), F.lit(False)))
+    at = lambda c: F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return told.withColumn("issued_at", at(F.col("issued_at"))).withColumn("expires_at", at(F.col("expires_at")))
+
+
 def check(requests: DataFrame, grants: DataFrame, now: Column) -> DataFrame:
     """``requests`` with ``problem``: why the grant for its fingerprint does not hold, or null.
 

@@ -24,7 +24,7 @@ from hushframe.plans.policy import PROFILES, decide, risk_level, risk_score
 from hushframe.plans.records import sanitize_records
 from hushframe.sources.admission import is_binary, kind_of
 from hushframe.sources.structured import with_leaves
-from hushframe.streaming.requests import guard_lines
+from hushframe.streaming.requests import guard_lines, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -584,10 +584,23 @@ def dicom_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", "action", value.alias("value"))
 
 
-@query("SELECT o_orderstatus, count(*)::BIGINT AS n FROM orders GROUP BY o_orderstatus")
+@query("SELECT date_trunc('hour', ts) AS start, event_type AS decision, count(*)::BIGINT AS n FROM events GROUP BY ALL")
 def audit_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by decision of the log, as the stream of windows would sum to."""
-    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    """Counts by decision and hour, by the same windows as over a stream."""
+    return windowed_counts(table(spark, sf_dir, "events").selectExpr("cast(ts as timestamp) AS ts", "event_type AS decision"))
+
+
+@query(
+    """SELECT o_custkey % 50 AS kind, count(*)::BIGINT AS n, sum(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END)::BIGINT AS valid FROM orders GROUP BY o_custkey % 50"""
+)
+def grant_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issued grants of which every third was changed after it was signed."""
+    asked = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey % 50 AS kind", "concat('f', o_orderkey) AS fingerprint", "array('PHONE', 'AGE') AS accepted_types")
+    given = grants.issue(asked, b"key", "desk", F.expr("timestamp'2026-01-01 00:00:00'"), 3600)
+    changed = F.when(F.substring("request_fingerprint", 2, 30).cast("long") % 3 == 0, 99).otherwise(F.col("uses_allowed"))
+    told = grants.with_validity(given.withColumn("uses_allowed", changed), b"key")
+    rows = told.join(asked.select(F.col("fingerprint").alias("request_fingerprint"), "kind"), "request_fingerprint")
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.col("signature_valid").cast("long")).alias("valid"))
 
 
 def queries() -> dict[str, Query]:

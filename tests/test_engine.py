@@ -180,3 +180,58 @@ def test_custom_detectors_look_again(spark):
 
 def test_marks_in_a_text_do_no_harm(spark):
     assert found(spark, "x\x01\x02\x03 a@b.example.com", "email") == [("EMAIL", 5, 20, "a@b.example.com")]
+
+
+def test_labelled_corpus(spark, tmp_path):
+    from hushframe.sources.corpus import labelled_corpus
+
+    good = {"doc_id": "a", "document_type": "lab", "expected_verdict": "SANITIZE", "spans": [{"type": "PHONE", "start": 0, "end": 2}]}
+    cases = {
+        "a": (good, "xy"), "b": ({**good, "doc_id": "b", "spans": [{"type": "PHONE", "start": 0, "end": 3}]}, "xy"), "c": ({**good, "doc_id": "c", "expected_verdict": "MAYBE"}, "xy"),
+        "d": ({**good, "doc_id": "d"}, None), "e": ({**good, "doc_id": "e", "spans": good["spans"] * 2}, "xy"), "f": ({"doc_id": "f", "expected_verdict": "ALLOW"}, "xy"), "g": ({**good, "doc_id": "../g"}, "xy"),
+    }
+    for stem, (side, text) in cases.items():
+        (tmp_path / f"{stem}.spans.json").write_text(json.dumps(side))
+        if text is not None:
+            (tmp_path / f"{stem}.txt").write_text(text)
+    told = {r["doc_id"]: r["problem"] for r in labelled_corpus(spark, str(tmp_path)).collect()}
+    assert told == {"a": None, "b": "bad span", "c": "unknown verdict", "d": "no text", "e": "repeated span", "f": "unreadable sidecar", "../g": "bad or repeated id"}
+
+
+def test_audit_log_round_trip_and_chain(spark, tmp_path):
+    from hushframe.sources.corpus import duplicate_events, read_events, write_events
+
+    base = {"timestamp": "t", "decision": "ALLOW", "reason_codes": ["A"], "entity_counts": {"B": 2}, "risk_level": "LOW", "risk_score": 5, "recipient_class": "LOCAL", "purpose": "RESEARCH", "policy_profile": "p", "policy_version": "p/1", "transformations": [], "verification": "PASS"}
+    lines, last = [], ""
+    for i in range(30):
+        event = {"event_id": f"e{i}", **base, "prev_hash": last}
+        last = hashlib.sha256(json.dumps(event, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+        lines.append(json.dumps({**event, "event_hash": last}))
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.jsonl").write_text("\n".join([*lines, "", "no event", lines[3]]))
+    log = read_events(spark, str(tmp_path / "log"))
+    assert [r["seq"] for r in log.where("broken").collect()] == [31]
+    assert {r["event_id"]: r["n"] for r in duplicate_events(log.where("not broken")).collect()} == {"e3": 2}
+    sound = log.where("not broken and seq < 30")
+    assert audit.chain_report(sound).first().asDict() == {"total": 30, "chained": 30, "unchained": 0, "failures": 0}
+    changed = sound.withColumn("risk_score", F.when(F.col("seq") == 7, 6).otherwise(F.col("risk_score"))).where("seq <> 20")
+    assert {r["seq"]: r["problem"] for r in audit.verify_chain(changed).where("problem is not null").collect()} == {7: "hash", 21: "link"}
+    write_events(sound.drop("file", "seq", "broken"), str(tmp_path / "out"))
+    with pytest.raises(Exception, match="(?i)exists"):
+        write_events(sound, str(tmp_path / "out"))
+
+
+def test_tokens_are_numbered_across_ranges(spark):
+    rows = [(f, o, 0, "PHONE", f"v{(f * 7 + o) % 40}") for f in range(10) for o in range(20)]
+    out = {r["value"]: r["number"] for r in dataset.batch_tokens(spark.createDataFrame(rows, "file_no int, op_no int, start int, type string, value string")).collect()}
+    first = list(dict.fromkeys(v for *_, v in sorted(rows)))
+    assert out == {v: i for i, v in enumerate(first, 1)}
+
+
+def test_checks_of_a_release_can_fail(spark):
+    from hushframe.operators.transform import EVIDENCE
+    from hushframe.operators.verify import verify
+
+    rows = sanitize(spark.createDataFrame([(1, "mail a@b.example.com now")], "id int, text string")).select("id", "text", "facts")
+    checked = lambda out: rows.select(verify(F.col("text"), F.col("facts"), F.array().cast(EVIDENCE), F.lit(out), F.col("facts"), F.lit("EXTERNAL_APPROVED"), F.lit("RESEARCH"), PROFILES["external-ai-strict"])["passed"]).first()[0]
+    assert not checked("mail a@b.example.com now") and not checked("mail [REDACTED] later")
