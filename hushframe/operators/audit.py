@@ -83,6 +83,12 @@ def verify_chain(log: DataFrame, seq: str = "seq", key: bytes | None = None) ->
     return slim.select(seq, problem.alias("problem"))
 
 
+def chain_head(log: DataFrame, seq: str = "seq") -> DataFrame:
+    """(seq, event_hash) of the last record that has a hash: what the next one is linked to; no row for a log without one."""
+    hashed = log.where("event_hash is not null and event_hash <> ''")
+    return hashed.agg(F.max(seq).alias(seq), F.max_by("event_hash", seq).alias("event_hash")).where(F.col(seq).isNotNull())
+
+
 def chain_report(log: DataFrame, seq: str = "seq", key: bytes | None = None) -> DataFrame:
     """(total, chained, unchained, failures) of a log."""
     sound = verify_chain(log, seq, key).agg(F.count("*").alias("chained"), F.count("problem").alias("failures"))

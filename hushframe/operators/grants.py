@@ -86,6 +86,13 @@ def statuses(uses: DataFrame, revocations: DataFrame, now: Column) -> DataFrame:
     return rows.select("grant_key", "uses_allowed", "uses_consumed", "expires_at", status.alias("status"))
 
 
+def summary(told: DataFrame) -> DataFrame:
+    """(status, grants, uses_allowed, uses_consumed, uses_left) of statuses(); keys that were only revoked count as grants without uses."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    left = F.when(F.col("status") == "active", F.greatest(F.col("uses_allowed") - F.col("uses_consumed"), F.lit(0)))
+    return told.groupBy("status").agg(F.count("*").alias("grants"), total(F.col("uses_allowed")).alias("uses_allowed"), total(F.col("uses_consumed")).alias("uses_consumed"), total(left).alias("uses_left"))
+
+
 def consume(attempts: DataFrame, uses: DataFrame, revocations: DataFrame) -> DataFrame:
     """(grant_key, seq, consumed): which of the attempts (grant_key, seq, at) get one of the grant's uses.
 

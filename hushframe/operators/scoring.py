@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["doc_id", "type", "start", "end"]
@@ -61,3 +61,72 @@ def leaked_values(audit_text: DataFrame, labels: DataFrame) -> DataFrame:
     values = labels.select("value").where("length(value) >= 2").distinct()
     found = audit_text.join(values, F.contains("text", F.col("value"))).select("value").distinct()
     return found.agg(F.count("*").alias("n_leaked"))
+
+
+# -- what survives a release ----------------------------------------------------
+
+# What stands around a value that is only part of a longer number or band.
+FRAGMENT_BEFORE = "0-9.\\-–—~～"
+BAND_SUFFIXES = ("及以上", "及以下", "以上", "以下", "左右", "上下")
+BAND_PREFIX = "不足"
+
+
+def _quoted(value: Column) -> Column:
+    return F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
+def survives(value: Column, released: Column) -> Column:
+    """Whether a value stands in a released text by itself, not as a piece of a number or of a generalised band."""
+    before, after = f"(?<![{FRAGMENT_BEFORE}])(?<!{BAND_PREFIX})", f"(?![0-9]|{'|'.join(BAND_SUFFIXES)})"
+    return F.rlike(released, F.concat(F.lit(before), _quoted(value), F.lit(after)))
+
+
+def still_present(value: Column, released: Column) -> Column:
+    """Whether a value is left in a released text; an age in years not as the end of a band."""
+    years = F.regexp_extract(value, "^([0-9]{1,3})岁$", 1)
+    return F.when(years != "", F.rlike(released, F.concat(F.lit("(?<![-0-9])"), years, F.lit("岁")))).otherwise(F.contains(released, value))
+
+
+def totals_by(outcomes: DataFrame, *by: str) -> DataFrame:
+    """Fourteen measures of scored documents for each group, or over all.
+
+    ``outcomes`` has a row for each document: tp, fp, fn, labelled_spans, residual_spans,
+    released, allowed_original, sanitized_verified, lifecycle_failed, audit_failed,
+    actual_verdict and expected_verdict.
+    """
+    n = lambda c: F.coalesce(F.sum(F.expr(c).cast("long")), F.lit(0))
+    ratio = lambda a, b: F.when(b > 0, F.round(a / b, 4)).otherwise(F.lit(1.0))
+    tp, fp, fn = n("tp"), n("fp"), n("fn")
+    return outcomes.groupBy(*by).agg(
+        F.count("*").alias("documents"), n("labelled_spans = 0").alias("clean_documents"), (tp + fn).alias("labelled_spans"), ratio(tp, tp + fn).alias("recall"), ratio(tp, tp + fp).alias("precision"),
+        fp.alias("false_positives"), n("residual_spans").alias("residual"), n("released").alias("released_documents"), n("allowed_original").alias("allowed_original_documents"),
+        n("sanitized_verified").alias("sanitized_verified_documents"), n("lifecycle_failed").alias("lifecycle_failures"), n("audit_failed").alias("audit_failures"),
+        n("actual_verdict <> expected_verdict").alias("verdict_mismatch"), n("actual_verdict = 'ALLOW' and expected_verdict <> 'ALLOW'").alias("false_allow"),
+    )
+
+
+def all_gates(totals: DataFrame, least_recall: float = 1.0, least_precision: float = 1.0) -> DataFrame:
+    """totals_by() with the names of all failed gates, in order, and whether all passed."""
+    must_be_none = ("false_positives", "residual", "lifecycle_failures", "audit_failures", "verdict_mismatch", "false_allow")
+    failed = [F.when(F.col("recall") < least_recall, "recall"), F.when(F.col("precision") < least_precision, "precision"), *(F.when(F.col(c) > 0, c) for c in must_be_none)]
+    return totals.withColumn("failed", F.array_compact(F.array(*failed))).withColumn("passed", F.size("failed") == 0)
+
+
+def simulation(cases: DataFrame) -> DataFrame:
+    """One row over (released text or null, phi, clean): values that a release still holds, and clean ones that it lost.
+
+    A case that is withheld neither misses nor loses anything, but its values count in the rates.
+    """
+    out = F.col("released").isNotNull()
+    missed = F.when(out, F.size(F.filter("phi", lambda v: still_present(v, F.col("released"))))).otherwise(0)
+    lost = F.when(out, F.size(F.filter("clean", lambda v: ~F.contains(F.col("released"), v)))).otherwise(0)
+    total = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    one = cases.agg(F.count("*").alias("documents"), total(F.size("phi")).alias("labelled_values"), total(F.size("clean")).alias("kept_values"), total(missed).alias("missed"), total(lost).alias("over_redacted"), total((~out)).alias("withheld_documents"))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+    return one.withColumns({"miss_rate": share("missed", "labelled_values"), "over_redaction_rate": share("over_redacted", "kept_values")})
+
+
+def in_order(counts: DataFrame, order: list[str], name: str = "name") -> DataFrame:
+    """Rows with known names first, in the given order, then the others by name."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(name))
+    return counts.orderBy(F.when(place > 0, place).otherwise(len(order) + 1), name)

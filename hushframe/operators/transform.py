@@ -67,19 +67,24 @@ def tokens(facts: Column, plan: Column) -> Column:
     return F.array_distinct(F.flatten(per))
 
 
-def evidence(text: Column, facts: Column, plan: Column) -> Column:
-    """What is replaced, in order of place, with places in the input and in the output."""
+def evidence(text: Column, facts: Column, plan: Column, numbers: Column | None = None) -> Column:
+    """What is replaced, in order of place, with places in the input and in the output.
+
+    ``numbers``, an array of struct<type,value,number>, numbers the tokens of texts that
+    share them; without it each text counts its own.
+    """
     ops = F.map_from_entries(F.transform(plan, lambda o: F.struct(o["target"], o["op"])))
 
-    def of(known: Column) -> Column:
+    def of(known: Column, days: Column) -> Column:
         def replacement(f: Column) -> Column:
             op = F.try_element_at(ops, f["type"])
-            place = F.array_position(known, F.struct(f["type"].alias("type"), f["value"].alias("value")))
+            own = F.struct(f["type"].alias("type"), f["value"].alias("value"))
+            place = F.array_position(known, own) if numbers is None else F.try_element_at(known, own)
             return (
                 F.when(op == "REMOVE", F.lit(REDACTED))
                 .when(op == "MASK", F.repeat(F.lit("*"), F.greatest(F.length(f["value"]), F.lit(1))))
                 .when(op == "TOKENIZE", token_text(f["type"], place))
-                .when(op == "DATE_SHIFT", shifted_date(f["value"], shift_days(text)))
+                .when(op == "DATE_SHIFT", shifted_date(f["value"], days))
                 .when(op == "GENERALIZE", generalized(f["type"], f["value"]))
             )
 
@@ -94,7 +99,8 @@ def evidence(text: Column, facts: Column, plan: Column) -> Column:
 
         return F.aggregate(rows, start, step, lambda a: a["out"])
 
-    return let(tokens(facts, plan), of)
+    known = tokens(facts, plan) if numbers is None else F.map_from_entries(F.transform(numbers, lambda n: F.struct(F.struct(n["type"].alias("type"), n["value"].alias("value")), n["number"])))
+    return let(F.struct(known.alias("known"), shift_days(text).alias("days")), lambda x: of(x["known"], x["days"]))
 
 
 def splice(text: Column, done: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hushframe import lexicon as L
-from hushframe.functions.spans import empty
+from hushframe.functions.spans import empty, let
 from hushframe.operators.detect import parse_date
 from hushframe.operators.transform import generalized, shift_days
 from hushframe.plans.policy import CONTEXT_ONLY, ERASE, Profile, decide, types_of
@@ -25,19 +27,19 @@ def names_end_well(text: Column, done: Column) -> Column:
 def replacements_hold(text: Column, done: Column) -> Column:
     """Each operation's output, derived again from the value alone."""
 
-    def good(e: Column) -> Column:
+    def good(e: Column, own: Column) -> Column:
         r, v = e["replacement"], e["value"]
         days = F.datediff(parse_date(r), parse_date(v))
         return F.coalesce(
             F.when(e["op"] == "REMOVE", r == "[REDACTED]")
             .when(e["op"] == "MASK", r.rlike("^[*]+$") & (F.length(r) == F.greatest(F.length(v), F.lit(1))))
             .when(e["op"] == "TOKENIZE", F.regexp_replace(r, "_[0-9]{3,}\\]$", "") == F.concat(F.lit("["), e["type"]))
-            .when(e["op"] == "DATE_SHIFT", (days == shift_days(text)) & (days != 0))
+            .when(e["op"] == "DATE_SHIFT", (days == own) & (days != 0))
             .when(e["op"] == "GENERALIZE", (r == generalized(e["type"], v)) & (r != v)),
             F.lit(False),
         )
 
-    return F.forall(done, good)
+    return let(shift_days(text), lambda own: F.forall(done, lambda e: good(e, own)))
 
 
 def context_untouched(text: Column, out: Column, done: Column) -> Column:
@@ -63,17 +65,45 @@ def tokens_one_to_one(done: Column) -> Column:
     return (F.size(pairs) == F.size(names)) & (F.size(pairs) == F.size(values))
 
 
-def verify(text: Column, facts: Column, done: Column, out: Column, residual: Column, trust: Column, purpose: Column, profile: Profile, dictionary_hits: Column | None = None) -> Column:
-    """struct<passed,reason_codes,details>; the first check that fails is named."""
+def covered_by(accepted: Column | None) -> Callable[[Column], Column]:
+    """Whether a fact is of a value that cannot be rewritten and of a type whose risk was accepted; null ``accepted`` covers nothing."""
+    if accepted is None:
+        return lambda f: F.lit(False)  # noqa: ARG005
+    return lambda f: f["read_only"] & F.coalesce(F.array_contains(accepted, f["type"]), F.lit(False))
+
+
+def with_read_only(residual: Column, facts: Column, done: Column, accepted: Column) -> Column:
+    """The residual with the marks of accepted read-only values, which a flat text has lost.
+
+    Only the very span that such a value has after the replacements before it is marked.
+    """
+    covers = covered_by(accepted)
+
+    def moved(f: Column) -> Column:
+        by = F.aggregate(F.filter(done, lambda e: e["end"] <= f["start"]), F.lit(0), lambda acc, e: acc + (e["out_end"] - e["out_start"]) - (e["end"] - e["start"]))
+        return F.struct(f["type"].alias("type"), (f["start"] + by).alias("start"), (f["end"] + by).alias("end"))
+
+    kept = F.transform(F.filter(facts, covers), moved)
+    mark = lambda known: F.transform(residual, lambda f: f.withField("read_only", f["read_only"] | F.array_contains(known, F.struct(f["type"].alias("type"), f["start"].alias("start"), f["end"].alias("end")))))
+    return let(kept, mark)
+
+
+def verify(text: Column, facts: Column, done: Column, out: Column, residual: Column, trust: Column, purpose: Column, profile: Profile, dictionary_hits: Column | None = None, accepted: Column | None = None) -> Column:
+    """struct<passed,reason_codes,details>; the first check that fails is named.
+
+    ``accepted`` are the types that a checked grant accepts in values that cannot be rewritten.
+    """
+    covers = covered_by(accepted)
+    granted = F.lit(False) if accepted is None else accepted.isNotNull() & F.forall(residual, lambda f: covers(f) | f["type"].isin(*CONTEXT_ONLY))
     erase = [t for t, (a, _) in profile.identifiers.items() if a in ERASE]
     change = [t for t, (a, _) in profile.identifiers.items() if a in ("GENERALIZE", "DATE_SHIFT")]
     again = decide(residual, trust, purpose, profile)
-    left = F.filter(residual, lambda f: f["type"].isin(*change))
+    left = F.filter(residual, lambda f: f["type"].isin(*change) & ~covers(f))
     shifted = lambda f: F.exists(done, lambda e: (e["op"] == "DATE_SHIFT") & (e["out_start"] == f["start"]) & (e["out_end"] == f["end"]) & (e["type"] == f["type"]))
     allowed = F.forall(residual, lambda f: f["type"].isin(*change, *CONTEXT_ONLY))
     checks = [
         ("the output is missing", out.isNotNull()),
-        ("an identifier remains", ~F.exists(residual, lambda f: f["type"].isin(*erase))),
+        ("an identifier remains", ~F.exists(residual, lambda f: f["type"].isin(*erase) & ~covers(f))),
         ("a dictionary term remains", F.lit(True) if dictionary_hits is None else F.size(dictionary_hits) == 0),
         ("a new type appeared", F.size(F.array_except(types_of(residual), types_of(facts))) == 0),
         ("context changed", context_untouched(text, out, done)),
@@ -81,7 +111,7 @@ def verify(text: Column, facts: Column, done: Column, out: Column, residual: Col
         ("tokens are ambiguous", tokens_one_to_one(done)),
         ("a name may be cut short", names_end_well(text, done)),
         ("a value remains that should have changed", F.forall(left, shifted)),
-        ("policy does not allow the output", (again["verdict"] == "ALLOW") | ((again["verdict"] == "SANITIZE") & (F.size(residual) > 0) & allowed)),
+        ("policy does not allow the output", (again["verdict"] == "ALLOW") | ((again["verdict"] == "ASK") & granted) | ((again["verdict"] == "SANITIZE") & (F.size(residual) > 0) & allowed)),
     ]
     detail = None
     for why, good in checks:

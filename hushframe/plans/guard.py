@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from hushframe.functions.spans import EMPTY_FACTS, strip_invisible, with_fenced
 from hushframe.operators.detect import detect, facts_of, with_facts
 from hushframe.operators.transform import EVIDENCE, evidence, splice
-from hushframe.operators.verify import verify
-from hushframe.plans.policy import PROFILES, Profile, closed_decision, coerce_purpose, coerce_trust, decide
+from hushframe.operators.verify import verify, with_read_only
+from hushframe.plans.policy import PROFILES, Profile, closed_decision, coerce_purpose, coerce_trust, decide, granted_plan
 from hushframe.sources.admission import is_binary
 
 #: Columns that evaluate() and sanitize() add; the input may not have them.
@@ -39,25 +39,40 @@ def evaluate(df: DataFrame, text: str = "text", recipient: str | Column = "EXTER
     return decided.drop("__ok", "__text")
 
 
-def sanitize(df: DataFrame, text: str = "text", recipient: str | Column = "EXTERNAL_APPROVED", purpose: str | Column = "EXTERNAL_AI_ASSISTANCE", profile: Profile | str = "external-ai-strict", detectors: Iterable[str] | None = None, extra: Iterable[Column | Callable[[Column], Column]] = ()) -> DataFrame:
+def approved(rows: DataFrame, accepted: Column, profile: Profile) -> tuple[DataFrame, Column]:
+    """The rows with the plans of approved ASKs, and the condition of what is rewritten."""
+    granted = (F.col("decision.verdict") == "ASK") & accepted.isNotNull()
+    plan = F.when(granted, granted_plan(F.col("facts"), profile)).otherwise(F.col("decision.plan"))
+    return rows.withColumn("decision", F.col("decision").withField("plan", plan)), (F.col("decision.verdict") == "SANITIZE") | granted
+
+
+def sanitize(df: DataFrame, text: str = "text", recipient: str | Column = "EXTERNAL_APPROVED", purpose: str | Column = "EXTERNAL_AI_ASSISTANCE", profile: Profile | str = "external-ai-strict", detectors: Iterable[str] | None = None, extra: Iterable[Column | Callable[[Column], Column]] = (), accepted: Column | None = None) -> DataFrame:
     """evaluate(), then the plan applied and verified.
 
     ``sanitized`` is the released text and null where nothing is released: ALLOW
     releases the stripped input, SANITIZE the rewritten text if ``verification``
     passed, ASK and BLOCK nothing.  ``verification`` is null where it did not run.
+
+    ``accepted`` is not null where a checked and consumed grant approves the row: the types
+    whose risk it accepts in values that cannot be rewritten.  An approved ASK is rewritten
+    and verified like SANITIZE; an approval opens nothing else.
     """
     profile = PROFILES[profile] if isinstance(profile, str) else profile
     trust, why = coerce_trust(_column(recipient)), coerce_purpose(_column(purpose))
     named = tuple(detectors) if detectors is not None else None
     work = F.col("decision.verdict") == "SANITIZE"
     rows = evaluate(df, text, recipient, purpose, profile, detectors, extra)
+    if accepted is not None:
+        rows, work = approved(rows, accepted, profile)
     rows = rows.withColumn("__done", F.when(work, evidence(F.col(text), F.col("facts"), F.col("decision.plan"))).otherwise(F.array().cast(EVIDENCE)))
     rows = with_fenced(rows, __out=F.when(work, splice(F.col(text), F.col("__done"))))
     again = [e(F.col("__out")) for e in extra if not isinstance(e, Column)]
     residual = detect(F.col("__out"), named, again) if again else facts_of("__out", named)
     rows = with_fenced(rows, __residual=F.when(work, residual).otherwise(EMPTY_FACTS()))
+    if accepted is not None:
+        rows = rows.withColumn("__residual", with_read_only(F.col("__residual"), F.col("facts"), F.col("__done"), accepted))
     listed = F.filter("__residual", lambda f: F.startswith(f["source"], F.lit("dictionary.")) & (f["source"] != "dictionary.department"))
-    checked = verify(F.col(text), F.col("facts"), F.col("__done"), F.col("__out"), F.col("__residual"), trust, why, profile, dictionary_hits=listed)
+    checked = verify(F.col(text), F.col("facts"), F.col("__done"), F.col("__out"), F.col("__residual"), trust, why, profile, dictionary_hits=listed, accepted=accepted)
     rows = with_fenced(rows, verification=F.when(work, checked))
     passed = F.coalesce(F.col("verification.passed"), F.lit(False))
     after = F.when(work & passed, decide(F.col("__residual"), trust, why, profile))

@@ -197,6 +197,11 @@ def plan_of(types: Column, profile: Profile) -> Column:
     return F.filter(ops, lambda o: o["op"].isNotNull()).cast(PLAN)
 
 
+def granted_plan(facts: Column, profile: Profile) -> Column:
+    """What an approved request still rewrites: all but the values that cannot be; empty, not null, if that is nothing."""
+    return plan_of(types_of(F.filter(facts, lambda f: ~f["read_only"])), profile)
+
+
 def decide(facts: Column, trust: Column, purpose: Column, profile: Profile) -> Column:
     """struct<verdict,reason_codes,explanation,risk_level,risk_score,plan,policy_version>: the ordered cascade.
 

@@ -21,15 +21,17 @@ def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
-def labelled_corpus(spark: SparkSession, path: str) -> DataFrame:
+def labelled_corpus(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """(doc_id, document_type, department, text, spans, expected_verdict, problem) of the sidecars of a folder, each joined to its text by stem.
 
     ``problem`` says why a document cannot be scored: no text, an unreadable
     sidecar, an unknown verdict, a bad or repeated id, or a span that is out of
     the text, repeated or of a document-level type.  Null where all is well.
+    ``limit`` keeps the first documents by the names of their files.
     """
     sides = _files(spark, path, "*.spans.json").select(_stem(F.col("path")).alias("stem"), F.from_json("content", SIDECAR).alias("m"), (F.from_json("content", "map<string,string>")["spans"]).alias("raw"))
     texts = _files(spark, path, "*.txt").select(_stem(F.col("path")).alias("stem"), F.col("content").alias("text"))
+    sides = sides if limit is None else sides.orderBy("stem").limit(limit)
     rows = sides.join(texts, "stem", "left").withColumn("doc_id", F.coalesce("m.doc_id", "stem"))
     same = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
     rows = rows.join(same, "doc_id")

@@ -14,12 +14,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from hushframe import lexicon as L
 
-LEAVES = "array<struct<path:string,text:string,probes:array<string>,completed:string,read_only:boolean>>"
-_LEAF = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("probes", pa.list_(pa.string())), ("completed", pa.string()), ("read_only", pa.bool_())]))
+LEAVES = "array<struct<path:string,text:string,probes:array<string>,completed:string,read_only:boolean,start:int>>"
+_LEAF = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("probes", pa.list_(pa.string())), ("completed", pa.string()), ("read_only", pa.bool_()), ("start", pa.int32())]))
 _INVISIBLE = re.compile("[" + re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), L.INVISIBLE) + "]+")
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
 
@@ -54,6 +55,12 @@ def _token(key: str) -> str:
     return key.replace("~", "~0").replace("/", "~1")
 
 
+def fhir_path(pointer: Column) -> Column:
+    """A pointer as the path of an element: no positions, parts behind dots."""
+    parts = F.filter(F.split(pointer, "/"), lambda p: (p != "") & ~p.rlike("^[0-9]+$"))
+    return F.array_join(F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))), ".")
+
+
 def json_leaves(doc: object, completed: dict[str, str] | None = None) -> list[dict]:
     """Leaves in document order; numbers are read-only, booleans and nulls give none."""
     out: list[dict] = []
@@ -172,11 +179,25 @@ def leaves_of(kind: str, text: str) -> list[dict]:
         if not found or any(t not in L.FHIR_RESOURCES for t, _ in found):
             raise Refused("UNSUPPORTED_FORMAT")
         return json_leaves(doc, fhir_names(doc))
+    if kind == "text":
+        return [{"path": "", "text": _clean(text), "probes": [], "completed": None, "read_only": False}]
     raise Refused("UNSUPPORTED_FORMAT")
 
 
+def placed(leaves: list[dict]) -> list[dict]:
+    """The leaves, each with its start in the text that joins them all by one character."""
+    at = 0
+    for leaf in leaves:
+        leaf["start"] = at
+        at += len(leaf["text"]) + 1
+    return leaves
+
+
 def rebuilt(kind: str, text: str, new: list[str]) -> str:
-    """The payload with its leaves' texts replaced in order; numbers stay."""
+    """The payload with its leaves' texts replaced in order; numbers stay.  A text is its one leaf."""
+    if kind == "text":
+        (out,) = new
+        return out
     if kind == "csv":
         header, rows = csv_table(text)
         values = iter(new)
@@ -198,6 +219,72 @@ def rebuilt(kind: str, text: str, new: list[str]) -> str:
     return json.dumps(doc, ensure_ascii=False, indent=2)
 
 
+def _one(pairs: list[tuple[str, object]]) -> dict:
+    """An object, refused if it repeats a key."""
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise Refused("a key is repeated")
+    return out
+
+
+def _finite(name: str) -> float:
+    raise Refused("a number is not finite")
+
+
+def table_of(kind: str, text: str) -> list[dict[str, str | None]]:
+    """The rows of a data-set file as maps of cells; a file that is no table is refused.
+
+    CSV needs a header of unique names and rows of its length.  JSON needs an object or
+    an array of objects without repeated keys or numbers that are not finite; other cells
+    than texts are written as JSON.
+    """
+    if kind == "csv":
+        try:
+            rows = [r for r in csv.reader(io.StringIO(text), strict=True) if r]
+        except csv.Error:
+            raise Refused("unreadable") from None
+        if not rows or any(not c.strip() for c in rows[0]) or len(set(rows[0])) < len(rows[0]):
+            raise Refused("the header is missing, empty or repeated")
+        if any(len(r) != len(rows[0]) for r in rows):
+            raise Refused("a row has another length than the header")
+        return [dict(zip(rows[0], r, strict=True)) for r in rows[1:]]
+    if kind != "json":
+        raise Refused("the format is unsupported")
+    try:
+        doc = json.loads(text, object_pairs_hook=_one, parse_constant=_finite)
+    except Refused:
+        raise
+    except (ValueError, RecursionError):
+        raise Refused("unreadable") from None
+    rows = doc if isinstance(doc, list) else [doc]
+    if not all(isinstance(r, dict) for r in rows):
+        raise Refused("a row is no object")
+    return [{k: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in r.items()} for r in rows]
+
+
+def with_rows(df: DataFrame, kind: str = "kind", content: str = "content") -> DataFrame:
+    """``df`` with ``rows``, the cells of each row of a data-set file by name, or null and the ``problem``.
+
+    Explode ``rows`` for the rows of all files.
+    """
+
+    def work(row: dict) -> tuple:
+        try:
+            if row[content] is None:
+                raise Refused("unreadable")
+            told = table_of(row[kind], row[content])
+            for cells in told:
+                for k, v in cells.items():
+                    (k + (v or "")).encode()
+            return [list(c.items()) for c in told], None
+        except UnicodeEncodeError:
+            return None, "unreadable"
+        except Refused as e:
+            return None, str(e)
+
+    return _kernel(df, [("rows", "array<map<string,string>>", pa.list_(pa.map_(pa.string(), pa.string()))), ("problem", "string", pa.string())], work, kind, content)
+
+
 def _kernel(df: DataFrame, new: list[tuple[str, str, pa.DataType]], work: Callable[[dict], tuple], *inputs: str) -> DataFrame:
     """``df`` with columns from one Python call per row, in Arrow batches."""
     schema = df.schema
@@ -219,7 +306,7 @@ def with_leaves(df: DataFrame, kind: str = "kind", content: str = "content") ->
 
     def work(row: dict) -> tuple:
         try:
-            return leaves_of(row[kind], row[content] or ""), None
+            return placed(leaves_of(row[kind], row[content] or "")), None
         except Refused as e:
             return None, str(e)
         except (ValueError, RecursionError):
@@ -237,7 +324,7 @@ def with_rebuilt(df: DataFrame, texts: str, kind: str = "kind", content: str = "
         try:
             out = rebuilt(row[kind], row[content], row[texts])
             out.encode()
-            return out, leaves_of("json" if row[kind] == "fhir" else row[kind], out)
+            return out, placed(leaves_of("json" if row[kind] == "fhir" else row[kind], out))
         except (ValueError, RecursionError):  # Refused is a ValueError: what cannot be read again is not released
             return None, None
 

@@ -235,3 +235,74 @@ def test_checks_of_a_release_can_fail(spark):
     rows = sanitize(spark.createDataFrame([(1, "mail a@b.example.com now")], "id int, text string")).select("id", "text", "facts")
     checked = lambda out: rows.select(verify(F.col("text"), F.col("facts"), F.array().cast(EVIDENCE), F.lit(out), F.col("facts"), F.lit("EXTERNAL_APPROVED"), F.lit("RESEARCH"), PROFILES["external-ai-strict"])["passed"]).first()[0]
     assert not checked("mail a@b.example.com now") and not checked("mail [REDACTED] later")
+
+
+def test_payloads_by_kind(spark, tmp_path):
+    from hushframe.plans.payloads import exit_code, guard_payloads, released_or_fail, union_of, with_payload
+
+    rows = [(1, '{"name": "张三"}', None), (2, "姓名\n张三\n", "CSV"), (3, "姓名\n张三\n", None), (4, "x", "pdf"), (5, None, None), (6, "a\x02", "text"), (7, "", None), (8, "he\u200bllo", "text")]
+    df = spark.createDataFrame(rows, "id int, content string, declared string")
+    assert {r["id"]: r["kind"] for r in with_payload(df, declared="declared").collect()} == {1: "json", 2: "csv", 3: "text", 4: "unsupported", 5: "unsupported", 6: "unsupported", 7: "text", 8: "text"}
+    told = guard_payloads(df, declared="declared").select("id", "decision", "sanitized", "released", "verification").cache()
+    got = {r["id"]: (r["decision"]["verdict"], r["sanitized"]) for r in told.collect()}
+    assert got[1] == ("SANITIZE", '{\n  "name": "[PERSON_NAME_001]"\n}') and got[2] == ("SANITIZE", "姓名\n[PERSON_NAME_001]\n")
+    assert got[4] == got[5] == got[6] == ("BLOCK", None) and got[7] == ("ALLOW", "") and got[8] == ("ALLOW", "hello")
+    assert exit_code(told).first()[0] == 4 and exit_code(told.where("released")).first()[0] == 0
+    assert told.where("released").select(released_or_fail()).count() > 0
+    with pytest.raises(Exception, match="blocked"):
+        told.select(released_or_fail()).collect()
+    with pytest.raises(Exception, match="(?i)column"):
+        union_of([told.select("id"), told.select("released")]).collect()
+
+
+def test_read_only_values_move_with_the_text(spark):
+    from hushframe.functions.spans import FACTS
+    from hushframe.operators.transform import EVIDENCE
+    from hushframe.operators.verify import with_read_only
+
+    fact = lambda a, b, ro: ("PHONE", a, b, 1.0, "s", "v", ro, 0)
+    done = [("AGE", "REMOVE", 0, 2, 0, 10, "xx", "[REDACTED]")]
+    row = [([fact(13, 15, False), fact(20, 22, False)], [fact(5, 7, True)], done, ["PHONE"]), ([fact(13, 15, False)], [fact(5, 7, True)], done, ["AGE"]), ([fact(13, 15, False)], [fact(5, 7, True)], done, None)]
+    df = spark.createDataFrame(row, f"r {FACTS}, f {FACTS}, d {EVIDENCE}, a array<string>")
+    marks = [[x["read_only"] for x in r[0]] for r in df.select(with_read_only(F.col("r"), F.col("f"), F.col("d"), F.col("a"))).collect()]
+    assert marks == [[True, False], [False], [False]]
+
+
+def test_an_approval_is_no_licence_to_leave_what_can_be_rewritten(spark):
+    rows = spark.createDataFrame([(1, "患者：张三，本县唯一，电话 13800138000。")], "id int, text string")
+    got = sanitize(rows, accepted=F.array(F.lit("PHONE"), F.lit("PERSON_NAME"))).first()
+    assert got["released"] and got["sanitized"] == "患者：[PERSON_NAME_001]，本县唯一，电话 [REDACTED]。"
+    closed = spark.createDataFrame([(1, None)], "id int, text string")
+    assert not sanitize(closed, accepted=F.array(F.lit("PHONE"))).first()["released"]
+
+
+def test_batch_is_written_once(spark, tmp_path):
+    from hushframe.plans.batch import sanitize_batch, write_batch
+
+    files = spark.createDataFrame([(1, "csv", "姓名\n张三\n"), (2, "csv", " "), (3, "csv", "姓名\n李四\n张三\n")], "file_no int, kind string, content string")
+    told = sanitize_batch(files)
+    write_batch(told, str(tmp_path / "out"))
+    texts = {r["file"]: r["value"] for r in spark.read.option("lineSep", "\x00").text(str(tmp_path / "out" / "files")).selectExpr("cast(file as int) AS file", "value").collect()}
+    assert texts == {1: "姓名\n[PERSON_NAME_001]\n\n", 3: "姓名\n[PERSON_NAME_002]\n[PERSON_NAME_001]\n\n"}
+    assert {(r["file_no"], r["decision"], r["released"]) for r in spark.read.json(str(tmp_path / "out" / "manifest")).collect()} == {(1, "SANITIZE", True), (2, "BLOCK", False), (3, "SANITIZE", True)}
+    with pytest.raises(Exception, match="(?i)exists"):
+        write_batch(told, str(tmp_path / "out"))
+
+
+def test_table_files():
+    from hushframe.sources.structured import table_of
+
+    assert table_of("csv", "a,b\n1,\n\n2,x\n") == [{"a": "1", "b": ""}, {"a": "2", "b": "x"}]
+    assert table_of("json", '[{"a": 1.50, "b": null}]') == [{"a": "1.5", "b": None}] and table_of("json", "[]") == []
+    for kind, text in (("csv", ""), ("csv", "a,\n1,2"), ("csv", "a,a\n"), ("csv", "a\n1,2"), ("json", "1"), ("json", "[1]"), ("json", '{"a": NaN}'), ("json", '{"a": 1, "a": 1}'), ("json", "{"), ("text", "a")):
+        with pytest.raises(Refused):
+            table_of(kind, text)
+
+
+def test_survival_of_odd_values(spark):
+    from hushframe.operators.scoring import in_order, still_present, survives
+
+    rows = spark.createDataFrame([("a\\Eb", "x a\\Eb"), (".*", "abc"), ("29岁", "20-29岁"), ("29岁", "29岁"), ("90岁", "90岁及以上")], "v string, t string")
+    assert [tuple(r) for r in rows.select(survives(F.col("v"), F.col("t")), still_present(F.col("v"), F.col("t"))).collect()] == [(True, True), (False, False), (False, False), (True, True), (False, True)]
+    names = spark.createDataFrame([("z",), ("b",), ("a",), ("c",)], "name string")
+    assert [r[0] for r in in_order(names, ["c", "a"]).collect()] == ["c", "a", "b", "z"]
