@@ -62,10 +62,10 @@ _WHITE = re.compile(r"[ \t\n\r\f\v]+")
 
 
 class Node:
-    __slots__ = ("tag", "hidden", "span", "start", "children")
+    __slots__ = ("tag", "hidden", "span", "down", "start", "children")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
-        self.tag, self.hidden, self.span, self.start = tag, tag in UNSEEN, 1, 1
+        self.tag, self.hidden, self.span, self.down, self.start = tag, tag in UNSEEN, 1, 1, 1
         self.children: list[Node | str] = []
         if attributes and not attributes.isspace():
             for name, *values in _ATTR.findall(attributes):
@@ -74,6 +74,8 @@ class Node:
                     self.hidden = True
                 elif name == "colspan" and value.isascii() and value.isdigit():
                     self.span = min(max(int(value[:6]), 1), 1000)
+                elif name == "rowspan" and value.isascii() and value.isdigit():
+                    self.down = min(int(value[:6]), 65_534)
                 elif name == "start" and tag == "ol" and re.fullmatch(r"-?[0-9]{1,9}", value):
                     self.start = int(value)
 
@@ -220,7 +222,7 @@ def render(root: Node) -> str:
     """The visible text of a tree."""
     flows = [Flow()]
     lists: list[list[int | None]] = []
-    tables: list[list[list[tuple[list[str], int]]]] = []
+    tables: list[list[list[tuple[list[str], int, int]]]] = []
     todo: list[tuple[str, Node | str]] = [("in", root)]
     pre = 0
     while todo:
@@ -286,7 +288,7 @@ def render(root: Node) -> str:
             if tables:
                 if not tables[-1]:
                     tables[-1].append([])
-                tables[-1][-1].append((lines, node.span))
+                tables[-1][-1].append((lines, node.span, node.down))
             else:
                 for line in lines:
                     flows[-1].put(line)
@@ -311,24 +313,37 @@ def render(root: Node) -> str:
     return "\n".join(line.rstrip() for line in flows[0].done())
 
 
-def _table(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of cells as lines with aligned columns."""
-    rows = [r for r in rows if any(lines for lines, _ in r)]
-    width: dict[int, int] = {}
-    for row in rows:
+def _table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of cells (lines, columns, rows) as lines with aligned columns.
+
+    A cell that goes down over further rows has its text in the first and keeps its
+    columns in the others; 0 rows are all that follow.  Rows without text give no line.
+    """
+    taken: dict[int, tuple[int, int]] = {}  # column -> (column behind the cell, row below it)
+    told: list[list[tuple[list[str], int, int]]] = []
+    for r, row in enumerate(rows):
         at = 0
-        for lines, span in row:
+        cells: list[tuple[list[str], int, int]] = []
+        for lines, span, down in row:
+            while at in taken and taken[at][1] > r:
+                cells.append(([], at, taken[at][0] - at))
+                at = taken[at][0]
+            cells.append((lines, at, span))
+            if down != 1:
+                taken[at] = (at + span, r + down if down else len(rows))
+            at += span
+        if any(lines for lines, _, _ in cells):
+            told.append(cells)
+    width: dict[int, int] = {}
+    for cells in told:
+        for lines, at, span in cells:
             if span == 1:
                 width[at] = max(width.get(at, 0), *(len(x) for x in lines), 0)
-            at += span
     out = []
-    for row in rows:
-        for k in range(max(len(lines) for lines, _ in row)):
-            parts, at = [], 0
-            for lines, span in row:
-                room = sum(width.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(room))
-                at += span
+    for cells in told:
+        room = [sum(width.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1) for _, at, span in cells]
+        for k in range(max(len(lines) for lines, _, _ in cells)):
+            parts = [(lines[k] if k < len(lines) else "").ljust(n) for (lines, _, _), n in zip(cells, room, strict=True)]
             out.append("  ".join(parts).rstrip())
     return out
 

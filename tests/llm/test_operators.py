@@ -70,6 +70,25 @@ def test_html():
     assert html_text.extract("<!-- x <p>y</p>") == "y"
 
 
+def test_html_cells_over_several_rows():
+    table = lambda rows: html_text.extract(f"<table>{rows}</table>").split("\n")
+    assert table("<tr><td rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e") == ["A  b", "   c", "d  e"]
+    assert table("<tr><td>a<td rowspan=0>B<td>c<tr><td>d<td>e<tr><td>f<td>g") == ["a  B  c", "d     e", "f     g"]
+    assert table("<tr><td rowspan=2 colspan=2>A<td>x<tr><td>y<tr><td>p<td>q<td>z") == ["A     x", "      y", "p  q  z"]
+    assert table("<tr><td rowspan=2>A<tr><tr><td>b<td>c") == ["A", "b  c"]
+    assert table("<tr><td rowspan=x>A<td>b<tr><td>c<td rowspan=99999999>d") == ["A  b", "c  d"]
+
+
+def test_html_of_an_empty_table_repeated_keys_and_odd_columns(spark):
+    kind = "page_id long, html string, score int"
+    assert html_text.extract_text(spark.createDataFrame([], kind)).collect() == []
+    rows = [(1, "<p>x", 1), (1, "<p>y", 2), (None, "<b>z", 3), (2, "", 4), (2, "", 4)]
+    got = sorted((r["page_id"] or 0, r["text"]) for r in html_text.extract_text(spark.createDataFrame(rows, kind)).collect())
+    assert got == [(0, "z"), (1, "x"), (1, "y"), (2, ""), (2, "")]
+    long = "<table>" + "<tr><td rowspan=2>a<td>b<tr><td>c" * 20_000 + "</table>"
+    assert html_text.extract(long).count("\n") == 39_999
+
+
 def test_html_nulls(spark):
     rows = spark.createDataFrame([(1, None, 0), (2, "<p>x", 1)], "page_id long, html string, text int")
     assert {r["page_id"]: r["text"] for r in html_text.extract_text(rows).collect()} == {1: None, 2: "x"}
