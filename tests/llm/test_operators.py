@@ -334,3 +334,41 @@ def test_a_language_that_was_not_learned_is_rejected(spark):
     told = language.predict(docs, model).where("length(text) > 200")
     share = {r["lang"]: r["share"] for r in told.groupBy("lang").agg(F.avg(F.col("rejected").cast("int")).alias("share")).collect()}
     assert share["es"] > 0.5 and max(v for k, v in share.items() if k != "es") < 0.01
+
+
+ODD = "doc_id long, text string, score int, n_words int, words string, license string"
+
+
+def odd_rows(spark, *rows):
+    """Rows with columns whose names the operators use themselves."""
+    return spark.createDataFrame([(k, t, 1, 2, "w", "l") for k, t in rows], ODD)
+
+
+def test_empty_tables(spark, scratch):
+    none = odd_rows(spark)
+    items = spark.createDataFrame([], "item_id long, text string")
+    assert quality.apply_policy(quality.ledger(none)).collect() == substring.cut(scratch, none).collect() == []
+    assert decontaminate.leaks(scratch, none, items).collect() == []
+    assert decontaminate.leaks(scratch, odd_rows(spark, (1, FOX)), items).collect() == []
+    assert quotes.thread(scratch, spark.createDataFrame([], "conv_id int, turn int, role string, text string")).collect() == []
+    assert licenses.scan(spark.createDataFrame([], "path string, text string, license_file boolean, score int")).collect() == []
+
+
+def test_null_and_repeated_keys_beside_odd_columns(spark, scratch):
+    rows = odd_rows(spark, (1, FOX), (1, "a b"), (None, "a b c"), (2, None), (2, None), (3, ""))
+    measured = Counter((r["doc_id"], r["n_words"]) for r in quality.ledger(rows).collect())
+    assert measured == Counter([(1, len(WORD.findall(FOX))), (1, 2), (None, 3), (2, 0), (2, 0), (3, 0)])
+    items = spark.createDataFrame([(7, FOX, 0), (8, None, 0), (9, "", 0)], "item_id long, text string, score int")
+    found = decontaminate.leaks(scratch, rows, items).collect()
+    assert [(r["doc_id"], r["item_id"], r["start_word"]) for r in found] == [(1, 7, 0)]
+
+
+def test_a_very_long_text(spark, scratch):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(150_000)]
+    rows = odd_rows(spark, (1, " ".join(words)), (2, " ".join(["x", *words[70_000:70_040], "y"])))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.cut(scratch, rows).collect()}
+    assert got == {1: (150_000, 40), 2: (42, 40)}
+    assert {r["doc_id"]: r["n_words"] for r in quality.ledger(rows).collect()} == {1: 150_000, 2: 42}
+    items = spark.createDataFrame([(7, " ".join(words[100_000:100_030]))], "item_id long, text string")
+    assert [(r["doc_id"], r["start_word"]) for r in decontaminate.leaks(scratch, rows, items).collect()] == [(1, 100_000)]
