@@ -33,10 +33,12 @@ def with_fenced(df: DataFrame, **columns: Column) -> DataFrame:
 
     Filters on these columns stay above it, where they would otherwise be rewritten
     in terms of the inputs and repeat the whole chain of expressions; filters on
-    columns of ``df`` go below it, down to the scan.
+    columns of ``df`` go below it, down to the scan.  Each column leaves the generator
+    under a name of its own: a field taken above it would be pruned into its input.
     """
-    rows = df.select("*", F.explode_outer(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))).alias("__fenced"))
-    return rows.select(*(c for c in df.columns if c not in columns), *(F.col("__fenced")[k].alias(k) for k in columns))
+    names = [f"__fenced_{k}" for k in columns]
+    rows = df.select("*", F.inline_outer(F.array(F.struct(*(v.alias(n) for n, v in zip(names, columns.values()))))))
+    return rows.select(*(F.col(f"`{c}`") for c in df.columns if c not in columns), *(F.col(n).alias(k) for n, k in zip(names, columns)))
 
 
 def empty(kind: str = FACTS) -> Column:
