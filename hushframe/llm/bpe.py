@@ -131,18 +131,24 @@ class Encoder:
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        known = self.known
         for part, special in self.parts(text):
             if special:
                 out.append(self.special[part])
-                continue
-            for word in self.pre.findall(part):
-                ids = known.get(word)
-                if ids is None:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    ids = known[word] = tuple(self.merge(word.encode()))
-                out += ids
+            else:
+                out += self.encode_plain(part)
+        return out
+
+    def encode_plain(self, text: str) -> list[int]:
+        """As encode, with the strings of special tokens as plain text."""
+        out: list[int] = []
+        known = self.known
+        for word in self.pre.findall(text):
+            ids = known.get(word)
+            if ids is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                ids = known[word] = tuple(self.merge(word.encode()))
+            out += ids
         return out
 
     def decode(self, ids: list[int]) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import bpe, decontaminate, html_text, language, licenses, lines, minhash, quality, quotes, substring
+from hushframe.llm import align, bpe, decontaminate, html_text, language, licenses, lines, minhash, quality, quotes, repair, substring, urls
 from hushframe.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,41 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    try:
+        rows = repair.damaged(table(spark, sf_dir, "conversations"))
+        told, repaired = repair.repair(scratch, rows)
+        return repair.summary(scratch, rows, told, repaired).withColumnRenamed("conv", "conv_id").checkpoint()
+    finally:
+        scratch.drop()
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    try:
+        aligned = align.align(table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+        digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+        aligned = scratch.keep(aligned.withColumn("groups_sha256", digest).drop("groups"))
+        told = align.scored(scratch, aligned, carry=("n_a", "n_b", "n_groups", "groups_sha256"))
+        return told.checkpoint()
+    finally:
+        scratch.drop()
+
+
+#: The rules of the query, by what they decide.
+URL_BLOCKS = ("example.com/en/", "net/es/", "net/fr/")
+URL_ALLOWS = ("com/", "www.example.com/en/")
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    try:
+        return urls.judge(scratch, table(spark, sf_dir, "pages"), urls.rule_table(spark, URL_BLOCKS, URL_ALLOWS)).checkpoint()
+    finally:
+        scratch.drop()
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -107,6 +142,9 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": op8_line_dedup,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_bpe": op10_bpe,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_token_alignment": op12_token_alignment,
+        "op13_url_filter": op13_url_filter,
     }
 
 
