@@ -149,7 +149,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL, "op9_substring_dedup": OP9_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op9_substring_dedup": OP9_SQL, "op11_conversation_repair": OP11_SQL, "op13_url_filter": OP13_SQL}
 
 
 #: Words, measures and rules again, from plain regular expressions and windows.
@@ -210,3 +210,92 @@ SELECT d.doc_id, len(any_value(w))::BIGINT AS n_words,
        sha256(coalesce(string_agg(word, ' ' ORDER BY marked.i) FILTER (WHERE near IS NULL OR marked.i - near > 34), '')) AS kept_sha256
 FROM d LEFT JOIN marked ON d.doc_id = marked.doc_id GROUP BY d.doc_id
 """
+
+
+def _price(best: str, cost: str, edit: str) -> str:
+    """SQL: a cost of nine digits and its audit, with one edit more."""
+    return f"(lpad(({best}[1:9]::BIGINT + {cost})::VARCHAR, 9, '0') || {best}[10:] || '{edit}')"
+
+
+def _op11_sql() -> str:
+    """Row by row, the least cost and audit of each state; the repaired rows from the audit alone."""
+    insert = [_price(f"b[{i}]", "2", "I") for i in range(1, 5)]
+    twice = [_price(_price(f"b[{i}]", "2", "I"), "2", "I") for i in (1, 2)]
+    inserted = f"[b[1], b[2], least(b[3], {insert[0]}, {insert[1]}, {insert[3]}), least(b[4], {insert[2]}, {twice[0]}, {twice[1]})]"
+    gone = [_price(f"b[{i}]", "3", "D") for i in range(1, 5)]
+    keep = lambda best, role: f"CASE WHEN e.fault < 2 AND e.initial = '{role}' THEN {_price(best, 'e.fault', 'K')} ELSE 'Z' END"
+    other = lambda best: f"CASE WHEN e.fault < 2 THEN {_price(best, '2 + e.fault', 'R')} ELSE 'Z' END"
+    before_user = "least(b[1], b[2], b[4])"
+    edited = f"[{gone[0]}, least({gone[1]}, {keep('b[1]', 's')}), least({gone[2]}, {keep(before_user, 'u')}, {other(before_user)}), least({gone[3]}, {keep('b[3]', 'a')}, {other('b[3]')})]"
+    return r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+kinds AS (
+  SELECT conv_id, turn, role, text,
+         xor(list_reduce(list_transform(string_split(name, ''), lambda ch: ascii(ch)::BIGINT),
+                         lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 20 AS kind
+  FROM named, crc),
+rows AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds, (VALUES (1), (2)) AS c(copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM rows),
+faults AS (
+  SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open,
+         left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS pair
+  FROM placed),
+steps AS (
+  SELECT conv_id, i, initial, CASE WHEN blank OR again THEN 2 WHEN open THEN 1 ELSE 0 END AS fault FROM faults
+  UNION ALL SELECT conv_id, i - 0.5, 'I', 9 FROM faults
+  UNION ALL SELECT conv_id, max(i) + 0.5, 'I', 9 FROM faults GROUP BY conv_id),
+best AS (
+  SELECT conv_id, list_reduce(list({'initial': initial, 'fault': fault} ORDER BY i), lambda b, e: CASE WHEN e.fault = 9 THEN INSERTED ELSE EDITED END,
+                              ['000000000', '500000000', '500000000', '500000000']) AS b
+  FROM steps GROUP BY conv_id),
+audits AS (SELECT conv_id, least(b[1], b[4]) AS told, least(b[1], b[4])[10:] AS audit FROM best),
+letters AS (SELECT conv_id, unnest(string_split(audit, '')) AS edit, unnest(range(1, len(audit) + 1)) AS p FROM audits WHERE audit <> ''),
+edits AS (SELECT *, count(*) FILTER (WHERE edit <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i FROM letters),
+stays AS (
+  SELECT e.conv_id, e.edit, e.p, f.role, f.text, f.initial, row_number() OVER (PARTITION BY e.conv_id ORDER BY e.p) - 1 AS q
+  FROM edits AS e LEFT JOIN faults AS f ON e.conv_id IS NOT DISTINCT FROM f.conv_id AND e.i = f.i AND e.edit <> 'I' WHERE e.edit <> 'D'),
+roles AS (
+  SELECT *, (q - max(CASE WHEN q = 0 AND edit = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id)) % 2 AS odd FROM stays),
+repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN odd = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS body
+  FROM roles GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE blank) AS blank,
+         count(*) FILTER (WHERE again AND NOT blank) AS duplicate, count(*) FILTER (WHERE open AND NOT blank AND NOT again) AS truncated,
+         count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(told[1:9]::BIGINT, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS d
+LEFT JOIN counts AS c ON d.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN audits AS a ON d.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN repaired AS r ON d.conv_id IS NOT DISTINCT FROM r.conv_id
+""".replace("INSERTED", inserted).replace("EDITED", edited)
+
+
+OP11_SQL = _op11_sql()
+
+#: Every rule against every url; of those that fit, the longest.
+OP13_SQL = r"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+         row_number() OVER () AS n FROM pages),
+rules(host, path, verdict) AS (VALUES
+  ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+fits AS (
+  SELECT n, r.host || r.path AS rule, verdict,
+         row_number() OVER (PARTITION BY n ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS k
+  FROM p JOIN rules AS r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM p LEFT JOIN (SELECT * FROM fits WHERE k = 1) AS f ON p.n = f.n
+"""
