@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm.bpe import encoder
-from hushframe.llm.common import Scratch, small_batches
+from hushframe.llm.common import Batch, Scratch, small_batches
 
 #: A tokens of one lane; a text that has more is cut into several.
 LANE = 256
@@ -136,25 +136,26 @@ def _groups(v: Vocabularies, a: np.ndarray, b: np.ndarray, merged: Merged, bound
 def align(df: DataFrame, a_path: str, b_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows of documents: block, key, n_a, n_b, n_groups, ``groups``, ``links``; and a row for each block: ``pairs``, ``counts``.
 
-    A block is what one step of a task aligned.  ``pairs`` are its distinct id pairs,
+    A block is what one step of a task aligned, about CHUNK_BYTES of text.  ``pairs`` are its distinct id pairs,
     A id * 2^32 + B id, in order, and ``counts`` how many links hold each; ``links`` are
     the places in ``pairs`` of a document's links, in the order of its text.
     """
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, part = vocabularies(a_path, b_path), TaskContext.get().partitionId()
-        for number, batch in enumerate(batches):
-            n, block = batch.num_rows, (part << 33) + number
+        v, block = vocabularies(a_path, b_path), TaskContext.get().partitionId() << 33
+        pieces = (batch.slice(lo, hi - lo) for batch in batches for lo, hi in Batch(batch.column(1)).pieces())
+        for block, batch in enumerate(pieces, block):
+            n = batch.num_rows
             both = [v.tokens(t.as_py()) for t in batch.column(1)]
             a_bound, b_bound = (np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x[s]) for x in both], dtype=np.int64)]) for s in (0, 1))
-            a, b = (np.fromiter((i for x in both for i in x[s]), dtype=np.int64, count=int(bound[-1])) for s, bound in ((0, a_bound), (1, b_bound)))
+            a, b = (np.fromiter((i for x in both for i in x[s]), dtype=np.int32, count=int(bound[-1])) for s, bound in ((0, a_bound), (1, b_bound)))
             del both
             merged = lockstep(np.cumsum(v.a_size[a]), np.cumsum(v.b_size[b]), a_bound)
             groups = np.concatenate([np.zeros(1, np.int64), np.cumsum(merged.a_last)])[a_bound]
             texts = _groups(v, a, b, merged, a_bound + b_bound)
             link_bound = a_bound + b_bound - groups
-            pairs, links, counts = np.unique((a[merged.a] << 32) | b[merged.b], return_inverse=True, return_counts=True)
+            pairs, links, counts = np.unique((a[merged.a].astype(np.int64) << 32) | b[merged.b], return_inverse=True, return_counts=True)
             flat = pa.ListArray.from_arrays(pa.array(link_bound, pa.int32()), pa.array(links, pa.int32()))
             none = lambda kind, m: pa.nulls(m, kind)
             yield pa.RecordBatch.from_arrays(
