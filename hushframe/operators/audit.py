@@ -41,8 +41,8 @@ def _json_text(x: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(x.alias("a"))), r'(?s)^\{"a":(.*)\}$', 1)
 
 
-def canonical_event() -> Column:
-    """The stored fields but event_hash as JSON text with sorted keys and ', ' and ': ' between."""
+def _stored_fields() -> list[tuple[str, Column]]:
+    """(name, its JSON pair or null where the record lacks it) of the stored fields but event_hash, by name."""
     texts = ("decision", "event_id", "policy_profile", "policy_version", "prev_hash", "purpose", "recipient_class", "risk_level", "timestamp", "verification", "grant_id", "grant_issuer")
     value: dict[str, Column] = {n: _json_text(F.coalesce(F.col(n), F.lit(""))) for n in texts}
     listed = lambda n: F.concat(F.lit("["), F.array_join(F.transform(F.col(n), _json_text), ", "), F.lit("]"))
@@ -50,8 +50,23 @@ def canonical_event() -> Column:
     pairs = F.array_sort(F.map_entries("entity_counts"))
     value["entity_counts"] = F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda e: F.concat(_json_text(e["key"]), F.lit(": "), e["value"].cast("string"))), ", "), F.lit("}"))
     value |= {n: F.col(n).cast("string") for n in ("risk_score", "dictionary_entries", "dictionary_loaded")}
-    parts = [F.when(F.col(n).isNotNull() if n in OPTIONAL else F.lit(True), F.concat(F.lit(f'"{n}": '), value[n])) for n in sorted(value)]
-    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ", "), F.lit("}"))
+    return [(n, F.when(F.col(n).isNotNull() if n in OPTIONAL else F.lit(True), F.concat(F.lit(f'"{n}": '), value[n]))) for n in sorted(value)]
+
+
+def _pairs(parts: list[Column]) -> Column:
+    return F.array_join(F.array_compact(F.array(*parts)), ", ")
+
+
+def canonical_event() -> Column:
+    """The stored fields but event_hash as JSON text with sorted keys and ', ' and ': ' between."""
+    return F.concat(F.lit("{"), _pairs([c for _, c in _stored_fields()]), F.lit("}"))
+
+
+def around_link() -> tuple[Column, Column]:
+    """The canonical text before and behind the value of prev_hash, which only the record before tells."""
+    fields = _stored_fields()
+    before, behind = ([c for n, c in fields if side(n)] for side in (lambda n: n < "prev_hash", lambda n: n > "prev_hash"))
+    return F.concat(F.lit("{"), _pairs(before), F.lit(', "prev_hash": "')), F.concat(F.lit('", '), _pairs(behind), F.lit("}"))
 
 
 def event_hash(key: bytes | None = None) -> Column:

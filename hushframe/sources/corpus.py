@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions.spans import DOCUMENT_LEVEL
@@ -46,14 +46,28 @@ def labelled_corpus(spark: SparkSession, path: str, limit: int | None = None) ->
     return rows.select("doc_id", unknown(F.col("m.document_type")).alias("document_type"), unknown(F.col("m.department")).alias("department"), "text", F.col("m.spans").alias("spans"), F.col("m.expected_verdict").alias("expected_verdict"), problem.alias("problem"))
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """(file, seq, event fields, broken) of the JSON-lines logs below a path, a sequence for each file.
+def read_lines_in_order(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
+    """(file, seq, line) of the lines of files; seq grows with the order of file names and of the lines in a file.
+
+    Files are split as any text is: a line's place is its split's first byte and its number there,
+    and a split has fewer lines than bytes.  What is told of splits and files is one row for each.
+    """
+    rows = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
+    splits = rows.groupBy("file", "split").agg(F.min("n").alias("first"))
+    files = splits.select("file").distinct().withColumn("no", F.row_number().over(Window.orderBy("file")).cast("long") - 1)
+    places = splits.join(F.broadcast(files), "file")
+    seq = F.shiftleft("no", 44) + F.col("split") + F.col("n") - F.col("first")
+    return rows.join(F.broadcast(places), ["file", "split"]).select("file", seq.alias("seq"), "line")
+
+
+def read_events(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
+    """(file, seq, event fields, broken) of the JSON-lines logs below a path, in one sequence over the files by name.
 
     Fields that a record lacks are null, as hashing needs it; a line that is no
     object is broken and has no fields.  Blank lines count in seq and give no row.
     """
-    files = _files(spark, path, "*.jsonl")
-    lines = files.select(F.col("path").alias("file"), F.posexplode(F.split("content", "\n")).alias("seq", "line")).where(F.trim("line") != "")
+    lines = read_lines_in_order(spark, path, pattern).where(F.trim("line") != "")
     told = lines.withColumn("e", F.from_json("line", EVENT))
     broken = F.col("e").isNull() | F.col("e.event_id").isNull()
     return told.select("file", "seq", "e.*", broken.alias("broken"))

@@ -1,14 +1,12 @@
-"""Request streams under the guard, use budgets with state, and audit counts over time."""
+"""Request streams under the guard, and audit counts over time."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hushframe.plans.records import sanitize_records
 from hushframe.sources.structured import kind_of_text
@@ -94,33 +92,6 @@ def guard_lines(lines: DataFrame, **how: object) -> DataFrame:
     return told.select("line", "action", out.alias("out"))
 
 
-def consume_budget(attempts: DataFrame, uses_allowed: int, ttl_seconds: int) -> DataFrame:
-    """(grant_key, seq, consumed) of a stream of (grant_key, seq, at): keyed state counts uses, which are never given back.
-
-    A key's time to live begins with its first attempt; then its state goes and
-    further attempts are refused while they arrive before the timeout fires.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        used, ends = state.get if state.exists else (0, None)
-        for frame in frames:
-            taken = []
-            for at in frame.sort_values("seq")["at"]:
-                second = int(at.timestamp())
-                ends = second + ttl_seconds if ends is None else ends
-                good = used < uses_allowed and second < ends
-                used += good
-                taken.append(good)
-            yield pd.DataFrame({"grant_key": key[0], "seq": frame.sort_values("seq")["seq"], "consumed": taken})
-        state.update((used, ends))
-        state.setTimeoutDuration(ttl_seconds * 1000)
-
-    return attempts.groupBy("grant_key").applyInPandasWithState(step, "grant_key string, seq long, consumed boolean", "used long, ends long", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, decision, n) of an event stream (ts, decision) by tumbling windows; later events than ``late`` are left out."""
     counts = events.withWatermark("ts", late).groupBy(F.window("ts", width), "decision").agg(F.count("*").alias("n"))
