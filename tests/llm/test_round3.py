@@ -115,7 +115,7 @@ def conversations():
             role = ROLES[turn % 2] if rng.random() < 0.7 else roles[rng.integers(len(roles))]
             text = None if rng.random() < 0.04 else words[rng.integers(len(words))] if rng.random() < 0.4 else f"turn {turn} of {conv}."
             table += [(conv, t, role, text)] * (2 if rng.random() < 0.05 else 1)
-    table += [(1000, t, "user" if t % 2 else "assistant", f"line {t}.") for t in range(300)]
+    table += [(1000, t, "user" if t % 2 else "assistant", f"line {t}.") for t in range(700)]
     table += [(1001, 7, "user", "the same.")] * 700 + [(1002, t, "user", "again") for t in range(120)]
     return table
 
