@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hushframe.operators.intervals import inside, untouched_by
+from hushframe.operators.terms import occurrences
+
 KEY = ["doc_id", "type", "start", "end"]
 
 
@@ -35,15 +38,12 @@ def percentiles(df: DataFrame, value: str, *by: str) -> DataFrame:
 
 def covered(labels: DataFrame, facts: DataFrame) -> DataFrame:
     """Labels that lie inside a fact of their type in the same document."""
-    l, f = labels.alias("l"), facts.alias("f")
-    same = (F.col("l.doc_id") == F.col("f.doc_id")) & (F.col("l.type") == F.col("f.type"))
-    return l.join(f, same & (F.col("f.start") <= F.col("l.start")) & (F.col("f.end") >= F.col("l.end")), "left_semi")
+    return inside(labels, facts, ["doc_id", "type"])
 
 
 def untouched(probes: DataFrame, facts: DataFrame) -> DataFrame:
     """Spans that no fact of their document overlaps."""
-    p, f = probes.alias("p"), facts.alias("f")
-    return p.join(f, (F.col("p.doc_id") == F.col("f.doc_id")) & (F.col("f.start") < F.col("p.end")) & (F.col("f.end") > F.col("p.start")), "left_anti")
+    return untouched_by(probes, facts, ["doc_id"])
 
 
 def gates(totals: DataFrame, least_recall: float = 1.0, least_precision: float = 1.0) -> DataFrame:
@@ -52,15 +52,15 @@ def gates(totals: DataFrame, least_recall: float = 1.0, least_precision: float =
     return totals.withColumn("failed", failed).withColumn("passed", F.size("failed") == 0)
 
 
-def leaked_values(audit_text: DataFrame, labels: DataFrame) -> DataFrame:
-    """(n_leaked): distinct label values of two characters or more that occur in audit texts (column text).
+# Fields of an audit record that are random and no payload's.
+RANDOM_FIELDS = ("event_id", "prev_hash", "event_hash")
 
-    The values are the driver's few; the join on containment broadcasts them only if
-    the planner finds them small, and compares block by block otherwise.
-    """
-    values = labels.select("value").where("length(value) >= 2").distinct()
-    found = audit_text.join(values, F.contains("text", F.col("value"))).select("value").distinct()
-    return found.agg(F.count("*").alias("n_leaked"))
+
+def leaked_values(audit_text: DataFrame, labels: DataFrame) -> DataFrame:
+    """(n_leaked): distinct label values of two characters or more that occur in audit texts (column text), their random fields aside."""
+    plain = audit_text.select(F.regexp_replace("text", rf'"(?:{"|".join(RANDOM_FIELDS)})"\s*:\s*"[^"]*"', "").alias("text"))
+    values = labels.select("value").where("length(value) >= 2")
+    return occurrences(plain, values, term="value", each=False).distinct().agg(F.count("*").alias("n_leaked"))
 
 
 # -- what survives a release ----------------------------------------------------

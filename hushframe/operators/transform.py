@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hushframe.functions.edits import apply
 from hushframe.functions.spans import let
 from hushframe.operators.detect import _number, _numeral, parse_date
 
@@ -67,6 +71,55 @@ def tokens(facts: Column, plan: Column) -> Column:
     return F.array_distinct(F.flatten(per))
 
 
+@dataclass(frozen=True)
+class Operation:
+    """A way to rewrite a value, and how its result is told to be right.
+
+    ``rewrite`` gets the fact, the number of its token and the day offset of its text;
+    ``holds`` the evidence row and that offset, and derives the result from the value alone.
+    ``erases``: whether no fact of the type may be left where the operation was.
+    """
+
+    name: str
+    rewrite: Callable[[Column, Column, Column], Column]
+    holds: Callable[[Column, Column], Column]
+    erases: bool = False
+
+
+def _date_moved(e: Column, own: Column) -> Column:
+    days = F.datediff(parse_date(e["replacement"]), parse_date(e["value"]))
+    return (days == own) & (days != 0)
+
+
+_BUILT_IN = (
+    Operation("REMOVE", lambda f, n, d: F.lit(REDACTED), lambda e, d: e["replacement"] == REDACTED, erases=True),
+    Operation("MASK", lambda f, n, d: F.repeat(F.lit("*"), F.greatest(F.length(f["value"]), F.lit(1))), lambda e, d: e["replacement"].rlike("^[*]+$") & (F.length(e["replacement"]) == F.greatest(F.length(e["value"]), F.lit(1))), erases=True),
+    Operation("TOKENIZE", lambda f, n, d: token_text(f["type"], n), lambda e, d: F.regexp_replace(e["replacement"], "_[0-9]{3,}\\]$", "") == F.concat(F.lit("["), e["type"]), erases=True),
+    Operation("DATE_SHIFT", lambda f, n, d: shifted_date(f["value"], d), _date_moved),
+    Operation("GENERALIZE", lambda f, n, d: generalized(f["type"], f["value"]), lambda e, d: (e["replacement"] == generalized(e["type"], e["value"])) & (e["replacement"] != e["value"])),
+)
+#: The operations that plans may name; ``register`` adds to them.
+OPERATIONS: dict[str, Operation] = {o.name: o for o in _BUILT_IN}
+
+
+def register(operation: Operation) -> None:
+    """Let profiles and plans name an operation; it is used and checked by every plan built from now on."""
+    if operation.name in OPERATIONS or operation.name == "BLOCK":
+        raise ValueError(f"operation {operation.name!r} is there already")
+    OPERATIONS[operation.name] = operation
+
+
+def unregister(name: str) -> None:
+    """Take back what ``register`` added."""
+    if name in {o.name for o in _BUILT_IN}:
+        raise ValueError(f"operation {name!r} is built in")
+    OPERATIONS.pop(name, None)
+
+
+def erasing() -> tuple[str, ...]:
+    return tuple(o.name for o in OPERATIONS.values() if o.erases)
+
+
 def evidence(text: Column, facts: Column, plan: Column, numbers: Column | None = None) -> Column:
     """What is replaced, in order of place, with places in the input and in the output.
 
@@ -80,13 +133,11 @@ def evidence(text: Column, facts: Column, plan: Column, numbers: Column | None =
             op = F.try_element_at(ops, f["type"])
             own = F.struct(f["type"].alias("type"), f["value"].alias("value"))
             place = F.array_position(known, own) if numbers is None else F.try_element_at(known, own)
-            return (
-                F.when(op == "REMOVE", F.lit(REDACTED))
-                .when(op == "MASK", F.repeat(F.lit("*"), F.greatest(F.length(f["value"]), F.lit(1))))
-                .when(op == "TOKENIZE", token_text(f["type"], place))
-                .when(op == "DATE_SHIFT", shifted_date(f["value"], days))
-                .when(op == "GENERALIZE", generalized(f["type"], f["value"]))
-            )
+            first, *others = (o for o in OPERATIONS.values())
+            out = F.when(op == first.name, first.rewrite(f, place, days))
+            for o in others:
+                out = out.when(op == o.name, o.rewrite(f, place, days))
+            return out
 
         used = F.filter(facts, lambda f: ~f["read_only"] & F.try_element_at(ops, f["type"]).isNotNull())
         rows = F.transform(used, lambda f: F.struct(f["type"].alias("type"), F.try_element_at(ops, f["type"]).alias("op"), f["start"].alias("start"), f["end"].alias("end"), f["value"].alias("value"), replacement(f).alias("replacement")))
@@ -105,6 +156,5 @@ def evidence(text: Column, facts: Column, plan: Column, numbers: Column | None =
 
 def splice(text: Column, done: Column) -> Column:
     """The text with every evidence row's span replaced; null if any replacement is null."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda acc, e: F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, e["start"] - acc["at"]), e["replacement"]).alias("out"), e["end"].alias("at"))
-    return F.aggregate(done, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    edits = F.transform(done, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["replacement"].alias("text")))
+    return F.when(~F.exists(done, lambda e: e["replacement"].isNull()), apply(text, edits))

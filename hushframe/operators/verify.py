@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from hushframe import lexicon as L
 from hushframe.functions.spans import empty, let
-from hushframe.operators.detect import parse_date
-from hushframe.operators.transform import generalized, shift_days
-from hushframe.plans.policy import CONTEXT_ONLY, ERASE, Profile, decide, types_of
+from hushframe.operators.transform import OPERATIONS, erasing, shift_days
+from hushframe.plans.policy import CONTEXT_ONLY, Profile, decide, types_of
 
 NAMES = ("PERSON_NAME", "DOCTOR_NAME", "NURSE_NAME", "RELATIVE_NAME")
 
@@ -28,16 +27,11 @@ def replacements_hold(text: Column, done: Column) -> Column:
     """Each operation's output, derived again from the value alone."""
 
     def good(e: Column, own: Column) -> Column:
-        r, v = e["replacement"], e["value"]
-        days = F.datediff(parse_date(r), parse_date(v))
-        return F.coalesce(
-            F.when(e["op"] == "REMOVE", r == "[REDACTED]")
-            .when(e["op"] == "MASK", r.rlike("^[*]+$") & (F.length(r) == F.greatest(F.length(v), F.lit(1))))
-            .when(e["op"] == "TOKENIZE", F.regexp_replace(r, "_[0-9]{3,}\\]$", "") == F.concat(F.lit("["), e["type"]))
-            .when(e["op"] == "DATE_SHIFT", (days == own) & (days != 0))
-            .when(e["op"] == "GENERALIZE", (r == generalized(e["type"], v)) & (r != v)),
-            F.lit(False),
-        )
+        first, *others = OPERATIONS.values()
+        out = F.when(e["op"] == first.name, first.holds(e, own))
+        for o in others:
+            out = out.when(e["op"] == o.name, o.holds(e, own))
+        return F.coalesce(out, F.lit(False))
 
     return let(shift_days(text), lambda own: F.forall(done, lambda e: good(e, own)))
 
@@ -95,8 +89,8 @@ def verify(text: Column, facts: Column, done: Column, out: Column, residual: Col
     """
     covers = covered_by(accepted)
     granted = F.lit(False) if accepted is None else accepted.isNotNull() & F.forall(residual, lambda f: covers(f) | f["type"].isin(*CONTEXT_ONLY))
-    erase = [t for t, (a, _) in profile.identifiers.items() if a in ERASE]
-    change = [t for t, (a, _) in profile.identifiers.items() if a in ("GENERALIZE", "DATE_SHIFT")]
+    erase = [t for t, (a, _) in profile.identifiers.items() if a in erasing()]
+    change = [t for t, (a, _) in profile.identifiers.items() if a in OPERATIONS and not OPERATIONS[a].erases]
     again = decide(residual, trust, purpose, profile)
     left = F.filter(residual, lambda f: f["type"].isin(*change) & ~covers(f))
     shifted = lambda f: F.exists(done, lambda e: (e["op"] == "DATE_SHIFT") & (e["out_start"] == f["start"]) & (e["out_end"] == f["end"]) & (e["type"] == f["type"]))

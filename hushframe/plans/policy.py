@@ -8,12 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hushframe.functions.spans import let
+from hushframe.operators.transform import OPERATIONS
 
 VERDICTS = ("ALLOW", "SANITIZE", "ASK", "BLOCK")
 TRUST = ("LOCAL", "INTERNAL_TRUSTED", "EXTERNAL_APPROVED", "EXTERNAL_UNKNOWN", "EXTERNAL_BLOCKED")
 PURPOSES = ("TREATMENT", "RESEARCH", "EDUCATION", "OPERATIONS", "PUBLICATION", "EXTERNAL_AI_ASSISTANCE", "UNKNOWN")
-ACTIONS = ("REMOVE", "MASK", "TOKENIZE", "GENERALIZE", "DATE_SHIFT", "BLOCK")
-ERASE = ("REMOVE", "MASK", "TOKENIZE")
 CONTEXT_ONLY = ("MEDICAL_CONTENT", "SEX", "RARE_CONTEXT")
 #: Risk of a type that no profile declares.
 UNDECLARED_RISK = 25
@@ -61,7 +60,7 @@ class Profile:
         wrong = []
         if not self.name or not self.version:
             wrong.append("name and version must not be empty")
-        if bad := [t for t, (action, risk) in self.identifiers.items() if action not in ACTIONS or not score(risk)]:
+        if bad := [t for t, (action, risk) in self.identifiers.items() if action not in (*OPERATIONS, "BLOCK") or not score(risk)]:
             wrong.append(f"identifiers {bad}: action or risk")
         if bad := [t for t, risk in self.medical.items() if not score(risk)]:
             wrong.append(f"medical {bad}: risk")
