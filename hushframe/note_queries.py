@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushframe.functions.rows import spread
 from hushframe.operators import mutate, scoring
 from hushframe.operators.detect import with_facts
 from hushframe.queries import _NAME, query, table
@@ -21,7 +22,7 @@ def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _facts(rows: DataFrame) -> DataFrame:
-    return with_facts(rows, "text", "facts").select("doc_id", F.inline("facts")).select("doc_id", "type", "start", "end", "value")
+    return with_facts(spread(rows), "text", "facts").select("doc_id", F.inline("facts")).select("doc_id", "type", "start", "end", "value")
 
 
 def _wide_places(rows: DataFrame) -> DataFrame:
@@ -203,6 +204,6 @@ _UNREAD_SEX = ("sex_style_swap", "age_numeral_swap")
 def mutation_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of variants that detection still finds at their places, by operator and type."""
     rows = mutate.variants(_seeds(spark, sf_dir), _READABLE)
-    kept = with_facts(rows, "text", "facts").select("operator", "facts", F.inline("labels")).where(F.col("type").isin("PHONE", "EXACT_DATE", "LANDLINE", "SEX", "AGE"))
+    kept = with_facts(spread(rows), "text", "facts").select("operator", "facts", F.inline("labels")).where(F.col("type").isin("PHONE", "EXACT_DATE", "LANDLINE", "SEX", "AGE"))
     hit = F.exists("facts", lambda f: (f["type"] == F.col("type")) & (f["start"] == F.col("start")) & (f["end"] == F.col("end")))
     return kept.groupBy("operator", "type").agg(F.count("*").alias("labels"), F.count(F.when(hit, 1)).alias("found"))

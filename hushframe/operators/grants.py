@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions.hashes import hmac_sha256
@@ -60,19 +60,22 @@ def check(requests: DataFrame, grants: DataFrame, now: Column) -> DataFrame:
 
     Requests have fingerprint and untransformable_types; grants have
     request_fingerprint, signature_valid, issued_at, expires_at (timestamps) and
-    accepted_types, one row for each fingerprint at most.
+    accepted_types.  Several grants for one fingerprint are refused: none of them is taken.
     """
-    both = requests.join(grants.withColumnRenamed("request_fingerprint", "fingerprint"), "fingerprint", "left")
+    same = Window.partitionBy("request_fingerprint")
+    told = grants.withColumn("__copies", F.count("*").over(same)).withColumn("__nth", F.row_number().over(same.orderBy("issued_at"))).where("__nth = 1").drop("__nth")
+    both = requests.join(told.withColumnRenamed("request_fingerprint", "fingerprint"), "fingerprint", "left")
     missing = F.array_sort(F.array_except("untransformable_types", F.coalesce("accepted_types", F.array().cast("array<string>"))))
     problem = (
         F.when(F.col("issued_at").isNull() & F.col("signature_valid").isNull(), "no grant")
+        .when(F.col("__copies") > 1, "more than one grant for the request")
         .when(~F.coalesce("signature_valid", F.lit(False)), "grant signature does not verify")
         .when(F.col("issued_at").isNull() | F.col("expires_at").isNull(), "grant timestamps are malformed")
         .when(F.col("issued_at") > now, "grant is not yet valid")
         .when(F.col("expires_at") <= now, "grant has expired")
         .when(F.size(missing) > 0, F.concat(F.lit("grant does not accept the risk of: "), F.array_join(missing, ", ")))
     )
-    return both.withColumn("problem", problem)
+    return both.withColumn("problem", problem).drop("__copies")
 
 
 def statuses(uses: DataFrame, revocations: DataFrame, now: Column) -> DataFrame:
@@ -99,8 +102,6 @@ def consume(attempts: DataFrame, uses: DataFrame, revocations: DataFrame) -> Dat
     Attempts are taken in order of seq for each key; revoked keys and attempts at
     or after the expiry get none, and a use is never given back.
     """
-    from pyspark.sql import Window
-
     live = attempts.join(revocations.select("grant_key").distinct(), "grant_key", "left_anti").join(uses, "grant_key").where("at < expires_at")
     nth = F.row_number().over(Window.partitionBy("grant_key").orderBy("seq"))
     used = live.withColumn("nth", nth).where(F.col("nth") + F.col("uses_consumed") <= F.col("uses_allowed")).select("grant_key", "seq", F.lit(True).alias("consumed"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hushframe.functions.rows import settled
 from hushframe.functions.spans import empty
 from hushframe.operators import grants
 from hushframe.plans.policy import CONTEXT_ONLY, coerce_purpose, coerce_trust, types_of
@@ -31,14 +32,16 @@ def approve(fields: DataFrame, held: DataFrame, consumed: DataFrame, revocations
     """(request, field, accepted, problem) of the fields that ask.
 
     ``fields`` are rows of asked() with their request and place; ``held`` the grants with
-    ``signature_valid``, at most one for a fingerprint; ``consumed`` (grant_key, uses_consumed).
+    ``signature_valid``; ``consumed`` (grant_key, uses_consumed).  The fields are evaluated
+    once: their slim rows are kept, and all that follows reads those.
     All fields of a request are judged before a use is taken: one that is blocked, or asks
     without a sound grant, leaves every grant of its request as it was.  A use that was
     taken is not given back.  ``accepted`` is null unless all that the request asks is granted.
     """
-    asks = fields.where("fingerprint is not null").select(request, field, "fingerprint", "untransformable_types")
+    fields = settled(fields.select(request, field, F.col("decision.verdict").alias("verdict"), "fingerprint", "untransformable_types"))
+    asks = fields.where("fingerprint is not null").drop("verdict")
     checked = grants.check(asks, held, now)
-    closed = fields.groupBy(request).agg(F.bool_or(F.col("decision.verdict") == "BLOCK").alias("closed"))
+    closed = fields.groupBy(request).agg(F.bool_or(F.col("verdict") == "BLOCK").alias("closed"))
     unsound = checked.groupBy(request).agg(F.bool_or(F.col("problem").isNotNull()).alias("unsound"))
     judged = checked.join(closed.join(unsound, request).selectExpr(request, "closed or unsound AS stopped"), request)
     seq = F.struct(request, field)

@@ -13,6 +13,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushframe.functions.rows import spread
 from hushframe.functions.spans import merge, strip_invisible
 from hushframe.operators import audit, chat, dataset, dicom, grants, scoring
 from hushframe.operators.detect import detect, with_facts
@@ -89,7 +90,7 @@ NOTES: dict[str, tuple[str, str, str, str, str]] = {
 def _detector_query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     _, before, value, behind, miss = NOTES[name]
     notes = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"CASE WHEN c_custkey % 5 = 3 THEN {miss} ELSE concat({before}, {value}, {behind}) END AS text")
-    found = with_facts(notes, "text", "facts", [name]).select("c_custkey", F.explode("facts").alias("f"))
+    found = with_facts(spread(notes), "text", "facts", [name]).select("c_custkey", F.explode("facts").alias("f"))
     return found.select("c_custkey", "f.type", F.col("f.start").cast("long").alias("start"), F.col("f.end").cast("long").alias("end"), "f.value")
 
 
@@ -104,7 +105,7 @@ for _name, (_type, _before, _value, _behind, _miss) in NOTES.items():
 def detect_cn_id18(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resident numbers with right and wrong check digits."""
     notes = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"concat('身份证 ', {_ID17}, CASE WHEN c_custkey % 5 = 3 THEN {_ID_WRONG} ELSE {_ID_LAST} END, '。') AS text")
-    found = with_facts(notes, "text", "facts", ["cn_id18"]).select("c_custkey", F.explode("facts").alias("f"))
+    found = with_facts(spread(notes), "text", "facts", ["cn_id18"]).select("c_custkey", F.explode("facts").alias("f"))
     return found.select("c_custkey", "f.value", "f.confidence")
 
 
@@ -113,7 +114,7 @@ def detect_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest term of a dictionary, but not right behind a word of referral: there a shorter one begins later."""
     notes = table(spark, sf_dir, "customer").selectExpr("c_custkey", "concat(CASE WHEN c_custkey % 5 = 3 THEN '建议转往' ELSE '复诊地点' END, '青松康复之家，周一') AS text")
     terms = [("青松康复之家", "institution"), ("康复之家", "institution")]
-    found = with_facts(notes, "text", "facts", [], [dictionary_facts(F.col("text"), terms)]).select("c_custkey", F.explode("facts").alias("f"))
+    found = with_facts(spread(notes), "text", "facts", [], [dictionary_facts(F.col("text"), terms)]).select("c_custkey", F.explode("facts").alias("f"))
     return found.select("c_custkey", "f.type", F.col("f.start").cast("long").alias("start"), "f.source")
 
 
@@ -128,13 +129,13 @@ _FOUND = f"SELECT doc_id, type, unnest(regexp_extract_all(text, CASE k WHEN 0 TH
 @query(f"SELECT doc_id, type, value, count(*)::BIGINT AS n FROM ({_FOUND}) GROUP BY ALL")
 def facts_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fact of the whole documents, by value."""
-    found = evaluate(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode("facts").alias("f"))
+    found = evaluate(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", F.explode("facts").alias("f"))
     return found.groupBy("doc_id", "f.type", "f.value").agg(F.count("*").alias("n")).select("doc_id", "type", "value", "n")
 
 
 @query(f"SELECT type, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs FROM ({_FOUND}) GROUP BY type")
 def facts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = evaluate(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode("facts").alias("f"))
+    found = evaluate(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", F.explode("facts").alias("f"))
     return found.groupBy("f.type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
@@ -145,19 +146,19 @@ def facts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sanitize_documents_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts and releases of all documents for an approved external recipient."""
-    told = sanitize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    told = sanitize(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return told.groupBy(F.col("decision.verdict").alias("verdict"), "released").agg(F.count("*").alias("docs"), F.sum(F.size("facts")).alias("facts"))
 
 
 @query(f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '{_MAIL}', '[REDACTED]', 'g'), '{_IP}', '[REDACTED]', 'g')) AS text_md5 FROM documents")
 def sanitize_documents_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = sanitize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    told = sanitize(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return told.select("doc_id", F.md5("sanitized").alias("text_md5"))
 
 
 @query("SELECT page_id, url AS value, 0::BIGINT AS start FROM pages")
 def detect_url_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_facts(table(spark, sf_dir, "pages"), "url", "facts", ["url"]).select("page_id", F.explode("facts").alias("f"))
+    found = with_facts(spread(table(spark, sf_dir, "pages")), "url", "facts", ["url"]).select("page_id", F.explode("facts").alias("f"))
     return found.select("page_id", "f.value", F.col("f.start").cast("long").alias("start"))
 
 
@@ -265,7 +266,7 @@ _FULL = f"concat('患者', {_NAME}, '，性别：男，', cast(c_custkey % 80 +
 @query("SELECT c_custkey, concat('患者[PERSON_NAME_001]，性别：男，', CAST(floor((c_custkey % 80 + 10) / 10) * 10 AS INT), '-', CAST(floor((c_custkey % 80 + 10) / 10) * 10 + 9 AS INT), '岁，电话[REDACTED]，于2023年5月就诊，住院号：[REDACTED]。') AS sanitized, true AS released FROM customer")
 def sanitize_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole notes: tokens, bands, generalised dates and removals in one text, verified."""
-    told = sanitize(table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_FULL} AS text"))
+    told = sanitize(spread(table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_FULL} AS text")))
     return told.select("c_custkey", "sanitized", "released")
 
 
@@ -276,7 +277,7 @@ def sanitize_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def transform_date_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates moved by the offset of their text, in the research profile."""
-    told = sanitize(table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_FULL} AS text"), profile="research")
+    told = sanitize(spread(table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_FULL} AS text")), profile="research")
     return told.select("c_custkey", F.regexp_extract("sanitized", "于([0-9]+年[0-9]+月[0-9]+日)就诊", 1).alias("shifted"))
 
 
@@ -310,7 +311,7 @@ def verify_name_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decision_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A shifted date is still a date: the decision on the output says so, and the release holds."""
     text = f"CASE WHEN c_custkey % 2 = 0 THEN concat('电话138', {_KEY8}) ELSE concat('于2023年5月', cast(c_custkey % 28 + 1 as string), '日') END AS text"
-    told = sanitize(table(spark, sf_dir, "customer").selectExpr("c_custkey", text), profile="research").where("released")
+    told = sanitize(spread(table(spark, sf_dir, "customer").selectExpr("c_custkey", text)), profile="research").where("released")
     return told.select("c_custkey", F.col("decision_after.verdict").alias("after"))
 
 
@@ -329,14 +330,14 @@ _DOC = f"concat('{{\"name\": \"', {_NAME}, '\", \"phone\": ', CASE WHEN c_custke
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'ASK' ELSE 'SANITIZE' END AS verdict, CASE WHEN c_custkey % 4 <> 0 THEN concat('{', chr(10), '  \"name\": \"[PERSON_NAME_001]\",', chr(10), '  \"phone\": \"[REDACTED]\"', chr(10), '}') END AS sanitized FROM customer")
 def json_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON records: a phone in a number cannot be rewritten and asks; in a string it goes."""
-    told = sanitize_records(table(spark, sf_dir, "customer").selectExpr("c_custkey", "'json' AS kind", f"{_DOC} AS content"))
+    told = sanitize_records(spread(table(spark, sf_dir, "customer").selectExpr("c_custkey", "'json' AS kind", f"{_DOC} AS content")))
     return told.select("c_custkey", F.col("decision.verdict").alias("verdict"), "sanitized")
 
 
 @query(f"SELECT c_custkey, concat('姓名,年龄,备注', chr(10), '[PERSON_NAME_001],', CAST(floor((c_custkey % 80 + 10) / 10) * 10 AS INT), '-', CAST(floor((c_custkey % 80 + 10) / 10) * 10 + 9 AS INT), '岁,ok', chr(10)) AS sanitized FROM customer")
 def csv_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = f"concat('姓名,年龄,备注', chr(10), {_NAME}, ',', cast(c_custkey % 80 + 10 as string), '岁,ok', chr(10)) AS content"
-    return sanitize_records(table(spark, sf_dir, "customer").selectExpr("c_custkey", "'csv' AS kind", text)).select("c_custkey", "sanitized")
+    return sanitize_records(spread(table(spark, sf_dir, "customer").selectExpr("c_custkey", "'csv' AS kind", text))).select("c_custkey", "sanitized")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'BLOCK' ELSE 'SANITIZE' END AS verdict, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 2 END::BIGINT AS facts FROM customer")
@@ -344,7 +345,7 @@ def fhir_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that a resource splits are found whole; unknown resources are closed."""
     kind = "CASE WHEN c_custkey % 3 = 0 THEN 'Provenance' ELSE 'Patient' END"
     text = f"concat('{{\"resourceType\": \"', {kind}, '\", \"name\": [{{\"family\": \"', substr({_NAME}, 1, 1), '\", \"given\": [\"', substr({_NAME}, 2, 1), '\"]}}]}}') AS content"
-    told = sanitize_records(table(spark, sf_dir, "customer").selectExpr("c_custkey", "'fhir' AS kind", text))
+    told = sanitize_records(spread(table(spark, sf_dir, "customer").selectExpr("c_custkey", "'fhir' AS kind", text)))
     return told.select("c_custkey", F.col("decision.verdict").alias("verdict"), F.when(F.size("facts") > 0, F.size("facts").cast("long")).alias("facts"))
 
 
@@ -560,7 +561,7 @@ def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
       WHEN 7 THEN concat('no message ', event_id)
       WHEN 8 THEN concat('{"id":', event_id, ',"method":"tools/call","params":{"arguments":"mail a', chr(92), 'u0040b.example.com"}}')
       ELSE concat('{"id":', event_id, ',"method":"tools/call","params":{"arguments":"{}{}"}}') END AS line"""
-    told = guard_lines(table(spark, sf_dir, "events").selectExpr(line))
+    told = guard_lines(spread(table(spark, sf_dir, "events").selectExpr(line)))
     rows = table(spark, sf_dir, "events").selectExpr("event_id", line)
     seen = told.withColumn("leaked", F.coalesce(F.contains("out", F.lit("b.example.com")), F.lit(False))).groupBy("line").agg(F.first("action").alias("action"), F.max("leaked").alias("leaked"))
     return rows.join(seen, "line").select("event_id", "action", "leaked")

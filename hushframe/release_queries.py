@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushframe.functions.rows import settled, spread
 from hushframe.operators import audit, grants, scoring
 from hushframe.operators.detect import with_facts
 from hushframe.plans import batch
@@ -28,14 +29,14 @@ _ROUTED = f"""CASE c_custkey % 5 WHEN 0 THEN concat(' {{"name": "', {_NAME}, '"}
 def payload_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON told from prose, CSV where it is declared, control characters closed, invisible characters gone."""
     rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_ROUTED} AS content", "CASE WHEN c_custkey % 5 = 2 THEN 'csv' END AS declared")
-    return guard_payloads(rows, declared="declared").select("c_custkey", "kind", F.col("decision.verdict").alias("verdict"), "sanitized")
+    return guard_payloads(spread(rows), declared="declared").select("c_custkey", "kind", F.col("decision.verdict").alias("verdict"), "sanitized")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'SANITIZE' ELSE 'ALLOW' END AS verdict, CASE WHEN c_custkey % 2 = 0 THEN '1' ELSE '0' END AS fact_count, 'true' AS released, CASE WHEN c_custkey % 2 = 0 THEN 'true' END AS verified, false AS leaked FROM customer")
 def public_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries and facts that hold no value."""
     text = "CASE WHEN c_custkey % 2 = 0 THEN concat('邮箱：u', cast(c_custkey as string), '@mail.example.com') ELSE 'hello' END AS text"
-    told = sanitize(table(spark, sf_dir, "customer").selectExpr("c_custkey", text)).select("c_custkey", evaluation_summary().alias("e"), release_summary().alias("r"), F.to_json(public_facts(F.col("facts"))).alias("f"))
+    told = sanitize(spread(table(spark, sf_dir, "customer").selectExpr("c_custkey", text))).select("c_custkey", evaluation_summary().alias("e"), release_summary().alias("r"), F.to_json(public_facts(F.col("facts"))).alias("f"))
     get = F.get_json_object
     leaked = F.contains(F.concat("e", "r", "f"), F.lit("@"))
     return told.select("c_custkey", get("e", "$.verdict").alias("verdict"), get("e", "$.fact_count").alias("fact_count"), get("r", "$.released").alias("released"), get("r", "$.verification_passed").alias("verified"), leaked.alias("leaked"))
@@ -78,7 +79,7 @@ def approval_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of two fields: all of them are judged before a grant loses a use."""
     second = f"CASE c_custkey % 4 WHEN 1 THEN concat('另', {_RARE}) WHEN 2 THEN concat('a', chr(7)) ELSE 'hello' END"
     fields = table(spark, sf_dir, "customer").selectExpr("c_custkey AS request_id", f"posexplode(array({_RARE}, {second})) AS (field_no, content)")
-    rows = asked(evaluate(fields, "content"), b"key")
+    rows = settled(asked(evaluate(spread(fields), "content"), b"key").select("request_id", "field_no", "decision", "fingerprint", "untransformable_types"))
     first = rows.where("field_no = 0 and fingerprint is not null").select("request_id", "fingerprint", F.array().cast("array<string>").alias("accepted_types"))
     held = grants.with_validity(grants.issue(first, b"key", "desk", F.expr("timestamp'2026-01-01 00:00:00'"), 3600), b"key")
     gone = held.join(first.select(F.col("fingerprint").alias("request_fingerprint"), "request_id"), "request_fingerprint").where("request_id % 4 = 3").select(F.col("grant_id").alias("grant_key"))
@@ -107,13 +108,13 @@ _NUMBERED = f"SELECT name, row_number() OVER (ORDER BY min(c_custkey)) AS n FROM
 def batch_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files in which one name has one token, numbered by its first file."""
     files = table(spark, sf_dir, "customer").selectExpr("c_custkey", "'csv' AS kind", _FILE)
-    return batch.sanitize_batch(files, file_no="c_custkey").select("c_custkey", "sanitized")
+    return batch.sanitize_batch(spread(files), file_no="c_custkey").select("c_custkey", "sanitized")
 
 
 @query("SELECT CASE c_custkey % 3 WHEN 0 THEN 'ALLOW' WHEN 1 THEN 'SANITIZE' ELSE 'BLOCK' END AS decision, c_custkey % 3 <> 2 AS released, CASE WHEN c_custkey % 3 = 1 THEN true END AS verification, count(*)::BIGINT AS files FROM customer GROUP BY ALL")
 def batch_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = f"CASE c_custkey % 3 WHEN 0 THEN 'a,b' WHEN 1 THEN concat('姓名', chr(10), {_NAME}) ELSE ' ' END AS content"
-    told = batch.sanitize_batch(table(spark, sf_dir, "customer").selectExpr("c_custkey", "'csv' AS kind", content), file_no="c_custkey")
+    told = batch.sanitize_batch(spread(table(spark, sf_dir, "customer").selectExpr("c_custkey", "'csv' AS kind", content)), file_no="c_custkey")
     return batch.manifest(told, "c_custkey").groupBy("decision", "released", "verification").agg(F.count("*").alias("files"))
 
 
@@ -203,5 +204,5 @@ def detect_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     Words of medical content stand in several lines beside their facts, so that type is left out on both sides.
     """
     notes = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"concat_ws(chr(10), {', '.join(_LINES)}) AS text")
-    found = with_facts(notes, "text", "facts").select("c_custkey", F.explode("facts").alias("f")).where("f.type <> 'MEDICAL_CONTENT'")
+    found = with_facts(spread(notes), "text", "facts").select("c_custkey", F.explode("facts").alias("f")).where("f.type <> 'MEDICAL_CONTENT'")
     return found.select("c_custkey", "f.type", F.col("f.start").cast("long").alias("start"), "f.value")
