@@ -66,7 +66,7 @@ def _parts(path: str, content: object) -> list[dict[str, str]]:
         if part.get("type") in UNREADABLE:
             out.append({"path": at, "mode": "refused", "kind": None, "content": None})
         else:  # whatever a part carries is looked at: text, results of tools, inputs
-            out += [_field(f"{at}/{k}", "rewrite", v) for k, v in part.items() if k != "type" and v is not None]
+            out += [_field(f"{at}/{k.replace('~', '~0').replace('/', '~1')}", "rewrite", v) for k, v in part.items() if k != "type" and v is not None]
     return out
 
 
@@ -101,29 +101,109 @@ def read_fields(body: str | None) -> list[dict[str, str]]:
         return [{"path": "", "mode": "invalid", "kind": None, "content": None}]
 
 
+def _steps(path: str) -> list[str]:
+    """The keys of a field's path; the arguments of a tool call lie in its function."""
+    keys = [k.replace("~1", "/").replace("~0", "~") for k in path.split("/")[1:]]
+    return [*keys, "function", "arguments"] if len(keys) == 4 and keys[2] == "tool_calls" else keys
+
+
+def rewritten(body: str, changes: list[dict[str, str]]) -> str:
+    """The body with the guarded fields (path, content) in their places, written anew.
+
+    A field that was a text stays one: what was prose is unpacked, a container stays the
+    text that the guard rebuilt.
+    """
+    doc = json.loads(body)
+    for change in changes:
+        *way, last = _steps(change["path"])
+        node = doc
+        for key in way:
+            node = node[int(key)] if isinstance(node, list) else node[key]
+        last = int(last) if isinstance(node, list) else last
+        old, new = node[last], change["content"]
+        node[last] = new if isinstance(old, str) and kind_of_text(old) != "text" else json.loads(new) if isinstance(old, (dict, list)) else json.loads(new)[0]
+    return json.dumps(doc, ensure_ascii=False, separators=(",", ":"))
+
+
 def fields(df: DataFrame, key: str = "request_id", body: str = "body") -> DataFrame:
     """(key, path, mode, kind, content) of each request's texts; a request without any has one row of the mode ``none``."""
+    return _fields(df, key, body).drop("__body")
+
+
+def _fields(df: DataFrame, key: str, body: str) -> DataFrame:
+    """As fields(), and the body beside the first field of each request."""
 
     @F.pandas_udf(_FIELD)
     def read(column: pd.Series) -> pd.Series:
         return pd.Series([read_fields(x) or [{"path": "", "mode": "none", "kind": None, "content": None}] for x in column], dtype=object)
 
-    return df.select(key, F.explode(read(body)).alias("f")).select(key, "f.*")
+    rows = df.select(key, F.col(body).alias("__body"), F.posexplode(read(body)).alias("n", "f"))
+    return rows.select(key, "f.*", F.when(F.col("n") == 0, F.col("__body")).alias("__body"))
 
 
 def guard_requests(df: DataFrame, key: str = "request_id", body: str = "body", **how: object) -> DataFrame:
-    """(key, n_fields, n_rewritten, outcome, status): a request passes if each field does, and the worst field decides.
+    """(key, n_fields, n_rewritten, outcome, status, sent): a request passes if each field does, and the worst field decides.
 
-    Every request has a row: one of no known shape is invalid.
+    Every request has a row: one of no known shape is invalid.  ``sent`` is the body that may
+    be sent on, byte for byte where nothing was rewritten, and null where nothing may pass.
+    A request is known by its key; one group holds the fields of one request.
     """
-    told = sanitize_records(fields(df, key, body), **how)
+    told = sanitize_records(_fields(df, key, body), **how)
     judged = (
         F.when(F.col("mode") == "invalid", "invalid").when(F.col("mode") == "none", "release").when(F.col("mode") == "refused", "blocked")
         .when(F.col("mode") == "judge", F.when(F.col("decision.verdict") == "BLOCK", "blocked").otherwise("release")).otherwise(outcome(F.col("decision.verdict"), F.col("released")))
     )
     worst = F.expr("array('release', 'approval_required', 'verification_failed', 'blocked', 'invalid')")
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    changed = (F.col("mode") == "rewrite") & F.col("released") & (F.col("decision.verdict") == "SANITIZE")
     rows = told.withColumn("rank", F.array_position(worst, judged))
-    out = rows.groupBy(key).agg(one(~F.col("mode").isin("none", "invalid")).alias("n_fields"), one((F.col("mode") == "rewrite") & F.col("released") & (F.col("decision.verdict") == "SANITIZE")).alias("n_rewritten"), F.max("rank").alias("rank"))
+    out = rows.groupBy(key).agg(
+        one(~F.col("mode").isin("none", "invalid")).alias("n_fields"), one(changed).alias("n_rewritten"), F.max("rank").alias("rank"), F.max("__body").alias("__body"),
+        F.collect_list(F.when(changed, F.struct("path", F.col("sanitized").alias("content")))).alias("changes"),
+    )
     named = F.element_at(worst, F.col("rank").cast("int"))
-    return out.select(key, "n_fields", "n_rewritten", named.alias("outcome"), status_code(named).alias("status"))
+
+    @F.pandas_udf("string")
+    def written(bodies: pd.Series, changes: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else rewritten(b, list(c)) if len(c) else b for b, c in zip(bodies, changes, strict=True)], dtype=object)
+
+    sent = F.when(named == "release", F.when(F.size("changes") == 0, F.col("__body")).otherwise(written(F.when(named == "release", F.col("__body")), "changes")))
+    return out.select(key, "n_fields", "n_rewritten", named.alias("outcome"), status_code(named).alias("status"), sent.alias("sent"))
+
+
+# The paths that are served, the largest body, and the errors of what is not looked at.
+ROUTES = ("/v1/chat/completions", "/v1/messages")
+LARGEST_BODY = 10 * 1024 * 1024
+
+
+def transport_status(method: Column, path: Column, length: Column, body: Column, largest: int = LARGEST_BODY) -> Column:
+    """The status of a request that is refused before it is read: 404 unknown path, 411 no length, 413 too large, 400 a length that is none or not the body's; null where the guard decides."""
+    served = (F.upper(method) == "POST") & F.regexp_extract(path, r"^[^?#]*", 0).isin(*ROUTES)
+    number = F.trim(length).try_cast("long")
+    return (
+        F.when(~F.coalesce(served, F.lit(False)), 404).when(length.isNull(), 411).when(number.isNull() | (number < 0), 400).when(number > largest, 413)
+        .when(F.coalesce(F.octet_length(body), F.lit(0)) != number, 400)
+    )
+
+
+def answer_status(sent: Column, upstream: Column) -> Column:
+    """The status that a caller gets for what was sent on: the upstream's own, or 502 where none came back."""
+    return F.when(sent.isNotNull(), F.coalesce(upstream, F.lit(502)))
+
+
+def gateway(df: DataFrame, key: str = "request_id", method: str = "method", path: str = "path", length: str = "length", body: str = "body", **how: object) -> DataFrame:
+    """(key, outcome, status, sent, error) of HTTP requests: what is refused by its transport is never read, the rest is guarded.
+
+    ``error`` is a JSON body with a type and no value of the request, null where something is sent on.
+    """
+    rows = df.select(key, F.col(body).alias("body"), transport_status(F.col(method), F.col(path), F.col(length), F.col(body)).alias("early"))
+    told = guard_requests(rows.withColumn("body", F.when(F.col("early").isNull(), F.col("body")).otherwise('{"messages":[]}')), key, "body", **how)
+    out = told.join(rows.select(key, "early"), key)
+    status = F.coalesce("early", "status")
+    result = F.when(F.col("early").isNotNull(), "invalid").otherwise(F.col("outcome"))
+    kinds = {404: "not_found", 411: "length_required", 413: "request_too_large", 400: "invalid_request_error", 422: "privacy_guard_verification_failed"}
+    kind = F.when((status == 403) & (result == "approval_required"), "privacy_guard_ask").when(status == 403, "privacy_guard_block")
+    for code, name in kinds.items():
+        kind = kind.when(status == code, name)
+    error = F.when(kind.isNotNull(), F.to_json(F.struct(F.struct(kind.alias("type")).alias("error"))))
+    return out.select(key, result.alias("outcome"), status.alias("status"), F.when(F.col("early").isNull(), F.col("sent")).alias("sent"), error.alias("error"))

@@ -535,7 +535,8 @@ def audit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT conv_id * 100 + turn AS request_id, 2::BIGINT AS n_fields, (CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_rewritten, CASE WHEN turn % 3 = 0 THEN 'blocked' ELSE 'release' END AS outcome,
-    CASE WHEN turn % 3 = 0 THEN 403 ELSE 200 END AS status FROM conversations"""
+    CASE WHEN turn % 3 = 0 THEN 403 ELSE 200 END AS status,
+    CASE WHEN turn % 3 = 0 THEN NULL WHEN turn % 2 = 0 THEN '{"messages":[{"role":"user","content":"mail [REDACTED]"},{"role":"user","content":"ok"}]}' ELSE '{"messages": [{"role": "user", "content": "hello"}, {"role": "user", "content": "ok"}]}' END AS sent FROM conversations"""
 )
 def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat bodies with an address to rewrite, and images that are refused."""

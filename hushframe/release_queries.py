@@ -143,25 +143,51 @@ def values_surviving(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OUTCOME = """o_orderpriority AS document_type, o_orderkey % 5 AS tp, CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS fp, CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE 0 END AS fn, o_orderkey % 5 + CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE 0 END AS labelled_spans,
-  CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS residual_spans, o_orderkey % 3 <> 0 AS released, o_orderkey % 3 = 1 AS allowed_original, o_orderkey % 3 = 2 AS sanitized_verified, o_orderkey % 17 = 0 AS lifecycle_failed, o_orderkey % 19 = 0 AS audit_failed,
-  CASE WHEN o_orderkey % 3 = 1 THEN 'ALLOW' ELSE 'SANITIZE' END AS actual_verdict, CASE WHEN o_orderkey % 4 = 0 THEN 'ALLOW' ELSE 'SANITIZE' END AS expected_verdict"""
-
-
-@query(
-    f"""SELECT document_type, count(*)::BIGINT AS documents, count(*) FILTER (WHERE labelled_spans = 0)::BIGINT AS clean_documents, sum(tp + fn)::BIGINT AS labelled_spans, round(sum(tp) / sum(tp + fn), 4) AS recall, round(sum(tp) / sum(tp + fp), 4) AS precision,
-    sum(fp)::BIGINT AS false_positives, sum(residual_spans)::BIGINT AS residual, count(*) FILTER (WHERE released)::BIGINT AS released_documents, count(*) FILTER (WHERE allowed_original)::BIGINT AS allowed_original_documents,
-    count(*) FILTER (WHERE sanitized_verified)::BIGINT AS sanitized_verified_documents, count(*) FILTER (WHERE lifecycle_failed)::BIGINT AS lifecycle_failures, count(*) FILTER (WHERE audit_failed)::BIGINT AS audit_failures,
-    count(*) FILTER (WHERE actual_verdict <> expected_verdict)::BIGINT AS verdict_mismatch, count(*) FILTER (WHERE actual_verdict = 'ALLOW' AND expected_verdict <> 'ALLOW')::BIGINT AS false_allow,
-    'recall,precision,false_positives,residual,lifecycle_failures,audit_failures,verdict_mismatch,false_allow' AS failed FROM (SELECT {_OUTCOME} FROM orders) GROUP BY document_type"""
-)
+  CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS residual_spans, o_orderkey % 3 <> 0 AS released, o_orderkey % 3 = 1 AS allowed_original, o_orderkey % 3 = 2 AS sanitized_verified, o_orderkey % 3 = 2 AS verification_ran, o_orderkey % 6 = 2 AS verification_failed, o_orderkey % 17 = 0 AS lifecycle_failed,
+  CASE o_orderkey % 19 WHEN 0 THEN 'missing' WHEN 1 THEN 'mismatch' END AS audit_failure, CASE WHEN o_orderkey % 23 = 0 THEN 'parser' END AS error,
+  CASE o_orderkey % 3 WHEN 1 THEN 'ALLOW' WHEN 2 THEN 'SANITIZE' ELSE 'ASK' END AS actual_verdict, CASE WHEN o_orderkey % 4 = 0 THEN 'ALLOW' ELSE 'SANITIZE' END AS expected_verdict"""
+
+#: The measures of a group of outcomes, spelled out.
+_MEASURES = """count(*)::BIGINT AS documents, count(*) FILTER (WHERE labelled_spans = 0)::BIGINT AS clean_documents, sum(tp + fn)::BIGINT AS labelled_spans, sum(fn)::BIGINT AS false_negatives,
+    CASE WHEN sum(tp + fn) > 0 THEN round(sum(tp) / sum(tp + fn), 4) ELSE 1.0 END::DOUBLE AS recall, CASE WHEN sum(tp + fp) > 0 THEN round(sum(tp) / sum(tp + fp), 4) ELSE 1.0 END::DOUBLE AS precision,
+    sum(fp)::BIGINT AS false_positives, coalesce(sum(fp) FILTER (WHERE labelled_spans = 0), 0)::BIGINT AS false_positives_on_clean_documents, sum(residual_spans)::BIGINT AS residual, count(*) FILTER (WHERE released)::BIGINT AS released_documents,
+    count(*) FILTER (WHERE allowed_original)::BIGINT AS allowed_original_documents, count(*) FILTER (WHERE sanitized_verified)::BIGINT AS sanitized_verified_documents, count(*) FILTER (WHERE actual_verdict = 'ASK')::BIGINT AS ask_documents,
+    count(*) FILTER (WHERE actual_verdict = 'BLOCK')::BIGINT AS blocked_documents, count(*) FILTER (WHERE verification_ran)::BIGINT AS verification_runs, count(*) FILTER (WHERE verification_failed)::BIGINT AS verification_failures,
+    count(*) FILTER (WHERE lifecycle_failed)::BIGINT AS lifecycle_failures, count(audit_failure)::BIGINT AS audit_failures, count(*) FILTER (WHERE audit_failure = 'missing')::BIGINT AS audit_missing, count(*) FILTER (WHERE audit_failure = 'invalid')::BIGINT AS audit_invalid,
+    count(*) FILTER (WHERE audit_failure = 'mismatch')::BIGINT AS audit_mismatch, count(*) FILTER (WHERE audit_failure = 'read_error')::BIGINT AS audit_read_error, count(error)::BIGINT AS errors,
+    count(*) FILTER (WHERE actual_verdict <> expected_verdict)::BIGINT AS verdict_mismatch, count(*) FILTER (WHERE actual_verdict = 'ALLOW' AND expected_verdict <> 'ALLOW')::BIGINT AS false_allow"""
+#: Gates by name and the condition under which a run fails them, in order.
+_FAILED = """concat_ws(',', CASE WHEN false_allow > 0 THEN 'false_allow' END, CASE WHEN residual > 0 THEN 'residual_phi' END, CASE WHEN audit_leaks > 0 THEN 'audit_raw_leak' END, CASE WHEN errors > 0 THEN 'errors' END,
+    CASE WHEN verification_failures > 0 THEN 'verification_failure' END, CASE WHEN lifecycle_failures > 0 THEN 'lifecycle_failure' END, CASE WHEN audit_failures > 0 THEN 'audit_failure' END, CASE WHEN false_negatives > 0 THEN 'incomplete_span_coverage' END,
+    CASE WHEN sanitized_verified_documents = 0 OR verification_runs = 0 THEN 'sanitize_path_not_exercised' END, CASE WHEN verdict_mismatch > 0 THEN 'verdict_mismatch' END, CASE WHEN false_positives > 0 THEN 'false_positive' END) AS failed"""
+
+
+@query(f"SELECT *, {_FAILED} FROM (SELECT document_type, {_MEASURES}, 0::BIGINT AS audit_leaks FROM (SELECT {_OUTCOME} FROM orders) GROUP BY document_type)")
 def totals_by_document_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = scoring.all_gates(scoring.totals_by(table(spark, sf_dir, "orders").selectExpr(*_columns(_OUTCOME)), "document_type"))
+    told = scoring.all_gates(scoring.totals_by(table(spark, sf_dir, "orders").selectExpr(_OUTCOME_STRUCT).select("o.*"), "document_type"))
     return told.drop("passed").withColumn("failed", F.array_join("failed", ","))
 
 
-def _columns(listed: str) -> list[str]:
-    """The parts of a list of SQL columns without nested commas."""
-    return [c.strip() for c in listed.split(",")]
+_OUTCOME_STRUCT = f"struct({_OUTCOME}) AS o"
+_SLICES = """CASE WHEN o_orderkey % 3 <> 2 THEN 'nothing verified' WHEN o_orderkey % 6 <> 2 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0 AND o_orderkey % 19 > 1 AND o_orderkey % 23 <> 0 AND o_orderkey % 4 <> 0 THEN 'sound'
+  WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS part"""
+
+
+@query(
+    f"""WITH rows AS (SELECT {_SLICES}, {_OUTCOME} FROM orders), leaks AS (SELECT count(*)::BIGINT AS audit_leaks FROM nation WHERE n_nationkey < 3)
+    SELECT part, failed, failed = '' AS passed FROM (SELECT *, {_FAILED} FROM (SELECT part, {_MEASURES} FROM rows GROUP BY part), leaks) UNION ALL
+    SELECT concat(part, ', no leaks'), failed, failed = '' FROM (SELECT *, {_FAILED} FROM (SELECT part, {_MEASURES}, 0 AS audit_leaks FROM rows GROUP BY part))"""
+)
+def benchmark_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates of four runs, one of them sound and one that verified nothing, with and without values in the audit."""
+    rows = table(spark, sf_dir, "orders").selectExpr(_SLICES, _OUTCOME_STRUCT).select("part", "o.*")
+    names = table(spark, sf_dir, "nation").selectExpr("n_name AS value", "n_nationkey")
+    audit_text = names.where("n_nationkey < 3").selectExpr("""concat('{"event_id": "', value, '", "note": "', value, '"}') AS text""")
+    noise = names.where("n_nationkey >= 3").selectExpr("""concat('{"event_hash": "', value, '"}') AS text""")
+    totals = scoring.totals_by(rows, "part")
+    told = scoring.all_gates(totals, scoring.leaked_values(audit_text.unionByName(noise), names))
+    free = scoring.all_gates(totals).withColumn("part", F.concat("part", F.lit(", no leaks")))
+    return told.unionByName(free).select("part", F.array_join("failed", ",").alias("failed"), "passed")
 
 
 @query(
