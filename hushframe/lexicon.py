@@ -73,14 +73,84 @@ RELATIVES = "其妻|其夫|其子|其女|其父|其母|其兄|其弟|父亲|母
 RARE_CASES = "本例|该例|此例|本患者|该患者|此患者|本病例|该病例|患者|患儿|病人"
 POPULATION_LEAD = "多见于|多发于|好发于|高发于|见于|纳入|选取|年龄在|超过|大于|小于|至少|多为|大于等于|小于等于|一般在"
 
+# How ages and sexes are written, what stands before and behind them, and what makes an age one of a group.
+AGE_UNITS = ("岁", "周岁")
+AGE_GROUP_ENDS = ("以上", "以下", "左右", "上下", "及以上", "及以下")
+AGE_ERA_ENDS = ("年代", "时期")
+AGE_LESS_THAN = "不足"
+MONTH_UNITS = ("月", "个月")
+MONTH_ENDS = ("龄", "大")
+MONTH_SUBJECTS = ("患儿", "出生后", "婴儿", "幼儿")
+MONTH_LABELS = ("年龄", "月龄")
+SEXES = ("男", "女")
+SEX_LABEL = "性别"
+SEX_SUBJECTS = ("患者", "病人", "患儿", "伤者")
+SEX_SUFFIX = "性"
+SEX_NOUNS = ("患者", "病人", "病例", "住院", "就诊", "体检", "受检")
+DOCTOR_SHORT_TITLES = ("医生", "医师", "大夫")
+NURSE_SHORT_TITLES = ("护士",)
+# Characters before a short title that make it part of a longer one.
+DOCTOR_TITLE_STARTS = ("主", "责")
+NURSE_TITLE_STARTS = ("责", "主")
+
 # Institutions.
 DEPARTMENTS = (
-    "神经内科 神经外科 心内科 心血管内科 呼吸内科 消化内科 内分泌科 肾内科 血液科 风湿免疫科 感染科 肿瘤科 "
-    "普通外科 普外科 骨科 创伤骨科 脊柱外科 泌尿外科 胸外科 心脏外科 肝胆外科 血管外科 肛肠科 "
-    "妇产科 妇科 产科 儿科 新生儿科 眼科 耳鼻咽喉科 口腔科 皮肤科 精神科 心理科 康复科 中医科 针灸科 "
-    "急诊科 重症医学科 麻醉科 疼痛科 影像科 放射科 超声科 检验科 病理科 输血科 营养科 药剂科 "
-    "门诊部 住院部 手术室 导管室 内镜中心 血液净化中心"
-).split()
+    "神经内科",
+    "神经外科",
+    "心内科",
+    "心血管内科",
+    "呼吸内科",
+    "消化内科",
+    "内分泌科",
+    "肾内科",
+    "血液科",
+    "风湿免疫科",
+    "感染科",
+    "肿瘤科",
+    "普通外科",
+    "普外科",
+    "骨科",
+    "创伤骨科",
+    "脊柱外科",
+    "泌尿外科",
+    "胸外科",
+    "心脏外科",
+    "肝胆外科",
+    "血管外科",
+    "肛肠科",
+    "妇产科",
+    "妇科",
+    "产科",
+    "儿科",
+    "新生儿科",
+    "眼科",
+    "耳鼻咽喉科",
+    "口腔科",
+    "皮肤科",
+    "精神科",
+    "心理科",
+    "康复科",
+    "中医科",
+    "针灸科",
+    "急诊科",
+    "重症医学科",
+    "麻醉科",
+    "疼痛科",
+    "影像科",
+    "放射科",
+    "超声科",
+    "检验科",
+    "病理科",
+    "输血科",
+    "营养科",
+    "药剂科",
+    "门诊部",
+    "住院部",
+    "手术室",
+    "导管室",
+    "内镜中心",
+    "血液净化中心",
+)
 DEPARTMENT_LABELS = "科室|部门|病区|病房"
 DEPARTMENT_MOVES = "转入|转至|转往|收入|收治|入住|收住"
 DEPARTMENT_NEXT = "门诊|病房|病区|住院|转入|转出|转至|转往"
@@ -91,10 +161,42 @@ HOSPITAL_VERBS = (
     "建议转诊至", "建议转诊", "建议转往", "建议转入", "建议转", "就诊于", "转诊至", "转诊到", "转往", "转入", "转出", "送往", "送至", "前往", "赴", "就诊", "转诊", "于", "至", "在", "到", "转", "送",
 )
 HOSPITAL_GENERIC = (
-    "三级甲等 三级乙等 三甲 三乙 二甲 二乙 三级 二级 一级 甲等 乙等 "
-    "上级 下级 当地 本地 外地 外院 该院 本院 我院 贵院 综合 专科 社区 基层 定点 公立 "
-    "民营 中心 有关 相关 各级 各类 其他 同一"
-).split()
+    "三级甲等",
+    "三级乙等",
+    "三甲",
+    "三乙",
+    "二甲",
+    "二乙",
+    "三级",
+    "二级",
+    "一级",
+    "甲等",
+    "乙等",
+    "上级",
+    "下级",
+    "当地",
+    "本地",
+    "外地",
+    "外院",
+    "该院",
+    "本院",
+    "我院",
+    "贵院",
+    "综合",
+    "专科",
+    "社区",
+    "基层",
+    "定点",
+    "公立",
+    "民营",
+    "中心",
+    "有关",
+    "相关",
+    "各级",
+    "各类",
+    "其他",
+    "同一",
+)
 HOSPITAL_CUT = "为是在的于到至往转送等其并就而则"
 WARD_GENERIC = (
     "各科", "全科", "所有", "部分", "其他", "上述", "同一", "本", "该", "各", "全", "此", "每",

@@ -32,6 +32,8 @@ def load(path: str) -> list[tuple[str, str]]:
         pairs = [(r[0].strip(), r[1]) for r in rows[1:]]
     if any(c not in CATEGORY_TYPES or not isinstance(t, str) or not t.strip() for c, t in pairs):
         raise ValueError("dictionary: unknown category or empty term")
+    if len({(c, t.strip()) for c, t in pairs}) < len(pairs):
+        raise ValueError("dictionary: a term is listed twice in its category")
     return sorted({(t.strip(), c) for c, t in pairs}, key=lambda x: (-len(x[0]), x[0], x[1]))
 
 

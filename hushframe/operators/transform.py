@@ -126,9 +126,9 @@ def evidence(text: Column, facts: Column, plan: Column, numbers: Column | None =
     ``numbers``, an array of struct<type,value,number>, numbers the tokens of texts that
     share them; without it each text counts its own.
     """
-    ops = F.map_from_entries(F.transform(plan, lambda o: F.struct(o["target"], o["op"])))
+    by_type = F.map_from_entries(F.transform(plan, lambda o: F.struct(o["target"], o["op"])))
 
-    def of(known: Column, days: Column) -> Column:
+    def of(known: Column, days: Column, ops: Column) -> Column:
         def replacement(f: Column) -> Column:
             op = F.try_element_at(ops, f["type"])
             own = F.struct(f["type"].alias("type"), f["value"].alias("value"))
@@ -151,7 +151,7 @@ def evidence(text: Column, facts: Column, plan: Column, numbers: Column | None =
         return F.aggregate(rows, start, step, lambda a: a["out"])
 
     known = tokens(facts, plan) if numbers is None else F.map_from_entries(F.transform(numbers, lambda n: F.struct(F.struct(n["type"].alias("type"), n["value"].alias("value")), n["number"])))
-    return let(F.struct(known.alias("known"), shift_days(text).alias("days")), lambda x: of(x["known"], x["days"]))
+    return let(F.struct(known.alias("known"), shift_days(text).alias("days"), by_type.alias("ops")), lambda x: of(x["known"], x["days"], x["ops"]))
 
 
 def splice(text: Column, done: Column) -> Column:

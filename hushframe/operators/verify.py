@@ -91,10 +91,10 @@ def verify(text: Column, facts: Column, done: Column, out: Column, residual: Col
     granted = F.lit(False) if accepted is None else accepted.isNotNull() & F.forall(residual, lambda f: covers(f) | f["type"].isin(*CONTEXT_ONLY))
     erase = [t for t, (a, _) in profile.identifiers.items() if a in erasing()]
     change = [t for t, (a, _) in profile.identifiers.items() if a in OPERATIONS and not OPERATIONS[a].erases]
-    again = decide(residual, trust, purpose, profile)
     left = F.filter(residual, lambda f: f["type"].isin(*change) & ~covers(f))
     shifted = lambda f: F.exists(done, lambda e: (e["op"] == "DATE_SHIFT") & (e["out_start"] == f["start"]) & (e["out_end"] == f["end"]) & (e["type"] == f["type"]))
     allowed = F.forall(residual, lambda f: f["type"].isin(*change, *CONTEXT_ONLY))
+    fine = lambda again: (again == "ALLOW") | ((again == "ASK") & granted) | ((again == "SANITIZE") & (F.size(residual) > 0) & allowed)
     checks = [
         ("the output is missing", out.isNotNull()),
         ("an identifier remains", ~F.exists(residual, lambda f: f["type"].isin(*erase) & ~covers(f))),
@@ -105,11 +105,11 @@ def verify(text: Column, facts: Column, done: Column, out: Column, residual: Col
         ("tokens are ambiguous", tokens_one_to_one(done)),
         ("a name may be cut short", names_end_well(text, done)),
         ("a value remains that should have changed", F.forall(left, shifted)),
-        ("policy does not allow the output", (again["verdict"] == "ALLOW") | ((again["verdict"] == "ASK") & granted) | ((again["verdict"] == "SANITIZE") & (F.size(residual) > 0) & allowed)),
+        ("policy does not allow the output", let(decide(residual, trust, purpose, profile)["verdict"], fine)),
     ]
     detail = None
     for why, good in checks:
         bad = ~F.coalesce(good, F.lit(False))
         detail = F.when(bad, why) if detail is None else detail.when(bad, why)
-    failed = detail.otherwise(F.lit(None).cast("string"))
-    return F.struct(failed.isNull().alias("passed"), F.when(failed.isNotNull(), F.array(F.lit("VERIFICATION_FAILED"))).otherwise(empty("array<string>")).alias("reason_codes"), failed.alias("details"))
+    told = lambda failed: F.struct(failed.isNull().alias("passed"), F.when(failed.isNotNull(), F.array(F.lit("VERIFICATION_FAILED"))).otherwise(empty("array<string>")).alias("reason_codes"), failed.alias("details"))
+    return let(detail.otherwise(F.lit(None).cast("string")), told)
