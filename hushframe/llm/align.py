@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -149,7 +150,7 @@ def align(df: DataFrame, a_path: str, b_path: str, text: str = "text", key: str
             n = batch.num_rows
             both = [v.tokens(t.as_py()) for t in batch.column(1)]
             a_bound, b_bound = (np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x[s]) for x in both], dtype=np.int64)]) for s in (0, 1))
-            a, b = (np.fromiter((i for x in both for i in x[s]), dtype=np.int32, count=int(bound[-1])) for s, bound in ((0, a_bound), (1, b_bound)))
+            a, b = (np.fromiter(chain.from_iterable(x[s] for x in both), dtype=np.int32, count=int(bound[-1])) for s, bound in ((0, a_bound), (1, b_bound)))
             del both
             merged = lockstep(np.cumsum(v.a_size[a]), np.cumsum(v.b_size[b]), a_bound)
             groups = np.concatenate([np.zeros(1, np.int64), np.cumsum(merged.a_last)])[a_bound]
