@@ -258,6 +258,11 @@ def _passing(rules: list[int], check: Callable[[Column], Column]) -> Callable[[C
     return lambda s: ~s["rule"].isin(*rules) | F.coalesce(check(s["value"]), F.lit(False))
 
 
+def _at_seams(pattern: str) -> str:
+    """The pattern with NUL as the end and the start of a text: texts that are joined by it are read as if each were alone."""
+    return pattern.replace("[^", r"[^\x00").replace("|$", r"|$|\x00").replace("|^)", r"|^|(?<=\x00))")
+
+
 def needs_han(rule: Rule) -> bool:
     """Whether each alternative of the rule's anchor holds a Han character, so that nothing matches in a text without any."""
     return all(any("\u4e00" <= c <= "\u9fff" for c in part) for part in rule.anchor.split("|"))
@@ -273,7 +278,7 @@ def raw_facts(text: Column, rules: tuple[Rule, ...]) -> Column:
     marks = []
     for r in rules:
         source = folded if r.fold else text
-        marked = mark(source, r.head, r.value, r.tail, r.flags)
+        marked = mark(source, *map(_at_seams, (r.head, r.value, r.tail)), r.flags)
         marks.append(F.when(source.rlike(f"(?U){r.anchor}"), marked) if r.anchor else marked)
     # one look for a Han character spares the others most of the rules
     plain = [F.lit(None).cast("string") if needs_han(r) else m for r, m in zip(rules, marks)]

@@ -7,8 +7,10 @@ follows (detection, policy, rewriting) is expressions over the leaves.
 
 from __future__ import annotations
 
+import bisect
 import csv
 import io
+import itertools
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -193,6 +195,42 @@ def placed(leaves: list[dict]) -> list[dict]:
     return leaves
 
 
+def reads_of(leaves: list[dict]) -> list[tuple[str, int, dict, bool]]:
+    """(text, length of its lead, leaf, whole) of what is read to judge the leaves.
+
+    A leaf is read behind each label that its key implies; a joined name behind the same
+    labels, or that of a name, and what is found in it covers the whole leaf.
+    """
+    out = []
+    for leaf in leaves:
+        leads = [f"{p}:" for p in leaf["probes"] or ()]
+        out += [(lead + leaf["text"], len(lead), leaf, False) for lead in leads or [""]]
+        if leaf["completed"] is not None:
+            out += [(lead + leaf["completed"], len(lead), leaf, True) for lead in leads or ["姓名:"]]
+    return out
+
+
+def probe_of(leaves: list[dict]) -> str:
+    """All that is read of the leaves in one text, parted by NUL, which no admitted text has."""
+    return "\x00".join(text for text, _, _, _ in reads_of(leaves))
+
+
+def facts_in_leaves(leaves: list[dict], facts: list[dict]) -> list[dict]:
+    """Facts of the probe at their places among the joined leaves; those that begin in a label are dropped."""
+    reads = reads_of(leaves)
+    begins = list(itertools.accumulate((len(text) + 1 for text, _, _, _ in reads), initial=0))
+    out = []
+    for fact in facts:
+        at = bisect.bisect_right(begins, fact["start"]) - 1
+        _, skip, leaf, whole = reads[at]
+        start = fact["start"] - begins[at] - skip
+        if start >= 0:
+            a = leaf["start"] + (0 if whole else start)
+            b = leaf["start"] + len(leaf["text"]) if whole else a + fact["end"] - fact["start"]
+            out.append({**fact, "start": a, "end": b, "value": leaf["text"] if whole else fact["value"], "read_only": leaf["read_only"]})
+    return out
+
+
 def rebuilt(kind: str, text: str, new: list[str]) -> str:
     """The payload with its leaves' texts replaced in order; numbers stay.  A text is its one leaf."""
     if kind == "text":
@@ -302,30 +340,32 @@ def _kernel(df: DataFrame, new: list[tuple[str, str, pa.DataType]], work: Callab
 
 
 def with_leaves(df: DataFrame, kind: str = "kind", content: str = "content") -> DataFrame:
-    """``df`` with ``leaves``, or null leaves and the ``refusal`` that closes the payload."""
+    """``df`` with ``leaves``, or null leaves and the ``refusal`` that closes the payload; and ``probe``, the text that is read to judge them."""
 
     def work(row: dict) -> tuple:
         try:
-            return placed(leaves_of(row[kind], row[content] or "")), None
+            leaves = placed(leaves_of(row[kind], row[content] or ""))
+            return leaves, None, probe_of(leaves)
         except Refused as e:
-            return None, str(e)
+            return None, str(e), ""
         except (ValueError, RecursionError):
-            return None, "PARSER_FAILURE"
+            return None, "PARSER_FAILURE", ""
 
-    return _kernel(df, [("leaves", LEAVES, _LEAF), ("refusal", "string", pa.string())], work, kind, content)
+    return _kernel(df, [("leaves", LEAVES, _LEAF), ("refusal", "string", pa.string()), ("probe", "string", pa.string())], work, kind, content)
 
 
 def with_rebuilt(df: DataFrame, texts: str, kind: str = "kind", content: str = "content") -> DataFrame:
-    """``df`` with ``rebuilt`` and its leaves read anew; null where the texts are null."""
+    """``df`` with ``rebuilt``, its leaves read anew and their ``rebuilt_probe``; null where the texts are null."""
 
     def work(row: dict) -> tuple:
         if row[texts] is None:
-            return None, None
+            return None, None, ""
         try:
             out = rebuilt(row[kind], row[content], row[texts])
             out.encode()
-            return out, placed(leaves_of("json" if row[kind] == "fhir" else row[kind], out))
+            leaves = placed(leaves_of("json" if row[kind] == "fhir" else row[kind], out))
+            return out, leaves, probe_of(leaves)
         except (ValueError, RecursionError):  # Refused is a ValueError: what cannot be read again is not released
-            return None, None
+            return None, None, ""
 
-    return _kernel(df, [("rebuilt", "string", pa.string()), ("rebuilt_leaves", LEAVES, _LEAF)], work, kind, content, texts)
+    return _kernel(df, [("rebuilt", "string", pa.string()), ("rebuilt_leaves", LEAVES, _LEAF), ("rebuilt_probe", "string", pa.string())], work, kind, content, texts)
