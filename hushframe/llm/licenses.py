@@ -8,8 +8,8 @@
    the constants below, so their broadcast has a fixed size.
 3. A file's own licence is the template with the best cosine of at least
    ``THRESHOLD`` on any of its lines, ties by name.
-4. A file marked as a licence file gives its licence to its directory: the best
-   score, then the smallest path.  Files without a licence of their own take that
+4. A licence file, marked as such or made of licence lines for the most part, gives its
+   licence to its directory: the best score, then the smallest path.  Files without a licence of their own take that
    of the nearest ancestor directory, by a join on the paths of their ancestors.
 
 Null or empty texts have no licence of their own, but inherit.  Null paths
@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.6
+#: A file at least so many of whose lines with words are licence statements is a licence file, where none are marked.
+SHARE = 0.5
 
 #: Common statements of licences, as their owners word them.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -81,13 +83,17 @@ def weights() -> tuple[list[tuple[int, str, str, float, float]], dict[str, float
 
 
 def own_licenses(files: DataFrame, path: str = "path", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(path, license, score) of the files with a statement of their own; score has 6 digits."""
+    """(path, license, score, share) of the files with a statement of their own.
+
+    score has 6 digits; share is that of the lines with a statement among the lines with words.
+    """
     spark: SparkSession = files.sparkSession
     table, idf, unknown = weights()
     index = spark.createDataFrame([(i, name, t, w * idf[t], norm, idf[t]) for i, name, t, w, norm in table], "template int, license string, term string, product double, norm double, idf double")
     lines = files.select(F.col(path).alias("path"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "line"))
     bags = lines.select("path", "no", terms(F.col("line")).alias("w"))
-    words = bags.withColumn("n", F.size("w") - F.size(F.filter("w", lambda x: x.isin(*sorted(STOP))))).where("n > 0").select("path", "no", "n", F.explode("w").alias("term"))
+    bags = bags.withColumn("n", F.size("w") - F.size(F.filter("w", lambda x: x.isin(*sorted(STOP))))).where("n > 0")
+    words = bags.select("path", "no", "n", F.explode("w").alias("term"))
     vocabulary = F.broadcast(index.groupBy("term").agg(F.max("idf").alias("idf")))
     known = words.join(vocabulary, "term").groupBy("path", "no", "n", "term", "idf").agg(F.count("*").alias("tf"))
     # a line of n terms that is this near to a template shares at least one of its terms; norms need all known ones
@@ -95,20 +101,28 @@ def own_licenses(files: DataFrame, path: str = "path", text: str = "text", thres
     dots = known.join(F.broadcast(index.select("template", "license", "term", "product", "norm")), "term")
     dots = dots.groupBy("path", "no", "template", "license", "norm").agg(F.sum(F.col("tf") * F.col("product")).alias("dot"))
     scored = dots.join(norms, ["path", "no"]).withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.sqrt("square")), 6))
-    best = scored.where(F.col("score") >= threshold).groupBy("path", "license").agg(F.max("score").alias("score"))
-    first = best.groupBy("path").agg(F.max("score").alias("score"), F.min(F.struct((-F.col("score")).alias("order"), "license")).alias("b"))
-    return first.select("path", F.col("b.license").alias("license"), "score")
+    # the best statement of each line, then of each file
+    order = F.struct((-F.col("score")).alias("order"), "license")
+    best = scored.where(F.col("score") >= threshold).groupBy("path", "no").agg(F.min(order).alias("b"))
+    first = best.groupBy("path").agg(F.min("b").alias("b"), F.count("*").alias("stated"))
+    counted = bags.groupBy("path").agg(F.count("*").alias("lines"))
+    return first.join(counted, "path").select("path", F.col("b.license").alias("license"), (-F.col("b.order")).alias("score"), (F.col("stated") / F.col("lines")).alias("share"))
 
 
-def scan(files: DataFrame, path: str = "path", text: str = "text", license_file: str = "license_file", threshold: float = THRESHOLD) -> DataFrame:
+def scan(files: DataFrame, path: str = "path", text: str = "text", license_file: str | None = "license_file", threshold: float = THRESHOLD, share: float = SHARE) -> DataFrame:
     """(path, license, score, origin, license_dir) of every file.
 
+    ``license_file`` names the column that marks licence files; with None they are those
+    of which ``share`` of the lines are statements.
+
     origin is ``license_file``, ``header``, ``inherited`` or ``none``; license_dir
     is the directory that an inherited licence comes from; the score of an
     inherited licence is that of the licence file.  Paths are parted by ``/``.
     """
     own = own_licenses(files, path, text, threshold).alias("own")
-    told = files.select(F.col(path).alias("path"), F.coalesce(F.col(license_file), F.lit(False)).alias("is_file")).join(own, "path", "left")
+    marked = F.lit(None).cast("boolean") if license_file is None else F.coalesce(F.col(license_file), F.lit(False))
+    told = files.select(F.col(path).alias("path"), marked.alias("marked")).join(own, "path", "left")
+    told = told.withColumn("is_file", F.coalesce("marked", F.coalesce(F.col("share") >= share, F.lit(False)))).drop("marked", "share")
     parent = lambda p: F.regexp_replace(p, r"/?[^/]*$", "")
     given = told.where("is_file and license is not null").groupBy(parent(F.col("path")).alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("order"), "path", "license")).alias("b"))
     given = given.select("dir", F.col("b.license").alias("dir_license"), (-F.col("b.order")).alias("dir_score"))

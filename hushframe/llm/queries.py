@@ -54,11 +54,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files /source/doc_id; one with a licence line last and 60 words at most is a licence file."""
+    """Documents as files /source/language/doc_id; licence files are those most of whose lines are statements."""
     documents = table(spark, sf_dir, "documents")
-    short = F.size(F.split(F.coalesce("text", F.lit("")), "[ \\x09-\\x0D]+")) <= 60
-    files = documents.select("doc_id", F.concat(F.lit("/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "text", short.alias("license_file"))
-    told = licenses.scan(files)
+    folder = [F.coalesce(c, F.lit("")) for c in ("source", "lang")]
+    files = documents.select("doc_id", F.concat_ws("/", F.lit(""), *folder, F.col("doc_id").cast("string")).alias("path"), "text")
+    told = licenses.scan(files, license_file=None)
     return told.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "license", "score", "origin", "license_dir")
 
 

@@ -278,3 +278,19 @@ def test_equal_digests_are_told_apart(monkeypatch):
     names = [b"a.com/", b"b.com/", b"c.org/x/", b"org/"]
     array = urls.DigestArray(urls._pack(names, [True, False, True, False]))
     assert array.find([b"b.com", b"d.com", b"z.c.org", b"c.org"], [b"/", b"/", b"/x/y", b"/y"]) == [(b"b.com/", False), None, (b"c.org/x/", True), (b"org/", False)]
+
+
+# -- licences ---------------------------------------------------------------------
+
+
+def test_licence_files_are_told_by_their_lines(spark):
+    from hushframe.llm import licenses
+
+    mit, apache = "Released under the MIT License", "Licensed under the Apache License, Version 2.0"
+    prose = "\n".join(f"a line of prose about nothing in particular number {i}" for i in range(40))
+    rows = [("/r/LICENSE", f"{mit}\n\n{mit}\nCopyright of the authors of this work"), ("/r/a/readme", f"{prose}\n{apache}"), ("/r/a/b/x", prose), ("/r/a/b/NOTICE", apache), ("/r/a/b/c/y", None), ("/q/z", prose), ("/r/long", "\n".join([apache] * 300))]
+    found = {r["path"]: (r["license"], r["origin"], r["license_dir"]) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string"), license_file=None).collect()}
+    assert found == {
+        "/r/LICENSE": ("MIT", "license_file", None), "/r/a/readme": ("Apache-2.0", "header", None), "/r/a/b/x": ("Apache-2.0", "inherited", "/r/a/b"), "/r/a/b/NOTICE": ("Apache-2.0", "license_file", None),
+        "/r/a/b/c/y": ("Apache-2.0", "inherited", "/r/a/b"), "/q/z": (None, "none", None), "/r/long": ("Apache-2.0", "license_file", None),
+    }
