@@ -124,7 +124,12 @@ def summary(log: DataFrame) -> DataFrame:
 
 
 def top(counts: DataFrame, n: int = 12) -> DataFrame:
-    """The n largest names of each section, the rest folded into one row."""
-    rank = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "name"))
+    """The n largest names of each section, the rest folded into one row.
+
+    Of equally frequent names those come first that were seen first, if ``counts`` has a
+    column ``first`` that tells; else by name.
+    """
+    ties = ["first", "name"] if "first" in counts.columns else ["name"]
+    rank = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), *ties))
     name = F.when(F.col("rank") <= n, F.col("name")).otherwise("(other)")
     return counts.withColumn("rank", rank).select("section", name.alias("name"), "n").groupBy("section", "name").agg(F.sum("n").alias("n"))

@@ -434,11 +434,11 @@ def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT event_type AS section, concat('u', user_id % 20) AS name, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY n DESC, name) AS k FROM c)
+    """WITH c AS (SELECT event_type AS section, concat('u', user_id % 20) AS name, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY n DESC, first) AS k FROM c)
     SELECT section, CASE WHEN k <= 12 THEN name ELSE '(other)' END AS name, sum(n)::BIGINT AS n FROM r GROUP BY 1, 2"""
 )
 def audit_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = table(spark, sf_dir, "events").selectExpr("event_type AS section", "concat('u', cast(user_id % 20 as string)) AS name").groupBy("section", "name").agg(F.count("*").alias("n"))
+    counts = table(spark, sf_dir, "events").selectExpr("event_type AS section", "concat('u', cast(user_id % 20 as string)) AS name", "event_id").groupBy("section", "name").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
     return audit.top(counts)
 
 
