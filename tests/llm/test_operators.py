@@ -217,6 +217,34 @@ def test_lines_recall_against_brute_force(spark, scratch):
     assert set(found) <= {x for pair in links for x in pair}
 
 
+def test_lines_lose_no_link_at_any_rate_of_edits(spark, scratch, monkeypatch):
+    monkeypatch.setattr(lines, "PART", 40)
+    monkeypatch.setattr(lines, "CENTRES", 16)
+    rng = random.Random(17)
+    rows = []
+    for n in (31, 40, 64, 90, 150, 260, 450, 700):
+        for rate in (0.05, 0.1, 0.15, 0.2, 0.21):
+            letters = [rng.choice("abcdefghij") for _ in range(n)]
+            rows.append("".join(letters))
+            for at in rng.sample(range(1, n - 1), int(n * rate)):
+                letters[at] = rng.choice(["", "x", "yz"])
+            rows.append("".join(letters))
+        letters = [rng.choice("abcdefghij") for _ in range(n)]
+        rows += ["".join(letters), "".join("x" if k % 5 == 4 else c for k, c in enumerate(letters))]  # no five letters in a row are left
+    for n in (420, 600):  # more than LONG letters: a fifth of the words, every fifth one
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(n)]
+        rows += [" ".join(words), " ".join("xx" if k % 5 == 4 else w for k, w in enumerate(words))]
+    group = list(range(len(rows)))
+    for a, b in combinations(range(len(rows)), 2):
+        if lines.alike([(rows[a], rows[b])])[0]:
+            group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    told, classes = lines.groups(scratch, texts(spark, rows))
+    found = {r["key"]: r["component"] for r in told.join(classes, ["node", "other"]).select("doc.key", "component").collect()}
+    assert len(rows) - len(set(group)) > 30
+    for a, b in combinations(range(len(rows)), 2):
+        assert (group[a] == group[b]) == (a in found and found[a] == found.get(b))
+
+
 def test_edit_distances_side_by_side():
     rng = random.Random(8)
     some = lambda n: "".join(rng.choice("ab é") for _ in range(n))
