@@ -7,10 +7,10 @@
 2. A class has a signature of MinHash values, cut into bands.  The number of bands
    follows from the threshold and a miss probability, so that a pair at the
    threshold shares a band but for that probability.
-3. In a bucket (equal bands) one class is compared with all others; where the bucket's
-   classes are still of several components, CENTRES of them; where they still are,
-   each with each.  Large buckets do the latter in parts inside tasks, from which
-   only links come out, so that no group of near copies becomes a square of rows.
+3. In a bucket (equal bands) CENTRES of the classes are compared with all others; where the
+   bucket's classes are still of several components, each with each, inside tasks.  From
+   there only pairs come whose signatures are plausible, and only links from large buckets,
+   which are compared in parts, so that no group of near copies becomes a square of rows.
 4. A pair's signatures are compared in batches.  After each, the posterior of
    its similarity (binomial likelihood, uniform prior) is looked at: the pair
    goes once the probability of reaching the threshold is below the miss
@@ -45,8 +45,8 @@ MISS = 1e-8
 #: MinHash values compared before the posterior is looked at again.
 BATCH = 32
 #: Classes of a bucket that all its others are compared with before all are compared with all.
-CENTRES = 8
-#: Classes of a bucket up to which its pairs are rows; larger buckets are compared in parts inside tasks.
+CENTRES = 1
+#: Classes of a bucket up to which its plausible pairs are rows; larger buckets are compared in parts inside tasks.
 SMALL = 32
 #: Classes and shingles of one part.
 PART, PART_SHINGLES = 512, 500_000
@@ -205,6 +205,47 @@ def _star_pairs(scratch: Scratch, rows: DataFrame, centres: int) -> DataFrame:
     return rows.join(named, "bucket").where("component <> cv").select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
 
 
+def _small_pairs(rows: DataFrame, signs: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """The pairs (u, v) of (bucket, node, component) of several components whose signatures are plausible.
+
+    A task reads its buckets one behind the other.  Of the buckets that two classes share, the first compares them.
+    """
+    rows = rows.join(signs.select("node", "signature", "bands"), "node").select("bucket", "node", "component", "signature", "bands")
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "node")
+
+    def compared(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket, sign = part.column("bucket").to_numpy(), _matrix(part.column("signature"))
+        bands = np.array(part.column("bands").to_pylist(), dtype=np.int64)
+        node, component = (np.array([x.hex() for x in part.column(c).to_pylist()]) for c in ("node", "component"))
+        u, v = [], []
+        for step in range(1, len(bucket)):
+            left = np.flatnonzero(bucket[step:] == bucket[:-step])
+            if not len(left):
+                break
+            left = left[component[left] != component[left + step]]
+            left = left[bands[left, (bands[left] == bands[left + step]).argmax(axis=1)] == bucket[left]]
+            left = left[_alive(sign[left], sign[left + step], threshold, miss)] if len(left) else left
+            u.append(left)
+            v.append(left + step)
+        u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (u, v))
+        yield from pa.table({"u": part.column("node").take(pa.array(u)), "v": part.column("node").take(pa.array(v))}).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            part = part if held is None else pa.concat_tables([held, part])
+            # the last bucket may go on in the next batch
+            cut = int(np.searchsorted(part.column("bucket").to_numpy(), part.column("bucket")[-1].as_py())) if len(part) else 0
+            held = part.slice(cut)
+            if cut:
+                yield from compared(part.slice(0, cut).combine_chunks())
+        if held is not None and len(held):
+            yield from compared(held.combine_chunks())
+
+    return rows.mapInArrow(run, "u binary, v binary")
+
+
 def _large_links(rows: DataFrame, signs: DataFrame, texts: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
     """Links (u, v) inside the large buckets of (bucket, node, component, parts).
 
@@ -241,7 +282,7 @@ def _large_links(rows: DataFrame, signs: DataFrame, texts: DataFrame, size: int,
             if not len(b):
                 continue
             mark[flat[start[a] : start[a + 1]]] = 1
-            both = np.array([mark[flat[start[k] : start[k + 1]]].sum() for k in b])
+            both = np.add.reduceat(mark[flat], start[:-1])[b] if len(b) > 16 else np.array([mark[flat[start[k] : start[k + 1]]].sum() for k in b])
             mark[flat[start[a] : start[a + 1]]] = 0
             for k in b[100 * both >= percent * (n[a] + n[b] - both)]:
                 if label[k] != label[a]:
@@ -269,20 +310,16 @@ def groups(scratch: Scratch, df: DataFrame, text: str = "text", key: str = "doc_
     scratch.release()
 
     def verify(pairs: DataFrame) -> DataFrame:
-        out = scratch.keep(_verified(scratch.keep(_plausible(pairs, signs, threshold, miss)), texts, size, percent))
+        out = scratch.keep(_verified(scratch.keep(pairs), texts, size, percent))
         scratch.release()
         return out
 
-    component, links = None, None
-    for centres in (1, CENTRES):
-        found = verify(_star_pairs(scratch, _known(members, component), centres))
-        links = found if links is None else links.unionByName(found)
-        component = scratch.keep(connected_components(scratch, links))
+    links = verify(_plausible(_star_pairs(scratch, _known(members, None), CENTRES), signs, threshold, miss))
+    component = scratch.keep(connected_components(scratch, links))
     known = scratch.keep(_known(members, component))
     left = scratch.keep(_open(known.join(signs.select("node", "n_shingles"), "node"), F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")))
     small = known.join(left.where(F.col("n") <= SMALL).select("bucket"), "bucket")
-    second = small.select("bucket", F.col("node").alias("v"), F.col("component").alias("cv"))
-    links = links.unionByName(verify(small.join(second, "bucket").where("component <> cv and node < v").select(F.col("node").alias("u"), "v").distinct()))
+    links = links.unionByName(verify(_small_pairs(small, signs, threshold, miss)))
     parts = F.ceil(F.greatest(F.col("n") / PART, F.col("shingles") / PART_SHINGLES)).cast("int")
     large = known.join(left.where(F.col("n") > SMALL).select("bucket", parts.alias("parts")), "bucket")
     links = links.unionByName(scratch.keep(_large_links(large, signs, texts, size, percent, miss)))

@@ -351,6 +351,24 @@ def test_minhash_large_buckets_lose_no_link(spark, scratch, monkeypatch):
     assert found == dict(enumerate(group))
 
 
+def test_minhash_small_buckets_give_plausible_pairs_once(spark, scratch):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    rows = [" ".join(base), *(" ".join([*base[:k], "x", *base[k:]]) for k in (5, 30, 50)), *(" ".join(rng.sample(base, 60)) for _ in range(20))]
+    told = minhash.describe(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id long, text string"), "text", "id", 3, 32)
+    signs = scratch.keep(told.select(F.col("digest").alias("node"), "n_shingles", "signature", "bands"))
+    # buckets of all rows, whatever their bands: only those of like rows may give a pair, and each pair its first one
+    own = signs.select("node", F.col("node").alias("component"), F.explode("bands").alias("bucket"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = [(bytes(r["u"]), bytes(r["v"])) for r in minhash._small_pairs(own, signs, 0.85, 1e-8).collect()]
+        one = minhash._small_pairs(own.withColumn("component", F.lit(b"0")), signs, 0.85, 1e-8).count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    like = {bytes(r["digest"]) for r in told.where("id < 4").collect()}
+    assert sorted(found) == [(a, b) for a, b in combinations(sorted(like), 2)] and one == 0
+
+
 def test_letters_of_all_planes():
     texts_ = ["\U0001f600\U0001f600", "́", "12 \U0001f600 34", "\U00010400", "猫", "é", ""]
     assert language.keys_of(texts_)[2].tolist() == [0, 0, 0, 1, 1, 1, 0]
