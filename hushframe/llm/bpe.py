@@ -38,7 +38,9 @@ SHORT = 64
 #: So many remembered pre-tokens at most; the table starts anew beyond that.
 REMEMBERED = 400_000
 
-_NONE = 1 << 30
+#: Bits of a token id beside a merge's rank in one number.
+_ID = 20
+_NONE = 1 << 62
 
 
 def byte_letters() -> list[str]:
@@ -69,6 +71,7 @@ class Encoder:
         for rank, merge in enumerate(model["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
             self.pairs[vocab[left], vocab[right]] = (rank, vocab[left + right])
+        self.merges = {pair: rank << _ID | token for pair, (rank, token) in self.pairs.items()}
         self.piece = {i: bytes(byte_of[c] for c in token) for token, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         self.piece |= {i: s.encode() for s, i in self.special.items()}
@@ -82,20 +85,20 @@ class Encoder:
         return self._scan(data) if len(data) <= SHORT else self._heap(data)
 
     def _scan(self, data: bytes) -> list[int]:
-        ids = [self.first[b] for b in data]
-        pairs = self.pairs
-        ranks = [pairs.get(p, (_NONE, 0))[0] for p in zip(ids, ids[1:])]
+        first, merges = self.first, self.merges.get
+        ids = [first[b] for b in data]
+        ranks = [merges(p, _NONE) for p in zip(ids, ids[1:])]
         while ranks:
             low = min(ranks)
             if low == _NONE:
                 break
             at = ranks.index(low)
-            ids[at] = pairs[ids[at], ids[at + 1]][1]
+            ids[at] = low & ((1 << _ID) - 1)
             del ids[at + 1], ranks[at]
             if at < len(ranks):
-                ranks[at] = pairs.get((ids[at], ids[at + 1]), (_NONE, 0))[0]
+                ranks[at] = merges((ids[at], ids[at + 1]), _NONE)
             if at:
-                ranks[at - 1] = pairs.get((ids[at - 1], ids[at]), (_NONE, 0))[0]
+                ranks[at - 1] = merges((ids[at - 1], ids[at]), _NONE)
         return ids
 
     def _heap(self, data: bytes) -> list[int]:
