@@ -18,7 +18,7 @@ _LABELS_SQL = notes.corpus_sql("customer", "c_custkey")
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notes.with_notes(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    return notes.with_notes(spread(table(spark, sf_dir, "customer").select("c_custkey")), "c_custkey")
 
 
 def _facts(rows: DataFrame) -> DataFrame:

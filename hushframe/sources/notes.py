@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe import lexicon as L
+from hushframe.functions.spans import with_fenced
 
 #: SQL text of a draw below n for a slot.
 Draw = Callable[[str, int], str]
@@ -275,13 +276,14 @@ def with_notes(rows: DataFrame, key: str, seed: int = 20260912) -> DataFrame:
     width = len(LAYOUT[TYPES[0]])
     notes = notes.withColumn("lines", F.expr(f"transform(sequence(0, {width - 1}), section -> struct(section, cast({number} as int) AS line))"))
     body = parts.replace("CASE line ", "CASE x.line ").replace("cast(section as string)", "cast(x.section as string)")
-    notes = notes.withColumn("parts", F.expr(f"flatten(transform(lines, x -> {body}))"))
-    place = "aggregate(slice(parts, 1, i), 0, (n, p) -> n + length(p.text))"
-    spans = f"filter(transform(parts, (x, i) -> named_struct('type', x.type, 'start', {place}, 'end', {place} + length(x.text), 'value', x.text)), s -> s.type <> '')"
+    # fenced: a filter on the spans would otherwise go down to the scan and repeat the grammar for each part
+    notes = with_fenced(notes, parts=F.expr(f"flatten(transform(lines, x -> {body}))"))
+    at = "named_struct('type', p.type, 'start', a.place, 'end', a.place + length(p.text), 'value', p.text)"
+    none = "cast(array() as array<struct<type:string,start:int,end:int,value:string>>)"
+    spans = f"aggregate(parts, named_struct('place', 0, 'found', {none}), (a, p) -> named_struct('place', a.place + length(p.text), 'found', IF(p.type = '', a.found, concat(a.found, array({at})))), a -> a.found)"
     types = F.array("note_type")
-    told = notes.select(
-        "doc_id", F.element_at(F.array(*map(F.lit, TYPES)), F.get(types, F.lit(0)) + 1).alias("document_type"), F.when(F.col("clean"), "negative").otherwise("positive").alias("corpus_role"),
-        F.array_join("parts.text", "").alias("text"), F.expr(spans).alias("spans"),
+    told = with_fenced(notes, text=F.array_join("parts.text", ""), spans=F.expr(spans)).select(
+        "doc_id", F.element_at(F.array(*map(F.lit, TYPES)), F.get(types, F.lit(0)) + 1).alias("document_type"), F.when(F.col("clean"), "negative").otherwise("positive").alias("corpus_role"), "text", "spans",
     )
     identifiers = F.filter("spans", lambda s: s["type"] != "MEDICAL_CONTENT")
     verdict = F.when(F.size(identifiers) == 0, "ALLOW").when(F.exists(identifiers, lambda s: s["type"] == "RARE_CONTEXT"), "ASK").otherwise("SANITIZE")
