@@ -21,3 +21,8 @@ def test_a_note_is_made_once_for_its_labels(spark):
     made = notes.labels(notes.with_notes(spark.range(40), "id"))
     assert "md5(" in plan_of(made) and not any("md5(" in f for f in filters(made))
     assert "Repartition" in plan_of(driver.queries()["generated_labels"](spark, SMALLEST))
+
+
+def test_both_sides_of_the_rates_are_spread(spark):
+    made = driver.queries()["generated_rates"](spark, SMALLEST)
+    assert plan_of(made).count("Repartition") == 2 and not any("md5(" in f for f in filters(made))
