@@ -67,7 +67,7 @@ def granted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def granted_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phone in a number stays where its type is accepted; another accepted type opens nothing."""
     rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", "'json' AS kind", f"{_DOC} AS content", "CASE WHEN c_custkey % 8 = 0 THEN array('PHONE') ELSE array('AGE') END AS accepted")
-    return sanitize_records(rows, accepted=F.col("accepted")).select("c_custkey", "sanitized")
+    return sanitize_records(spread(rows), accepted=F.col("accepted")).select("c_custkey", "sanitized")
 
 
 @query(

@@ -26,3 +26,7 @@ def test_a_note_is_made_once_for_its_labels(spark):
 def test_both_sides_of_the_rates_are_spread(spark):
     made = driver.queries()["generated_rates"](spark, SMALLEST)
     assert plan_of(made).count("Repartition") == 2 and not any("md5(" in f for f in filters(made))
+
+
+def test_approved_records_are_spread(spark):
+    assert "Repartition" in plan_of(driver.queries()["granted_json"](spark, SMALLEST))
