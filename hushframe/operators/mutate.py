@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions.edits import SCRIPT, SPAN, apply, edit, move_spans, script
-from hushframe.functions.spans import let
+from hushframe.functions.spans import let, with_fenced
 from hushframe.operators.detect import numeral_table
 
 # What an operator writes for what, in the order in which it is tried.
@@ -371,13 +371,13 @@ def variants(seeds: DataFrame, operators: Iterable[str] | None = None, exclude_m
     seed = Seed(F.col("__seed"), F.col("__labels"), F.col("__clean"), F.coalesce("expected_verdict", F.lit("")))
     proposed = F.array(*(F.struct(F.lit(n).alias("operator"), F.lit(OPERATORS[n][0]).alias("operator_class"), OPERATORS[n][1](seed).alias("proposed")) for n in wanted))
     rows = rows.select("*", F.inline(proposed)).select("*", F.posexplode("proposed").alias("n", "v")).drop("proposed")
-    rows = rows.withColumn("text", apply(F.col("__seed"), F.col("v.edits")))
+    rows = with_fenced(rows, text=apply(F.col("__seed"), F.col("v.edits")))
     moved = F.when(F.col("v.unlabelled"), F.array().cast(f"array<{SPAN}>")).otherwise(move_spans(F.col("__labels"), F.col("v.edits"), F.col("text")))
     place = lambda value: F.instr(F.col("text"), value) - 1
     extra = F.transform("v.extra", lambda x: F.struct(x["type"].alias("type"), place(x["value"]).alias("start"), (place(x["value"]) + F.length(x["value"])).alias("end"), x["value"].alias("value")))
     swapped = lambda c: F.when((F.col("v.source") != "") & F.contains(c, F.col("v.source")), apply(c, script(_replace_first(c, F.col("v.source"), F.col("v.target"))))).otherwise(c)
     clean = F.transform("__clean", lambda c: F.when(F.col("v.wide"), F.translate(c, _DIGITS, _WIDE)).otherwise(swapped(c)))
-    rows = rows.withColumns({"labels": F.concat(moved, extra.cast(f"array<{SPAN}>")), "clean": clean})
+    rows = with_fenced(rows, labels=F.concat(moved, extra.cast(f"array<{SPAN}>")), clean=clean)
     unclear = lambda spans, t: F.exists(spans, lambda x: occurrences(F.col(t), x["value"]) != 1)
     refused = (
         F.when(unclear("__labels", "__seed"), "seed").when(F.col("text") == F.col("__seed"), "empty").when(unclear("labels", "text"), "ambiguous")

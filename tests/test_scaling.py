@@ -30,3 +30,11 @@ def test_both_sides_of_the_rates_are_spread(spark):
 
 def test_approved_records_are_spread(spark):
     assert "Repartition" in plan_of(driver.queries()["granted_json"](spark, SMALLEST))
+
+
+def test_variants_are_made_once_and_from_spread_seeds(spark):
+    made = driver.queries()["mutation_recall"](spark, SMALLEST)
+    assert not any("__seed" in f for f in filters(made))
+    lines = plan_of(made).splitlines()
+    seeds, split = (next(i for i, x in enumerate(lines) if w in x) for w in ("Repartition", "inline(array(struct(operator"))
+    assert seeds > split  # the lower line runs first
