@@ -4,6 +4,7 @@ import re
 
 import __spark_entry__ as driver
 from hushframe.sources import notes
+from hushframe.streaming.requests import guard_lines
 
 SMALLEST = "/root/testdata/sf0.001"
 
@@ -38,3 +39,12 @@ def test_variants_are_made_once_and_from_spread_seeds(spark):
     lines = plan_of(made).splitlines()
     seeds, split = (next(i for i, x in enumerate(lines) if w in x) for w in ("Repartition", "inline(array(struct(operator"))
     assert seeds > split  # the lower line runs first
+
+
+def test_request_lines_keep_their_keys(spark):
+    lines = ["[{\"method\":\"tools/call\"}]", '{"id":1,"method":"tools/call","params":{"arguments":{"q":"a@b.example.com"}}}']
+    rows = spark.createDataFrame([(i, lines[i % 2], f"k{i}") for i in range(6)], "step int, line string, `odd name` string")
+    told = {r["step"]: (r["line"], r["odd name"], r["action"]) for r in guard_lines(rows).collect()}
+    assert told == {i: (lines[i % 2], f"k{i}", ("refuse", "rewrite")[i % 2]) for i in range(6)}
+    plan = plan_of(driver.queries()["request_lines"](spark, SMALLEST))
+    assert not re.search(r"(?m)^[ :|+-]*(Join|Aggregate)", plan) and plan.count("Relation") == 1
