@@ -67,3 +67,26 @@ def test_cells_are_taken_in_rounds(spark, scratch, monkeypatch):
     # six parts of a line's own band and of the next meet, so a line is shuffled several times, but twice at most in a round
     assert len(released) >= 3
     assert not {p for p, good in zip(pairs, lines.alike([(rows[a], rows[b]) for a, b in pairs]), strict=True) if good and frozenset(p) not in found}
+
+
+@pytest.mark.parametrize(("low", "high"), [(60, 110), (950, 1150)])
+def test_a_cell_holds_the_segments_of_a_slab_at_a_time(monkeypatch, low, high):
+    rng = random.Random(high)
+    rows, pairs = _unlike_and_near([rng.randint(low, high) for _ in range(60)], high)
+    rows = sorted(rows, key=len)
+    every = np.arange(len(rows))
+
+    def found(slab):
+        monkeypatch.setattr(lines, "SLAB", slab)
+        held = []
+        look_up = lines.Cell._look_up
+        monkeypatch.setattr(lines.Cell, "_look_up", lambda self, h, tile, y, segments, *a: (held.append(segments.base.shape[1]), look_up(self, h, tile, y, segments, *a))[1])
+        cell = lines.Cell(rows, lines.PERCENT)
+        cell.compare(every, every)
+        monkeypatch.undo()
+        return max(held), {frozenset(np.flatnonzero(cell.label == k).tolist()) for k in set(cell.label.tolist())}
+
+    whole, groups = found(1 << 30)
+    most, same = found(10 * high)
+    assert most <= 10 * high // low + 1 < whole and same == groups
+    assert any(len(g) > 1 for g in groups)
